@@ -12,15 +12,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablescout.functions.text import as_text, clean_value, normalise_value, word_stats
 
 HEAD_CHARS = 256
 
-COLUMN_KEY = ["table_name", "column_pos"]
-
-# More columns than this in one source are melted into one scan instead of planned one by one.
-MAX_TYPED_BRANCHES = 256
+# A profiled column is known by one number everywhere between the source and the final report.
+COLUMN_KEY = ["column_id"]
 
 
 def head(text: Column) -> Column:
@@ -48,65 +47,86 @@ def compact(rows: DataFrame) -> DataFrame:
     return cleaned.withColumn("long", F.when(is_long, facts)).withColumn("v", head(F.col("v"))).drop("p")
 
 
-def _no_long() -> Column:
-    return F.lit(None).cast(
-        "struct<digest:string,p_head:string,p_digest:string,s_md5:string,chars:int,"
-        "w_max:int,w_min:int,w_avg:double,words:int>"
-    )
+_LONG = (
+    "struct<digest:string,p_head:string,p_digest:string,s_md5:string,chars:int,"
+    "w_max:int,w_min:int,w_avg:double,words:int>"
+)
 
+# How the values of a column are counted, by what they are stored as.
+WHOLE, REAL, TEXT = "whole", "real", "text"
 
-def count_cells(cells: DataFrame) -> DataFrame:
-    """Value counts of long-form cells (table_name, column_pos, type_class, v)."""
-    return compact(cells).groupBy(*COLUMN_KEY, "type_class", "v", "long").agg(F.count("*").alias("n"))
 
+def storage_of(data_type: T.DataType) -> str:
+    """Whole numbers and doubles are counted as they are, everything else as text."""
+    if isinstance(data_type, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return WHOLE
+    return REAL if isinstance(data_type, T.DoubleType) else TEXT
 
-def count_columns(table_name: str, df: DataFrame, fields: list) -> list[DataFrame]:
-    """Value counts of a wide table, one branch per column.
 
-    Each branch reads its own column only and groups numbers and dates by their native value, so
-    a columnar scan is not repeated and nothing is turned into text before it has been counted.
-    """
-    branches = []
-    for f in fields:
-        c = F.col(f"`{f.name}`")
-        if f.is_text:
-            counted = compact(df.select(c.alias("v"))).groupBy("v", "long").agg(F.count("*").alias("n"))
-        else:
-            counted = (
-                df.groupBy(c.alias("v")).agg(F.count("*").alias("n"))
-                .select(as_text(F.col("v"), f.data_type).alias("v"), _no_long().alias("long"), "n")
-            )
-        branches.append(
-            counted.select(
-                F.lit(table_name).alias("table_name"),
-                F.lit(f.pos).alias("column_pos"),
-                F.lit(f.type_class).alias("type_class"),
-                "v", "long", "n",
-            )
-        )
-    return branches
+def melt(df: DataFrame, fields: list, storage: str) -> DataFrame | None:
+    """The columns of one storage kind as (column_id, type_class, v), in one scan of those columns."""
+    chosen = [f for f in fields if storage_of(f.data_type) == storage]
+    if not chosen:
+        return None
+    cast = {WHOLE: lambda f: F.col(f"`{f.name}`").cast("bigint"),
+            REAL: lambda f: F.col(f"`{f.name}`"),
+            TEXT: lambda f: as_text(F.col(f"`{f.name}`"), f.data_type)}[storage]
+    values = ", ".join(f"{f.column_id}L, '{f.type_class}', c{i}" for i, f in enumerate(chosen))
+    return df.select(*[cast(f).alias(f"c{i}") for i, f in enumerate(chosen)]).selectExpr(
+        f"stack({len(chosen)}, {values}) as (column_id, type_class, v)"
+    )
+
+
+def count_whole(cells: DataFrame) -> DataFrame:
+    """Value counts of whole numbers; text is made of them only after they have been counted."""
+    counted = cells.groupBy(*COLUMN_KEY, F.col("v").alias("i")).agg(F.count("*").alias("n"))
+    return counted.select(
+        *COLUMN_KEY, F.lit("numeric").alias("type_class"), F.col("i").cast("string").alias("v"),
+        F.lit(None).cast(_LONG).alias("long"), "i", F.lit(None).cast("double").alias("d"), "n",
+    )
 
 
-def melt(table_name: str, df: DataFrame, fields: list) -> DataFrame:
-    """A wide table as long-form cells, in one scan."""
-    values = ", ".join(f"{f.pos}, '{f.type_class}', c{f.pos}" for f in fields)
-    texts = df.select(*[as_text(F.col(f"`{f.name}`"), f.data_type).alias(f"c{f.pos}") for f in fields])
-    return texts.select(
-        F.lit(table_name).alias("table_name"),
-        F.expr(f"stack({len(fields)}, {values}) as (column_pos, type_class, v)"),
+def count_real(cells: DataFrame) -> DataFrame:
+    """Value counts of doubles."""
+    counted = cells.groupBy(*COLUMN_KEY, F.col("v").alias("d")).agg(F.count("*").alias("n"))
+    return counted.select(
+        *COLUMN_KEY, F.lit("numeric").alias("type_class"), as_text(F.col("d"), T.DoubleType()).alias("v"),
+        F.lit(None).cast(_LONG).alias("long"), F.lit(None).cast("bigint").alias("i"), "d", "n",
     )
 
 
+def count_text(cells: DataFrame) -> DataFrame:
+    """Value counts of everything else, with long values in compact form."""
+    counted = compact(cells).groupBy(*COLUMN_KEY, "type_class", "v", "long").agg(F.count("*").alias("n"))
+    return counted.select(
+        *COLUMN_KEY, "type_class", "v", "long",
+        F.lit(None).cast("bigint").alias("i"), F.lit(None).cast("double").alias("d"), "n",
+    )
+
+
+def count_tables(tables: dict[str, DataFrame], fields: dict[str, list]) -> DataFrame:
+    """A7 for wide tables: (column_id, type_class, v, long, i, d, n), NULL being a value of its own.
+
+    `i` and `d` hold a number as it is stored (they order values), `v` its text. There is one scan
+    and one shuffle per storage kind, each over the columns of that kind of all tables.
+    """
+    parts = []
+    for storage, count in ((WHOLE, count_whole), (REAL, count_real), (TEXT, count_text)):
+        melted = [m for name, df in tables.items() if (m := melt(df, fields[name], storage)) is not None]
+        if melted:
+            parts.append(count(union_all(melted)))
+    return union_all(parts)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
 def profile_counts(raw_counts: DataFrame) -> DataFrame:
-    """Value counts in the profile domain: (table_name, column_pos, type_class, v, digest, n, words…).
+    """Value counts in the profile domain: (column_id, type_class, v, digest, i, d, n, words…).
 
     Cleaning may merge several raw text values; other types keep their counts as they are.
     """
-    cleaned = clean_value(F.col("v"))
     long_p = F.when(
         F.col("long.p_digest").isNotNull(),
         F.struct(
@@ -114,20 +134,20 @@ def profile_counts(raw_counts: DataFrame) -> DataFrame:
             *[F.col(f"long.{name}").alias(name) for name in ("w_max", "w_min", "w_avg", "words")],
         ),
     )
+    is_text = F.col("type_class") == "string"
     text = (
-        raw_counts.where(F.col("type_class") == "string")
+        raw_counts.where(is_text)
         .select(
             *COLUMN_KEY, "type_class", "n",
-            F.when(F.col("long").isNull(), cleaned).otherwise(F.col("long.p_head")).alias("v"),
+            F.when(F.col("long").isNull(), clean_value(F.col("v"))).otherwise(F.col("long.p_head")).alias("v"),
             long_p.alias("long"),
         )
         .groupBy(*COLUMN_KEY, "type_class", "v", "long").agg(F.sum("n").alias("n"))
+        .select("*", F.lit(None).cast("bigint").alias("i"), F.lit(None).cast("double").alias("d"))
     )
-    other = raw_counts.where(F.col("type_class") != "string").select(
-        *COLUMN_KEY, "type_class", "v", F.lit(None).cast(text.schema["long"].dataType).alias("long"), "n"
-    )
+    other = raw_counts.where(~is_text).withColumn("long", F.lit(None).cast(text.schema["long"].dataType))
     return text.unionByName(other).select(
-        *COLUMN_KEY, "type_class", "v", F.col("long.digest").alias("digest"), "n",
+        *COLUMN_KEY, "type_class", "v", F.col("long.digest").alias("digest"), "i", "d", "n",
         *[
             F.when(F.col("long").isNull(), short).otherwise(F.col(f"long.{name}")).alias(name)
             for name, short in word_stats(F.col("v")).items()
@@ -138,15 +158,17 @@ def profile_counts(raw_counts: DataFrame) -> DataFrame:
 def summary_counts(raw_counts: DataFrame) -> DataFrame:
     """Value counts in the summary domain (raw text), shaped like `profile_counts`."""
     return raw_counts.select(
-        *COLUMN_KEY, "type_class", "v", F.col("long.digest").alias("digest"), "n",
+        *COLUMN_KEY, "type_class", "v", F.col("long.digest").alias("digest"), "i", "d", "n",
         F.coalesce(F.col("long.chars"), F.length("v")).alias("chars"),
     )
 
 
-def type_order(type_class: Column, v: Column) -> list[Column]:
+def type_order(text: Column) -> list[Column]:
     """Sort keys that put values in the order of their type: numbers by size, all else as text."""
-    number = F.when(type_class == "numeric", v)
-    return [number.try_cast("double"), number.try_cast("bigint"), v]
+    other_number = F.when(
+        (F.col("type_class") == "numeric") & F.col("i").isNull() & F.col("d").isNull(), text
+    ).try_cast("decimal(38,18)")
+    return [F.col("i"), F.col("d"), other_number, text]
 
 
 def top_per_group(

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablescout.functions.scores import cardinality_ratio, classify, fixed_length
-from tablescout.operators.counts import COLUMN_KEY, top_per_group, type_order
+from tablescout.functions.text import as_text
+from tablescout.operators.counts import COLUMN_KEY, type_order, union_all
 from tablescout.workspace import materialize
 
 TOP_VALUES = 10
@@ -39,9 +41,13 @@ ZSCORED_METRICS = (
 
 
 def word_metrics(counts: DataFrame) -> DataFrame:
-    """Row counts, word lengths and word counts from profile-domain counts."""
+    """Row counts, word lengths and word counts from profile-domain counts.
+
+    The bounds of numbers (A16) are part of the same aggregation.
+    """
     n, words = F.col("n"), F.col("words").cast("double")
     present = F.col("v").isNotNull()
+    bounds = {f"_{end}_{c}": agg(c) for c in ("i", "d") for end, agg in (("first", F.min), ("last", F.max))}
     sums = counts.groupBy(*COLUMN_KEY).agg(
         F.sum("n").alias("row_count"),
         F.sum(F.when(present, n).otherwise(0)).alias("non_null"),
@@ -52,6 +58,7 @@ def word_metrics(counts: DataFrame) -> DataFrame:
         F.max("words").cast("bigint").alias("words_cnt_max"),
         F.min("words").cast("bigint").alias("words_cnt_min"),
         F.sum(n * words * words).alias("_words2"),
+        *[c.alias(name) for name, c in bounds.items()],
     )
     total, weight = F.col("number_words").cast("double"), F.col("non_null").cast("double")
     variance = (F.col("_words2") - total * total / weight) / weight
@@ -61,6 +68,11 @@ def word_metrics(counts: DataFrame) -> DataFrame:
         "number_words", "words_cnt_max", "words_cnt_min",
         (total / weight).alias("words_cnt_avg"),
         F.sqrt(F.greatest(F.lit(0.0), variance)).alias("words_cnt_sd"),
+        *[
+            F.coalesce(F.col(f"_{end}_i").cast("string"), as_text(F.col(f"_{end}_d"), T.DoubleType()))
+            .alias(f"{end}_number")
+            for end in ("first", "last")
+        ],
     )
 
 
@@ -118,40 +130,39 @@ def _kurtosis(size: Column) -> Column:
 
 
 def picked_values(counts: DataFrame, source, cleaned: bool, boundaries: bool = True) -> DataFrame:
-    """The values a profile shows as text: (table, column, kind, rank, n, text).
+    """The values a profile shows as text: (column_id, kind, rank, n, text).
 
-    `kind` is `top` (A12: the most frequent, ties in the order of the type), `first` or `last` (A16).
-    Ranking uses the heads of long values and keeps every tie; the ties are settled on the whole texts.
+    `kind` is `top` (A12: the most frequent, ties in the order of the type), `first` or `last` (A16, for
+    all but plain numbers). Ranking uses the heads of long values and keeps every tie; the ties are
+    settled on the whole texts.
     """
-    present = counts.where(F.col("v").isNotNull()).select(*COLUMN_KEY, "type_class", "v", "digest", "n")
-    ascending = type_order(F.col("type_class"), F.col("v"))
-    kinds = {"top": ([F.col("n").desc(), *ascending], TOP_VALUES)}
+    present = counts.where(F.col("v").isNotNull()).select(
+        *COLUMN_KEY, "type_class", "v", "digest", "i", "d", "n"
+    )
+    ascending = type_order(F.col("v"))
+    parts = [_leading(present, "top", [F.col("n").desc(), *ascending], TOP_VALUES)]
     if boundaries:
-        kinds["first"] = (ascending, 1)
-        kinds["last"] = ([c.desc() for c in ascending], 1)
-    picks = None
-    for kind, (order, k) in kinds.items():
-        rank = F.rank().over(Window.partitionBy(*COLUMN_KEY).orderBy(*order))
-        part = (
-            present.withColumn("_rank", rank).where(F.col("_rank") <= k)
-            .drop("_rank").withColumn("kind", F.lit(kind))
-        )
-        picks = part if picks is None else picks.unionByName(part)
-    texts = whole_texts(materialize(picks, "picks"), source, cleaned)
-    order = type_order(F.col("type_class"), F.col("text"))
+        other = present.where(F.col("i").isNull() & F.col("d").isNull())
+        parts.append(_leading(other, "first", ascending, 1))
+        parts.append(_leading(other, "last", [c.desc() for c in ascending], 1))
+    texts = whole_texts(materialize(union_all(parts), "picks"), source, cleaned)
+    order = type_order(F.col("text"))
     down = F.col("kind") == "last"
-    ranked = texts.withColumn(
-        "rank",
-        F.row_number().over(
-            Window.partitionBy(*COLUMN_KEY, "kind").orderBy(
-                F.when(F.col("kind") == "top", F.col("n")).desc(),
-                *[F.when(~down, c).asc() for c in order],
-                *[F.when(down, c).desc() for c in order],
-            )
-        ),
+    by_text = Window.partitionBy(*COLUMN_KEY, "kind").orderBy(
+        F.when(F.col("kind") == "top", F.col("n")).desc(),
+        *[F.when(~down, c).asc() for c in order],
+        *[F.when(down, c).desc() for c in order],
     )
     limit = F.when(F.col("kind") == "top", TOP_VALUES).otherwise(1)
-    return ranked.where(F.col("rank") <= limit).select(*COLUMN_KEY, "kind", "rank", "n", "text")
+    return (
+        texts.withColumn("rank", F.row_number().over(by_text))
+        .where(F.col("rank") <= limit).select(*COLUMN_KEY, "kind", "rank", "n", "text")
+    )
+
+
+def _leading(counts: DataFrame, kind: str, order: list[Column], k: int) -> DataFrame:
+    rank = F.rank().over(Window.partitionBy(*COLUMN_KEY).orderBy(*order))
+    return counts.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank").withColumn("kind", F.lit(kind))
 
 
 def whole_texts(picks: DataFrame, source, cleaned: bool) -> DataFrame:
@@ -177,13 +188,13 @@ def picks_per_column(picks: DataFrame) -> DataFrame:
     top = F.col("_top.text")
     return picks.groupBy(*COLUMN_KEY).agg(
         in_order.alias("_top"),
-        F.max(F.when(F.col("kind") == "first", F.col("text"))).alias("first_word"),
-        F.max(F.when(F.col("kind") == "last", F.col("text"))).alias("last_word"),
+        F.max(F.when(F.col("kind") == "first", F.col("text"))).alias("first_text"),
+        F.max(F.when(F.col("kind") == "last", F.col("text"))).alias("last_text"),
     ).select(
         *COLUMN_KEY,
         top.alias("freq_word_containment"),
         F.transform(top, F.soundex).alias("freq_word_soundex_containment"),
-        "first_word", "last_word",
+        "first_text", "last_text",
     )
 
 
@@ -247,12 +258,15 @@ def assemble_profile(
         (F.col("frequency_max") / rows).alias("val_pct_max"),
         (F.col("frequency_sd") / rows).alias("val_pct_std"),
         (F.col("frequency_max") / rows).alias("constancy"),
+        F.coalesce("first_number", "first_text").alias("first_word"),
+        F.coalesce("last_number", "last_text").alias("last_word"),
         (F.col("cardinality") == 0).cast("int").alias("is_empty"),
         (F.col("cardinality") == 2).cast("int").alias("is_binary"),
     ).drop(*by_rows).withColumnsRenamed({f"_{c}": c for c in by_rows})
     fields = {f.name: f.dataType.typeName() for f in with_ratios.schema.fields}
     rounded = with_ratios.select(
-        "table_name", "column_name", "column_pos", "data_type", "type_class", "row_count", "non_null",
+        *COLUMN_KEY, "table_name", "column_name", "column_pos", "data_type", "type_class",
+        "row_count", "non_null",
         *[
             F.round(c, 9).alias(c) if fields[c] == "double" else F.col(c)
             for c in (*NUMERIC_METRICS, "skewness", "kurtosis")

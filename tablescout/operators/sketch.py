@@ -19,7 +19,7 @@ def value_hashes(raw_counts: DataFrame) -> DataFrame:
 
 
 def minhash(raw_counts: DataFrame, k: int = SKETCH_SIZE) -> DataFrame:
-    """(table_name, column_pos, sig, n): the k smallest hashes of a column and its distinct count.
+    """(column_id, sig, n): the k smallest hashes of a column and its distinct count.
 
     Hexadecimal text of fixed width sorts like the number. At most k hashes per column leave a
     shuffle partition, so a column of any size ends in k x partitions rows at one task.

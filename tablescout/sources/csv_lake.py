@@ -17,8 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescout.functions.text import as_text, clean_column_names, type_class
-from tablescout.operators.counts import COLUMN_KEY
-from tablescout.sources.source import CellSource, CombinedSource, TableSource
+from tablescout.sources.source import CellSource, CombinedSource, TableSource, column_id
 from tablescout.workspace import materialize
 
 SMALL_FILE_BYTES = 16 * 1024 * 1024
@@ -98,15 +97,19 @@ def small_csv_source(spark: SparkSession, folder: str, small_file_bytes: int = S
         r["table_name"]
         for r in parsed.where(F.col("row_id") == ERROR_ROW).select("table_name").distinct().collect()
     ]
-    names = parsed.where(F.col("row_id") == HEADER_ROW).select(*COLUMN_KEY, F.col("v").alias("column_name"))
+    names = parsed.where(F.col("row_id") == HEADER_ROW).select(
+        column_id(F.col("table_name"), F.col("column_pos")).alias("column_id"),
+        "table_name", "column_pos", F.col("v").alias("column_name"),
+    )
     columns = (
-        names.join(infer_types(cells), COLUMN_KEY, "left")
+        names.join(infer_types(cells), ["table_name", "column_pos"], "left")
         .withColumn("data_type", F.coalesce("data_type", F.lit("string")))
         .withColumn("type_class", type_class(F.col("data_type")))
     )
     columns = materialize(columns, "columns")
-    typed = cells.join(columns.select(*COLUMN_KEY, "data_type"), COLUMN_KEY).select(
-        "table_name", "row_id", "column_pos", typed_text(F.col("data_type"), F.col("v")).alias("v")
+    typed = cells.join(columns.drop("column_name"), ["table_name", "column_pos"]).select(
+        "table_name", "row_id", "column_pos", "column_id", "type_class",
+        typed_text(F.col("data_type"), F.col("v")).alias("v"),
     )
     return CellSource(typed, columns, skipped)
 
@@ -116,12 +119,14 @@ def infer_types(cells: DataFrame) -> DataFrame:
     fits = [
         F.count_if(F.col("v").rlike(pattern)).alias(f"_{name}") for name, pattern in TYPE_PATTERNS.items()
     ]
-    counted = cells.where(F.col("v").isNotNull()).groupBy(*COLUMN_KEY).agg(F.count("*").alias("_all"), *fits)
+    counted = cells.where(F.col("v").isNotNull()).groupBy("table_name", "column_pos").agg(
+        F.count("*").alias("_all"), *fits
+    )
     # Whole numbers also fit the pattern of doubles, so a mixed column becomes a double.
     kind = F.lit("string")
     for name in reversed(TYPE_PATTERNS):
         kind = F.when(F.col(f"_{name}") == F.col("_all"), name).otherwise(kind)
-    return counted.select(*COLUMN_KEY, kind.alias("data_type"))
+    return counted.select("table_name", "column_pos", kind.alias("data_type"))
 
 
 def typed_text(data_type: Column, v: Column) -> Column:

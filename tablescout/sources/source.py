@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,11 +20,9 @@ from tablescout.functions.text import (
 from tablescout.operators.counts import (
     COLUMN_KEY,
     HEAD_CHARS,
-    MAX_TYPED_BRANCHES,
-    count_cells,
-    count_columns,
+    count_tables,
+    count_text,
     digest,
-    melt,
     top_per_group,
     union_all,
 )
@@ -32,6 +31,7 @@ from tablescout.workspace import small_frame
 SAMPLE_ROWS = 3
 
 COLUMN_SCHEMA = pa.schema([
+    ("column_id", pa.int64()),
     ("table_name", pa.string()),
     ("column_pos", pa.int32()),
     ("column_name", pa.string()),
@@ -40,14 +40,28 @@ COLUMN_SCHEMA = pa.schema([
 ])
 
 
+_ID_DIGITS = 15
+
+
+def column_id(table_name: Column, column_pos: Column) -> Column:
+    """The number a column is known by: 60 bits of a hash of its table and position."""
+    digits = F.left(F.md5(F.concat_ws("|", table_name, column_pos)), F.lit(_ID_DIGITS))
+    return F.conv(digits, 16, 10).cast("bigint")
+
+
 @dataclass(frozen=True)
 class Field:
     """One profiled column of a table whose names have been cleaned."""
 
+    table: str
     pos: int
     name: str
     data_type: T.DataType
 
+    @property
+    def column_id(self) -> int:
+        return int(hashlib.md5(f"{self.table}|{self.pos}".encode()).hexdigest()[:_ID_DIGITS], 16)
+
     @property
     def type_name(self) -> str:
         return self.data_type.simpleString()
@@ -61,11 +75,11 @@ class Field:
         return isinstance(self.data_type, (T.StringType, T.CharType, T.VarcharType))
 
 
-def profiled_fields(df: DataFrame, varchar_only: bool = False) -> list[Field]:
+def profiled_fields(table: str, df: DataFrame, varchar_only: bool = False) -> list[Field]:
     """The columns of a table that can be profiled, in order; nested and binary ones are left out."""
     wanted = (T.StringType, T.BooleanType) if varchar_only else (T.DataType,)
     return [
-        Field(pos, f.name, f.dataType)
+        Field(table, pos, f.name, f.dataType)
         for pos, f in enumerate(df.schema.fields)
         if isinstance(f.dataType, wanted) and not isinstance(f.dataType, NESTED_TYPES)
     ]
@@ -77,46 +91,38 @@ class TableSource:
     def __init__(self, tables: dict[str, DataFrame], varchar_only: bool = False,
                  skipped: list[str] | None = None) -> None:
         tables = {name: df.toDF(*clean_column_names(df.columns)) for name, df in tables.items()}
-        fields = {name: profiled_fields(df, varchar_only) for name, df in tables.items()}
+        fields = {name: profiled_fields(name, df, varchar_only) for name, df in tables.items()}
         self.fields = {name: fs for name, fs in fields.items() if fs}
         self.tables = {name: tables[name] for name in self.fields}
         self.skipped = sorted([*(skipped or []), *(name for name, fs in fields.items() if not fs)])
         if not self.tables:
             raise ValueError("There is no table with a column that can be profiled.")
+        ids = [f.column_id for fs in self.fields.values() for f in fs]
+        if len(ids) != len(set(ids)):
+            raise ValueError("Two columns have the same column_id; rename one of their tables.")
 
     @property
     def spark(self) -> SparkSession:
         return next(iter(self.tables.values())).sparkSession
 
     def columns(self) -> DataFrame:
-        """(table_name, column_pos, column_name, data_type, type_class) of every profiled column."""
+        """(column_id, table_name, column_pos, column_name, data_type, type_class) of every column."""
         rows = [
-            {"table_name": table, "column_pos": f.pos, "column_name": f.name,
+            {"column_id": f.column_id, "table_name": table, "column_pos": f.pos, "column_name": f.name,
              "data_type": f.type_name, "type_class": f.type_class}
             for table, fields in self.fields.items() for f in fields
         ]
         return small_frame(self.spark, COLUMN_SCHEMA, rows)
 
-    def cells(self) -> DataFrame:
-        return union_all([melt(name, df, self.fields[name]) for name, df in self.tables.items()])
-
     def raw_counts(self) -> DataFrame:
-        """Value counts; typed per-column branches for a moderate number of columns, else one melt."""
-        if sum(map(len, self.fields.values())) > MAX_TYPED_BRANCHES:
-            return count_cells(self.cells())
-        return union_all([
-            branch
-            for name, df in self.tables.items()
-            for branch in count_columns(name, df, self.fields[name])
-        ])
+        return count_tables(self.tables, self.fields)
 
     def long_texts(self, cleaned: bool) -> DataFrame | None:
         """Whole texts longer than the head with their digest, in the profile or the summary domain."""
         branches = [
             _long_texts(
                 df.select(
-                    F.lit(name).alias("table_name"), F.lit(f.pos).alias("column_pos"),
-                    F.col(f"`{f.name}`").alias("v"),
+                    F.lit(f.column_id).cast("bigint").alias("column_id"), F.col(f"`{f.name}`").alias("v")
                 ),
                 cleaned,
             )
@@ -138,34 +144,36 @@ class TableSource:
 
 
 class CellSource:
-    """Many small tables in long form: `cells` (table_name, row_id, column_pos, v) and their `columns`."""
+    """Many small tables in long form: `cells` (table_name, row_id, column_pos, column_id, type_class, v)
+    and their `columns`."""
 
     def __init__(self, cells: DataFrame, columns: DataFrame, skipped: list[str] | None = None) -> None:
-        self._cells = cells
+        self.cells = cells
         self._columns = columns
         self.skipped = sorted(skipped or [])
+        if columns.select("column_id").distinct().count() != columns.count():
+            raise ValueError("Two columns have the same column_id; rename one of their tables.")
 
     @property
     def spark(self) -> SparkSession:
-        return self._cells.sparkSession
+        return self.cells.sparkSession
 
     def columns(self) -> DataFrame:
         return self._columns
 
-    def cells(self) -> DataFrame:
-        types = self._columns.select(*COLUMN_KEY, "type_class")
-        return self._cells.join(types, COLUMN_KEY)
-
     def raw_counts(self) -> DataFrame:
-        return count_cells(self.cells().select(*COLUMN_KEY, "type_class", "v"))
+        counted = count_text(self.cells.select(*COLUMN_KEY, "type_class", "v"))
+        number = F.when(F.col("type_class") == "numeric", F.col("v"))
+        whole = number.try_cast("bigint")
+        return counted.withColumns({"i": whole, "d": F.when(whole.isNull(), number.try_cast("double"))})
 
     def long_texts(self, cleaned: bool) -> DataFrame:
-        text = self.cells().where(F.col("type_class") == "string").select(*COLUMN_KEY, "v")
+        text = self.cells.where(F.col("type_class") == "string").select(*COLUMN_KEY, "v")
         return _long_texts(text, cleaned)
 
     def sample_rows(self) -> DataFrame:
         # The tables of this source are small files, so a row is put together from its own cells.
-        rows = self._cells.groupBy("table_name", "row_id").agg(
+        rows = self.cells.groupBy("table_name", "row_id").agg(
             F.array_sort(F.collect_list(F.struct("column_pos", F.coalesce("v", F.lit("")).alias("v"))))
             .alias("cells")
         )
@@ -202,9 +210,6 @@ class CombinedSource:
     def columns(self) -> DataFrame:
         return union_all([s.columns() for s in self.sources])
 
-    def cells(self) -> DataFrame:
-        return union_all([s.cells().select(*COLUMN_KEY, "type_class", "v") for s in self.sources])
-
     def raw_counts(self) -> DataFrame:
         return union_all([s.raw_counts() for s in self.sources])
 
