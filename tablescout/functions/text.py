@@ -52,17 +52,16 @@ def clean_column_names(names: list[str]) -> list[str]:
     return out
 
 
-def as_text(c: Column, data_type: T.DataType) -> Column:
-    """The value as text; doubles are printed in plain decimals where Spark would use an exponent."""
-    text = c.cast("string")
+def text_sql(value: str, data_type: T.DataType) -> str:
+    """SQL for a value as text; doubles are printed in plain decimals where Spark would use an exponent."""
+    text = f"cast({value} as string)"
     if not isinstance(data_type, (T.DoubleType, T.FloatType)):
         return text
-    size = F.abs(c)
-    digits = F.regexp_replace(text.cast("decimal(38,20)").cast("string"), "0+$", "")
-    plain = F.regexp_replace(digits, "\\.$", ".0")
-    return F.when(
-        ((size >= 1e7) & (size < 1e16)) | ((size >= 1e-4) & (size < 1e-3)), plain
-    ).otherwise(text)
+    plain = f"regexp_replace(cast(cast({text} as decimal(38,20)) as string), '0+$', '')"
+    return (
+        f"case when abs({value}) >= 1e7D and abs({value}) < 1e16D or abs({value}) >= 1e-4D and abs({value}) < 1e-3D"
+        f" then regexp_replace({plain}, '[.]$', '.0') else {text} end"
+    )
 
 
 def clean_value(v: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescout.functions.text import as_text, clean_value, normalise_value, word_stats
+from tablescout.functions.text import clean_value, normalise_value, text_sql, word_stats
 
 HEAD_CHARS = 256
 
@@ -68,11 +68,13 @@ def melt(df: DataFrame, fields: list, storage: str) -> DataFrame | None:
     chosen = [f for f in fields if storage_of(f.data_type) == storage]
     if not chosen:
         return None
-    cast = {WHOLE: lambda f: F.col(f"`{f.name}`").cast("bigint"),
-            REAL: lambda f: F.col(f"`{f.name}`"),
-            TEXT: lambda f: as_text(F.col(f"`{f.name}`"), f.data_type)}[storage]
+    sql = {
+        WHOLE: lambda f: f"cast(`{f.name}` as bigint)",
+        REAL: lambda f: f"`{f.name}`",
+        TEXT: lambda f: text_sql(f"`{f.name}`", f.data_type),
+    }[storage]
     values = ", ".join(f"{f.column_id}L, '{f.type_class}', c{i}" for i, f in enumerate(chosen))
-    return df.select(*[cast(f).alias(f"c{i}") for i, f in enumerate(chosen)]).selectExpr(
+    return df.selectExpr(*[f"{sql(f)} as c{i}" for i, f in enumerate(chosen)]).selectExpr(
         f"stack({len(chosen)}, {values}) as (column_id, type_class, v)"
     )
 
@@ -90,7 +92,7 @@ def count_real(cells: DataFrame) -> DataFrame:
     """Value counts of doubles."""
     counted = cells.groupBy(*COLUMN_KEY, F.col("v").alias("d")).agg(F.count("*").alias("n"))
     return counted.select(
-        *COLUMN_KEY, F.lit("numeric").alias("type_class"), as_text(F.col("d"), T.DoubleType()).alias("v"),
+        *COLUMN_KEY, F.lit("numeric").alias("type_class"), F.expr(text_sql("d", T.DoubleType())).alias("v"),
         F.lit(None).cast(_LONG).alias("long"), F.lit(None).cast("bigint").alias("i"), "d", "n",
     )
 

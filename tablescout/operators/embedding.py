@@ -30,7 +30,7 @@ def hashing_encoder(texts: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame
     bags = token_weights(texts, dimensions).groupBy("table_name").agg(
         F.map_from_entries(F.collect_list(F.struct("bucket", "tf"))).alias("bag")
     )
-    slots = F.array(*[F.lit(i) for i in range(dimensions)])
+    slots = F.sequence(F.lit(0), F.lit(dimensions - 1))
     dense = F.transform(slots, lambda i: F.coalesce(F.element_at("bag", i), F.lit(0)).cast("double"))
     return (
         texts.join(bags, "table_name", "left")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescout.functions.scores import cardinality_ratio, classify, fixed_length
-from tablescout.functions.text import as_text
+from tablescout.functions.text import text_sql
 from tablescout.operators.counts import COLUMN_KEY, type_order, union_all
 from tablescout.workspace import materialize
 
@@ -40,93 +42,84 @@ ZSCORED_METRICS = (
 )
 
 
-def word_metrics(counts: DataFrame) -> DataFrame:
-    """Row counts, word lengths and word counts from profile-domain counts.
-
-    The bounds of numbers (A16) are part of the same aggregation.
-    """
-    n, words = F.col("n"), F.col("words").cast("double")
-    present = F.col("v").isNotNull()
-    bounds = {f"_{end}_{c}": agg(c) for c in ("i", "d") for end, agg in (("first", F.min), ("last", F.max))}
-    sums = counts.groupBy(*COLUMN_KEY).agg(
-        F.sum("n").alias("row_count"),
-        F.sum(F.when(present, n).otherwise(0)).alias("non_null"),
-        F.max("w_max").cast("bigint").alias("len_max_word"),
-        F.min("w_min").cast("bigint").alias("len_min_word"),
-        F.sum(n * F.col("w_avg")).alias("_w_avg"),
-        F.sum(n * F.col("words")).alias("number_words"),
-        F.max("words").cast("bigint").alias("words_cnt_max"),
-        F.min("words").cast("bigint").alias("words_cnt_min"),
-        F.sum(n * words * words).alias("_words2"),
-        *[c.alias(name) for name, c in bounds.items()],
-    )
-    total, weight = F.col("number_words").cast("double"), F.col("non_null").cast("double")
-    variance = (F.col("_words2") - total * total / weight) / weight
-    return sums.where(F.col("non_null") > 0).select(
-        *COLUMN_KEY, "row_count", "non_null", "len_max_word", "len_min_word",
-        (F.col("_w_avg") / weight).alias("len_avg_word"),
-        "number_words", "words_cnt_max", "words_cnt_min",
-        (total / weight).alias("words_cnt_avg"),
-        F.sqrt(F.greatest(F.lit(0.0), variance)).alias("words_cnt_sd"),
-        *[
-            F.coalesce(F.col(f"_{end}_i").cast("string"), as_text(F.col(f"_{end}_d"), T.DoubleType()))
-            .alias(f"{end}_number")
-            for end in ("first", "last")
-        ],
-    )
-
-
-def frequency_metrics(counts: DataFrame) -> DataFrame:
-    """A3, A4, A8-A11 from the frequencies of frequencies of each column.
+def column_metrics(counts: DataFrame) -> DataFrame:
+    """A1-A4, A8-A10, A14, A15 and, for numbers, A16, from profile-domain value counts.
 
-    A column of N rows has at most sqrt(2 N) different frequencies, so the window below orders a
-    number of rows per column that stays small where N does not.
+    Values are first reduced to one row per (column, frequency). A column of N rows has at most
+    sqrt(2 N) different frequencies, so what the windows below order stays small where N does not.
     """
-    by_column = Window.partitionBy(*COLUMN_KEY)
-    up_to = by_column.orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n, m = F.col("n").cast("double"), F.col("m").cast("double")
-    size, total = F.col("cardinality").cast("double"), F.col("non_null").cast("double")
-    off = n - total / size
-    spectrum = (
-        counts.where(F.col("v").isNotNull())
-        .groupBy(*COLUMN_KEY, "n").agg(F.count("*").alias("m"))
-        .withColumn("up_to", F.sum("m").over(up_to))
-        .withColumn("cardinality", F.sum("m").over(by_column))
-        .withColumn("non_null", F.sum(F.col("n") * F.col("m")).over(by_column))
-    )
-    moments = spectrum.groupBy(*COLUMN_KEY, "cardinality", "non_null").agg(
-        F.sum(m * n / total * F.log2(total / n)).alias("entropy"),
-        F.min("n").alias("frequency_min"),
-        F.max("n").alias("frequency_max"),
-        *[(F.sum(m * F.pow(off, F.lit(i))) / F.max(size)).alias(f"m{i}") for i in (2, 3, 4)],
-        *[
-            F.min(F.when(F.col("up_to") >= size * F.lit(i / 8), F.col("n"))).alias(f"q{i}")
-            for i in OCTILES
-        ],
-    )
-    return moments.select(
-        *COLUMN_KEY, "cardinality", "entropy",
-        (total / size).alias("frequency_avg"),
-        "frequency_min", "frequency_max",
-        F.sqrt("m2").alias("frequency_sd"),
-        (F.col("q6") - F.col("q2")).alias("frequency_iqr"),
-        *[F.col(f"q{i}").alias(f"frequency_{i}qo") for i in OCTILES],
-        _skewness(size).alias("skewness"),
-        _kurtosis(size).alias("kurtosis"),
+    spectrum = counts.groupBy(*COLUMN_KEY, F.expr("v is null").alias("missing"), "n").agg(*_exprs(
+        m="count(*)",
+        w_max="max(w_max)", w_min="min(w_min)", w_avg="sum(w_avg)",
+        words="sum(words)", words2="sum(double(words) * words)", words_max="max(words)", words_min="min(words)",
+        i_min="min(i)", i_max="max(i)", d_min="min(d)", d_max="max(d)",
+    ))
+    column = "partition by column_id, missing"
+    ranked = spectrum.select(
+        "*",
+        *_exprs(
+            up_to=f"sum(m) over ({column} order by n rows between unbounded preceding and current row)",
+            size=f"double(sum(m) over ({column}))",
+            total=f"double(sum(n * m) over ({column}))",
+        ),
     )
-
-
-def _skewness(size: Column) -> Column:
-    """Bias-corrected skewness of the frequencies; 0 where it is undefined."""
-    g1 = F.col("m3") / F.pow(F.col("m2"), F.lit(1.5))
-    return F.when((size > 2) & (F.col("m2") > 0), g1 * F.sqrt(size * (size - 1)) / (size - 2)).otherwise(0.0)
-
-
-def _kurtosis(size: Column) -> Column:
-    """Bias-corrected excess kurtosis of the frequencies; 0 where it is undefined."""
-    g2 = F.col("m4") / (F.col("m2") * F.col("m2")) - 3
-    corrected = (size - 1) / ((size - 2) * (size - 3)) * ((size + 1) * g2 + 6)
-    return F.when((size > 3) & (F.col("m2") > 0), corrected).otherwise(0.0)
+    present = {
+        "non_null": "sum(n * m)",
+        "cardinality": "sum(m)",
+        "entropy": "sum(double(m) * n / total * log2(total / n))",
+        "f_min": "min(n)",
+        "f_max": "max(n)",
+        **{f"m{k}": f"sum(m * power(n - total / size, {k})) / max(size)" for k in (2, 3, 4)},
+        **{f"q{k}": f"min(case when up_to >= size * {k / 8}D then n end)" for k in OCTILES},
+        "w_avg": "sum(n * w_avg)",
+        "number_words": "sum(n * words)",
+        "words2": "sum(n * words2)",
+        "w_max": "max(w_max)", "w_min": "min(w_min)",
+        "words_max": "max(words_max)", "words_min": "min(words_min)",
+        "i_min": "min(i_min)", "i_max": "max(i_max)", "d_min": "min(d_min)", "d_max": "max(d_max)",
+    }
+    # Only the row count looks at NULLs as well.
+    sums = ranked.groupBy(*COLUMN_KEY).agg(*_exprs(
+        row_count="sum(n * m)",
+        **{name: _filtered(sql) for name, sql in present.items()},
+    )).where("non_null > 0")
+    bound = {
+        end: f"coalesce(cast(i_{agg} as string), {text_sql(f'd_{agg}', T.DoubleType())})"
+        for end, agg in (("first_number", "min"), ("last_number", "max"))
+    }
+    variance = "(words2 - double(number_words) * number_words / non_null) / non_null"
+    return sums.select(*COLUMN_KEY, "row_count", "non_null", "cardinality", "entropy", *_exprs(
+        frequency_avg="double(non_null) / cardinality",
+        frequency_min="f_min", frequency_max="f_max", frequency_sd="sqrt(m2)",
+        frequency_iqr="q6 - q2", **{f"frequency_{k}qo": f"q{k}" for k in OCTILES},
+        skewness=_SKEWNESS, kurtosis=_KURTOSIS,
+        len_max_word="bigint(w_max)", len_min_word="bigint(w_min)", len_avg_word="w_avg / non_null",
+        number_words="number_words", words_cnt_max="bigint(words_max)", words_cnt_min="bigint(words_min)",
+        words_cnt_avg="double(number_words) / non_null",
+        words_cnt_sd=f"sqrt(greatest(0D, {variance}))",
+        **bound,
+    ))
+
+
+def _exprs(**named: str) -> list[Column]:
+    return [F.expr(sql).alias(name) for name, sql in named.items()]
+
+
+def _filtered(sql: str) -> str:
+    """An aggregate over the rows of present values only."""
+    return re.sub(r"\b(sum|min|max)(\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))", r"\1\2 filter (where not missing)", sql)
+
+
+# Bias-corrected skewness and excess kurtosis of the frequencies; 0 where they are undefined.
+_C = "double(cardinality)"
+_SKEWNESS = (
+    f"case when cardinality > 2 and m2 > 0 then m3 / power(m2, 1.5D)"
+    f" * sqrt({_C} * ({_C} - 1)) / ({_C} - 2) else 0D end"
+)
+_KURTOSIS = (
+    f"case when cardinality > 3 and m2 > 0 then ({_C} - 1) / (({_C} - 2) * ({_C} - 3))"
+    f" * (({_C} + 1) * (m4 / (m2 * m2) - 3) + 6) else 0D end"
+)
 
 
 def picked_values(counts: DataFrame, source, cleaned: bool, boundaries: bool = True) -> DataFrame:
@@ -168,14 +161,15 @@ def _leading(counts: DataFrame, kind: str, order: list[Column], k: int) -> DataF
 def whole_texts(picks: DataFrame, source, cleaned: bool) -> DataFrame:
     """Add `text`: the value itself, fetched by digest from the source where only its head is known."""
     long = picks.where(F.col("digest").isNotNull())
-    n_long = long.count()
-    if n_long == 0:
+    per_column = {r["column_id"]: r["count"] for r in long.groupBy("column_id").count().collect()}
+    if not per_column:
         return picks.withColumn("text", F.col("v"))
     key = [*COLUMN_KEY, "digest"]
     wanted = long.select(*key).distinct()
-    if n_long <= MAX_BROADCAST_PICKS:
+    if sum(per_column.values()) <= MAX_BROADCAST_PICKS:
         wanted = F.broadcast(wanted)
-    found = source.long_texts(cleaned).join(wanted, key).groupBy(*key).agg(F.first("text").alias("text"))
+    texts = source.long_texts(cleaned, set(per_column))
+    found = texts.join(wanted, key).groupBy(*key).agg(F.first("text").alias("text"))
     return (
         picks.join(found, key, "left")
         .withColumn("text", F.coalesce("text", "v"))
@@ -210,69 +204,45 @@ def value_sets(profile: DataFrame) -> DataFrame:
     )
 
 
-def value_lengths(counts: DataFrame) -> DataFrame:
-    """Character lengths of whole values of text columns, from summary-domain counts."""
-    chars, n = F.col("chars"), F.col("n")
-    return (
-        counts.where((F.col("type_class") == "string") & F.col("v").isNotNull())
-        .groupBy(*COLUMN_KEY)
-        .agg(
-            F.min(chars).alias("val_len_min"),
-            F.max(chars).alias("val_len_max"),
-            (F.sum(n * chars) / F.sum(n)).alias("val_len_avg"),
-        )
-    )
-
-
-def text_entropy(counts: DataFrame) -> DataFrame:
-    """Entropy of the raw values with the summary's epsilon."""
-    share = F.col("n") / F.sum(F.col("n") * F.col("m")).over(Window.partitionBy(*COLUMN_KEY))
-    return (
-        counts.where(F.col("v").isNotNull())
-        .groupBy(*COLUMN_KEY, "n").agg(F.count("*").alias("m"))
-        .withColumn("p", share)
-        .groupBy(*COLUMN_KEY)
-        .agg((-F.sum(F.col("m") * F.col("p") * F.log2(F.col("p") + 1e-10))).alias("text_entropy"))
-    )
+def text_metrics(counts: DataFrame) -> DataFrame:
+    """A18 (text columns) and A19 from summary-domain value counts."""
+    spectrum = counts.where("v is not null").groupBy(*COLUMN_KEY, "type_class", "n").agg(*_exprs(
+        m="count(*)", c_min="min(chars)", c_max="max(chars)", chars="sum(chars)",
+    ))
+    shares = spectrum.withColumn("p", F.expr("double(n) / sum(n * m) over (partition by column_id)"))
+    text = "filter (where type_class = 'string')"
+    return shares.groupBy(*COLUMN_KEY).agg(*_exprs(
+        val_len_min=f"min(c_min) {text}", val_len_max=f"max(c_max) {text}",
+        val_len_avg=f"double(sum(n * chars) {text}) / sum(n * m) {text}",
+        text_entropy="-sum(m * p * log2(p + 1e-10D))",
+    ))
 
 
-def assemble_profile(
-    columns: DataFrame, words: DataFrame, frequencies: DataFrame, picks: DataFrame, lengths: DataFrame
-) -> DataFrame:
+def assemble_profile(columns: DataFrame, metrics: DataFrame, picks: DataFrame, texts: DataFrame) -> DataFrame:
     """The column profile: P4, P6, P14, P15, P18, A5, A6, A11, A17 on top of the joined metric groups.
 
-    Every input has one row per column, so the joins are as small as the lake's schema.
+    Every input has one row per column and is partitioned by column already.
     """
-    rows = F.col("row_count").cast("double")
-    joined = (
-        words.join(frequencies, COLUMN_KEY).join(picks, COLUMN_KEY).join(lengths, COLUMN_KEY, "left")
-        .join(columns, COLUMN_KEY)
-    )
-    by_rows = ["frequency_iqr", *[f"frequency_{i}qo" for i in OCTILES]]
-    with_ratios = joined.select(
-        "*",
-        *[(F.col(c) / rows).alias(f"_{c}") for c in by_rows],
-        (F.col("cardinality") / rows).alias("uniqueness"),
-        ((F.col("row_count") - F.col("non_null")) / rows).alias("incompleteness"),
-        (F.col("frequency_min") / rows).alias("val_pct_min"),
-        (F.col("frequency_max") / rows).alias("val_pct_max"),
-        (F.col("frequency_sd") / rows).alias("val_pct_std"),
-        (F.col("frequency_max") / rows).alias("constancy"),
-        F.coalesce("first_number", "first_text").alias("first_word"),
-        F.coalesce("last_number", "last_text").alias("last_word"),
-        (F.col("cardinality") == 0).cast("int").alias("is_empty"),
-        (F.col("cardinality") == 2).cast("int").alias("is_binary"),
-    ).drop(*by_rows).withColumnsRenamed({f"_{c}": c for c in by_rows})
-    fields = {f.name: f.dataType.typeName() for f in with_ratios.schema.fields}
-    rounded = with_ratios.select(
+    joined = metrics.join(picks, COLUMN_KEY).join(texts, COLUMN_KEY).join(columns, COLUMN_KEY)
+    ratios = {
+        "uniqueness": "cardinality", "incompleteness": "(row_count - non_null)",
+        "val_pct_min": "frequency_min", "val_pct_max": "frequency_max", "val_pct_std": "frequency_sd",
+        "constancy": "frequency_max",
+        **{name: name for name in ("frequency_iqr", *(f"frequency_{k}qo" for k in OCTILES))},
+    }
+    fractions = ("entropy", "frequency_avg", "frequency_sd", "len_avg_word", "words_cnt_avg", "words_cnt_sd",
+                 "skewness", "kurtosis")
+    sql = {
+        **{name: name for name in (*NUMERIC_METRICS, "skewness", "kurtosis")},
+        **{name: f"round({name}, 9)" for name in fractions},
+        **{name: f"round(double({over}) / row_count, 9)" for name, over in ratios.items()},
+        "is_empty": "int(cardinality = 0)", "is_binary": "int(cardinality = 2)",
+        "first_word": "coalesce(first_number, first_text)", "last_word": "coalesce(last_number, last_text)",
+    }
+    rounded = joined.select(
         *COLUMN_KEY, "table_name", "column_name", "column_pos", "data_type", "type_class",
-        "row_count", "non_null",
-        *[
-            F.round(c, 9).alias(c) if fields[c] == "double" else F.col(c)
-            for c in (*NUMERIC_METRICS, "skewness", "kurtosis")
-        ],
-        *SET_METRICS, *TEXT_METRICS,
-        "val_len_min", "val_len_max", "val_len_avg",
+        "row_count", "non_null", *_exprs(**sql), *SET_METRICS,
+        "val_len_min", "val_len_max", "val_len_avg", "text_entropy",
     )
     c = F.col
     role = classify(

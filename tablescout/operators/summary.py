@@ -45,15 +45,14 @@ def table_sample(columns: DataFrame, sample_rows: DataFrame) -> DataFrame:
 
 
 def executive_summary(
-    columns: DataFrame, top: DataFrame, lengths: DataFrame, entropies: DataFrame, null_ratios: DataFrame
+    columns: DataFrame, top: DataFrame, texts: DataFrame, null_ratios: DataFrame
 ) -> DataFrame:
     """(table_name, summary) from per-column and per-table results that are already small."""
     in_order = F.array_sort(F.collect_list(F.struct("rank", "text")))
     tops = top.groupBy(*COLUMN_KEY).agg(F.array_join(in_order["text"], ", ").alias("_top"))
     nth = F.row_number().over(Window.partitionBy("table_name", "type_class").orderBy("column_pos"))
     described = (
-        columns.join(lengths, COLUMN_KEY, "left").join(entropies, COLUMN_KEY, "left")
-        .join(tops, COLUMN_KEY, "left")
+        columns.join(texts, COLUMN_KEY, "left").join(tops, COLUMN_KEY, "left")
         .withColumn("_nth", nth)
         .withColumn("_text", _text_column())
     )

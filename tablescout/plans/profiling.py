@@ -51,10 +51,9 @@ class Profile:
     def lazy_column_profile(self) -> DataFrame:
         return p.assemble_profile(
             self.columns,
-            p.word_metrics(self.counts),
-            p.frequency_metrics(self.counts),
+            p.column_metrics(self.counts),
             p.picks_per_column(self.picks),
-            p.value_lengths(self.summary_counts),
+            p.text_metrics(self.summary_counts),
         )
 
     @cached_property
@@ -77,8 +76,9 @@ class Profile:
         shown = self.summary_counts.join(named, c.COLUMN_KEY, "left_semi")
         top = p.top_values(p.picked_values(shown, self.source, cleaned=False, boundaries=False))
         return executive_summary(
-            self.columns, top, p.value_lengths(self.summary_counts),
-            p.text_entropy(self.summary_counts), self.table_profile,
+            self.columns, top,
+            self.column_profile.select("column_id", "val_len_min", "val_len_max", "text_entropy"),
+            self.table_profile,
         )
 
     @cached_property

@@ -161,10 +161,8 @@ def raw_value_counts(spark, sf_dir):
        f" {_r('uniqueness', 'incompleteness', 'entropy')} from profile")
 def cardinality_metrics(spark, sf_dir):
     prof = lake_profile(spark, sf_dir)
-    words = p.word_metrics(prof.counts).select("column_id", "row_count", "non_null")
-    freq = p.frequency_metrics(prof.counts).select("column_id", "cardinality", "entropy")
     rows = F.col("row_count")
-    return named(prof, words.join(freq, "column_id").select(
+    return named(prof, p.column_metrics(prof.counts).select(
         "column_id", "row_count", "non_null", whole("cardinality"),
         real(F.col("cardinality") / rows, "uniqueness"),
         real((rows - F.col("non_null")) / rows, "incompleteness"), real("entropy"),
@@ -194,7 +192,7 @@ def frequency_octiles(spark, sf_dir):
 @query(f"select table_name, column_name, {_r('skewness', 'kurtosis')} from profile")
 def skew_kurtosis(spark, sf_dir):
     prof = lake_profile(spark, sf_dir)
-    return named(prof, p.frequency_metrics(prof.counts).select("column_id", real("skewness"), real("kurtosis")))
+    return named(prof, p.column_metrics(prof.counts).select("column_id", real("skewness"), real("kurtosis")))
 
 
 @query("select table_name, column_name, cast(rank as bigint) as rank, cast(n as bigint) as n, p as value"
@@ -222,7 +220,7 @@ def value_sets(spark, sf_dir):
 @query(f"select table_name, column_name, {_i('len_max_word', 'len_min_word')}, {_r('len_avg_word')} from profile")
 def word_lengths(spark, sf_dir):
     prof = lake_profile(spark, sf_dir)
-    return named(prof, p.word_metrics(prof.counts).select(
+    return named(prof, p.column_metrics(prof.counts).select(
         "column_id", "len_max_word", "len_min_word", real("len_avg_word")
     ))
 
@@ -231,7 +229,7 @@ def word_lengths(spark, sf_dir):
        f" {_r('words_cnt_avg', 'words_cnt_sd')} from profile")
 def word_counts(spark, sf_dir):
     prof = lake_profile(spark, sf_dir)
-    return named(prof, p.word_metrics(prof.counts).select(
+    return named(prof, p.column_metrics(prof.counts).select(
         "column_id", whole("number_words"), "words_cnt_max", "words_cnt_min",
         real("words_cnt_avg"), real("words_cnt_sd"),
     ))
@@ -255,7 +253,7 @@ def column_flags(spark, sf_dir):
        " from raw_lengths join cols using (table_name, column_pos)")
 def value_lengths(spark, sf_dir):
     prof = lake_profile(spark, sf_dir)
-    return named(prof, p.value_lengths(prof.summary_counts).select(
+    return named(prof, p.text_metrics(prof.summary_counts).where("val_len_min is not null").select(
         "column_id", whole("val_len_min"), whole("val_len_max"), real("val_len_avg")
     ))
 
@@ -264,7 +262,7 @@ def value_lengths(spark, sf_dir):
        " from raw_entropy join cols using (table_name, column_pos)")
 def text_entropy(spark, sf_dir):
     prof = lake_profile(spark, sf_dir)
-    return named(prof, p.text_entropy(prof.summary_counts).select("column_id", real("text_entropy")))
+    return named(prof, p.text_metrics(prof.summary_counts).select("column_id", real("text_entropy")))
 
 
 _WHOLE = ("row_count", "non_null", "cardinality", "frequency_min", "frequency_max", "len_max_word", "len_min_word",

@@ -15,8 +15,9 @@ from urllib.parse import unquote
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tablescout.functions.text import as_text, clean_column_names, type_class
+from tablescout.functions.text import clean_column_names, text_sql, type_class
 from tablescout.sources.source import CellSource, CombinedSource, TableSource, column_id
 from tablescout.workspace import materialize
 
@@ -109,7 +110,7 @@ def small_csv_source(spark: SparkSession, folder: str, small_file_bytes: int = S
     columns = materialize(columns, "columns")
     typed = cells.join(columns.drop("column_name"), ["table_name", "column_pos"]).select(
         "table_name", "row_id", "column_pos", "column_id", "type_class",
-        typed_text(F.col("data_type"), F.col("v")).alias("v"),
+        typed_text().alias("v"),
     )
     return CellSource(typed, columns, skipped)
 
@@ -129,13 +130,12 @@ def infer_types(cells: DataFrame) -> DataFrame:
     return counted.select("table_name", "column_pos", kind.alias("data_type"))
 
 
-def typed_text(data_type: Column, v: Column) -> Column:
-    """The text a value has once it is read as its type (`007` becomes `7`)."""
-    from pyspark.sql import types as T
-
+def typed_text() -> Column:
+    """The text a value `v` has once it is read as its type (`007` becomes `7`)."""
+    data_type, v = F.col("data_type"), F.col("v")
     return (
         F.when(data_type == "bigint", v.try_cast("bigint").cast("string"))
-        .when(data_type == "double", as_text(v.try_cast("double"), T.DoubleType()))
+        .when(data_type == "double", F.expr(text_sql("try_cast(v as double)", T.DoubleType())))
         .when(data_type == "timestamp", F.coalesce(v.try_cast("timestamp_ntz").cast("string"), v))
         .when(data_type == "boolean", F.lower(v))
         .otherwise(v)

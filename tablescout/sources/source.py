@@ -12,17 +12,19 @@ from pyspark.sql import types as T
 
 from tablescout.functions.text import (
     NESTED_TYPES,
-    as_text,
     clean_column_names,
     clean_value,
+    text_sql,
     type_class_of,
 )
 from tablescout.operators.counts import (
     COLUMN_KEY,
     HEAD_CHARS,
+    TEXT,
     count_tables,
     count_text,
     digest,
+    melt,
     top_per_group,
     union_all,
 )
@@ -117,27 +119,23 @@ class TableSource:
     def raw_counts(self) -> DataFrame:
         return count_tables(self.tables, self.fields)
 
-    def long_texts(self, cleaned: bool) -> DataFrame | None:
-        """Whole texts longer than the head with their digest, in the profile or the summary domain."""
-        branches = [
-            _long_texts(
-                df.select(
-                    F.lit(f.column_id).cast("bigint").alias("column_id"), F.col(f"`{f.name}`").alias("v")
-                ),
-                cleaned,
-            )
-            for name, df in self.tables.items() for f in self.fields[name] if f.is_text
+    def long_texts(self, cleaned: bool, column_ids: set[int]) -> DataFrame | None:
+        """Whole texts longer than the head with their digest, in the profile or the summary domain.
+
+        Only the columns asked for are read.
+        """
+        melted = [
+            melt(df, [f for f in self.fields[name] if f.column_id in column_ids], TEXT)
+            for name, df in self.tables.items()
         ]
-        return union_all(branches) if branches else None
+        found = [m for m in melted if m is not None]
+        return _long_texts(union_all(found), cleaned) if found else None
 
     def sample_rows(self) -> DataFrame:
         """(table_name, h, row_text): the SAMPLE_ROWS rows of each table with the smallest row hash."""
         return union_all([
             _smallest(
-                df.select(F.concat_ws(" | ", *[
-                    F.coalesce(as_text(F.col(f"`{f.name}`"), f.data_type), F.lit(""))
-                    for f in self.fields[name]
-                ]).alias("row_text"))
+                df.selectExpr(f"concat_ws(' | ', {', '.join(map(_cell_text, self.fields[name]))}) as row_text")
             ).select(F.lit(name).alias("table_name"), "h", "row_text")
             for name, df in self.tables.items()
         ])
@@ -167,9 +165,8 @@ class CellSource:
         whole = number.try_cast("bigint")
         return counted.withColumns({"i": whole, "d": F.when(whole.isNull(), number.try_cast("double"))})
 
-    def long_texts(self, cleaned: bool) -> DataFrame:
-        text = self.cells.where(F.col("type_class") == "string").select(*COLUMN_KEY, "v")
-        return _long_texts(text, cleaned)
+    def long_texts(self, cleaned: bool, column_ids: set[int]) -> DataFrame | None:
+        return _long_texts(self.cells.where(F.col("column_id").isin(*column_ids)), cleaned)
 
     def sample_rows(self) -> DataFrame:
         # The tables of this source are small files, so a row is put together from its own cells.
@@ -190,6 +187,10 @@ def _long_texts(rows: DataFrame, cleaned: bool) -> DataFrame:
     )
 
 
+def _cell_text(f: Field) -> str:
+    return f"coalesce({text_sql(f'`{f.name}`', f.data_type)}, '')"
+
+
 def _smallest(rows: DataFrame) -> DataFrame:
     return rows.withColumn("h", F.md5("row_text")).orderBy("h").limit(SAMPLE_ROWS)
 
@@ -213,8 +214,8 @@ class CombinedSource:
     def raw_counts(self) -> DataFrame:
         return union_all([s.raw_counts() for s in self.sources])
 
-    def long_texts(self, cleaned: bool) -> DataFrame | None:
-        found = [t for s in self.sources if (t := s.long_texts(cleaned)) is not None]
+    def long_texts(self, cleaned: bool, column_ids: set[int]) -> DataFrame | None:
+        found = [t for s in self.sources if (t := s.long_texts(cleaned, column_ids)) is not None]
         return union_all(found) if found else None
 
     def sample_rows(self) -> DataFrame:

@@ -43,7 +43,7 @@ def difference(spark_df, con, sql):
         return f"{len(got)} rows != {len(want)}"
     got.sort(key=key)
     want.sort(key=key)
-    bad = []
+    bad, inexact = [], 0
     for g, w in zip(got, want):
         for a, b in zip(g, w):
             if isinstance(a, float) or isinstance(b, float):
@@ -51,9 +51,12 @@ def difference(spark_df, con, sql):
                                   and math.isclose(float(a), float(b), rel_tol=1e-6, abs_tol=1.5e-6))
             else:
                 same = a == b
+            inexact += same and a != b
             if not same:
                 bad.append((g, w))
                 break
+    if not bad and inexact:
+        return f"ok, but {inexact} floats differ in the last digit"
     return None if not bad else f"{len(bad)} rows differ, first: {bad[0]}"[:1500]
 
 
