@@ -13,13 +13,14 @@ from collections.abc import Iterator
 from urllib.parse import unquote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescout.functions.text import clean_column_names, text_sql, type_class
 from tablescout.sources.source import CellSource, CombinedSource, TableSource, column_id
-from tablescout.workspace import materialize
+from tablescout.workspace import materialize, small_frame
 
 SMALL_FILE_BYTES = 16 * 1024 * 1024
 UNSPLIT_FILE_BYTES = 1024 * 1024 * 1024
@@ -34,6 +35,8 @@ TYPE_PATTERNS = {
     "double": "^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$",
 }
 
+_SPARK_TYPES = {"timestamp": "timestamp_ntz"}
+
 # Row numbers of cells that are not data.
 HEADER_ROW = -1
 ERROR_ROW = -2
@@ -42,33 +45,66 @@ _CELL_SCHEMA = "table_name string, row_id bigint, column_pos int, v string"
 _ROWS_PER_BATCH = 5_000
 
 
+_FILE_SCHEMA = pa.schema([("table_name", pa.string()), ("path", pa.string()), ("length", pa.int64())])
+
+
+def _list_csv(spark: SparkSession, folder: str) -> list[dict]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listing = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    files = [
+        {"table_name": f.getPath().getName(), "path": f.getPath().toString(), "length": f.getLen()}
+        for f in listing if f.isFile() and f.getPath().getName().lower().endswith(".csv")
+    ]
+    return sorted(files, key=lambda f: f["table_name"])
+
+
 def discover_csv(spark: SparkSession, folder: str) -> DataFrame:
-    """(table_name, path, length) of the CSV files of a folder; only the listing is read."""
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.[cC][sS][vV]").load(folder)
-        .select(F.regexp_extract("path", "([^/]+)$", 1).alias("table_name"), "path", "length")
-    )
-    return files.orderBy("table_name")
+    """(table_name, path, length) of the CSV files of a folder, from the listing alone."""
+    return small_frame(spark, _FILE_SCHEMA, _list_csv(spark, folder)).orderBy("table_name")
 
 
 def read_csv(spark: SparkSession, path: str, multi_line: bool = True, as_strings: bool = False) -> DataFrame:
-    """S2 (typed) or S3 (all text): header, lenient, rows that do not fit are dropped.
+    """S2 (typed) or S3 (all text): header, lenient, rows that do not fit the header are dropped.
 
     `multi_line` accepts line breaks inside quotes and makes a file one task; turn it off to let
-    Spark split a large file.
+    Spark split a large file. Types come from one aggregation over the rows that are kept.
     """
-    return (
+    text = (
         spark.read.option("header", True).option("mode", "DROPMALFORMED").option("escape", '"')
-        .option("multiLine", multi_line).option("inferSchema", not as_strings).csv(path)
+        # A row's width can only be checked if all of its columns are parsed.
+        .option("columnPruning", False).option("multiLine", multi_line).csv(path)
     )
+    text = text.toDF(*clean_column_names(text.columns))
+    return text if as_strings else _typed(text)
+
+
+def _typed(text: DataFrame) -> DataFrame:
+    """A wide table of text with every column cast to the type all of its values fit."""
+    if not text.columns:
+        return text
+    present = [F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(text.columns)]
+    fits = [
+        F.count_if(F.col(f"`{c}`").rlike(pattern)).alias(f"n{i}_{name}")
+        for i, c in enumerate(text.columns) for name, pattern in TYPE_PATTERNS.items()
+    ]
+    counts = text.agg(*present, *fits).first()
+
+    def cast(i: int, c: str) -> str:
+        n = counts[f"n{i}"]
+        kind = next((k for k in TYPE_PATTERNS if n and counts[f"n{i}_{k}"] == n), "string")
+        return f"try_cast(`{c}` as {_SPARK_TYPES.get(kind, kind)}) as `{c}`"
+
+    return text.selectExpr(*[cast(i, c) for i, c in enumerate(text.columns)])
 
 
 def csv_source(spark: SparkSession, folder: str, small_file_bytes: int = SMALL_FILE_BYTES):
     """A profile source over every CSV file of a folder; unreadable files end up in `skipped`."""
-    files = discover_csv(spark, folder).collect()
+    files = _list_csv(spark, folder)
     if not files:
         raise ValueError(f"No CSV file found in {folder}")
-    sources, skipped, tables = [], [], {}
+    # Spark's readers leave empty files out of a listing.
+    skipped = [f["table_name"] for f in files if f["length"] == 0]
+    sources, tables = [], {}
     for f in files:
         if f["length"] <= small_file_bytes:
             continue
@@ -76,12 +112,12 @@ def csv_source(spark: SparkSession, folder: str, small_file_bytes: int = SMALL_F
             df = read_csv(spark, f["path"], multi_line=f["length"] <= UNSPLIT_FILE_BYTES)
             if not df.columns or df.isEmpty():
                 raise ValueError("The file has no rows or no columns.")
-            tables[unquote(f["table_name"])] = df
+            tables[f["table_name"]] = df
         except Exception:  # a bad file must not stop the build
-            skipped.append(unquote(f["table_name"]))
+            skipped.append(f["table_name"])
     if tables:
         sources.append(TableSource(tables))
-    if any(f["length"] <= small_file_bytes for f in files):
+    if any(0 < f["length"] <= small_file_bytes for f in files):
         sources.append(small_csv_source(spark, folder, small_file_bytes))
     return CombinedSource(sources, skipped)
 
