@@ -143,6 +143,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def vector_literal(vec: list[float]) -> Column:
+    """A vector held by the driver as one constant."""
+    return F.expr(f"array({', '.join(f'{float(x)!r}D' for x in vec)})")
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Dot product of unit vectors, never below 0, and 0 where one is missing."""
     return F.coalesce(F.greatest(F.lit(0.0), dot(a, b)), F.lit(0.0))

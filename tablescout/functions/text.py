@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 DATE_TYPE_PATTERN = "DATE|TIMESTAMP|TIME"
 NUMERIC_TYPE_PATTERN = "INT|FLOAT|DOUBLE|DECIMAL|NUMERIC|REAL|BIGINT|HUGEINT"
 
+# What counts as white space around a value in the sketch domain.
+WHITE_SPACE = " \t\n\x0b\f\r"
+
 NESTED_TYPES = (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType)
 
 
@@ -72,7 +75,7 @@ def clean_value(v: Column) -> Column:
 
 def normalise_value(v: Column) -> Column:
     """Sketch domain. All outer white space goes, inner line breaks stay."""
-    return F.lower(F.regexp_replace(v, "^\\s+|\\s+$", ""))
+    return F.lower(F.trim(v, F.lit(WHITE_SPACE)))
 
 
 def name_tokens(name: Column) -> Column:
@@ -91,14 +94,22 @@ def integer_or(c: Column, default: int = 0) -> Column:
     return number_or(c, default).try_cast("bigint")
 
 
-def word_stats(p: Column) -> dict[str, Column]:
-    """A14/A15 for one value: words are the pieces between single blanks, empty ones included."""
-    letters = F.length(F.replace(p, F.lit(" "), F.lit("")))
-    words = F.length(p) - letters + F.lit(1)
-    lengths = F.transform(F.split(p, " "), F.length)
-    return {
-        "w_max": F.when(words == 1, F.length(p)).otherwise(F.array_max(lengths)),
-        "w_min": F.when(words == 1, F.length(p)).otherwise(F.array_min(lengths)),
-        "w_avg": letters / words,
-        "words": words,
-    }
+def with_word_stats(df: DataFrame, text: str) -> DataFrame:
+    """A14/A15 for one value per row: words are the pieces between single blanks, empty ones included.
+
+    Adds w_max, w_min, w_avg and words. The lengths of the words are a column of their own on the
+    way, so that a long text is taken apart once.
+    """
+    letters = f"length(replace({text}, ' ', ''))"
+    words = f"length({text}) - {letters} + 1"
+    return (
+        df.withColumn("_lengths", F.expr(f"case when instr({text}, ' ') > 0 then transform(split({text}, ' '), w -> length(w)) end"))
+        .selectExpr(
+            "*",
+            f"coalesce(array_max(_lengths), length({text})) as w_max",
+            f"coalesce(array_min(_lengths), length({text})) as w_min",
+            f"{letters} / ({words}) as w_avg",
+            f"{words} as words",
+        )
+        .drop("_lengths")
+    )

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescout.functions.text import clean_value, normalise_value, text_sql, word_stats
+from tablescout.functions.text import clean_value, normalise_value, text_sql, with_word_stats
 
 HEAD_CHARS = 256
 
@@ -34,7 +34,7 @@ def digest(text: Column) -> Column:
 def compact(rows: DataFrame) -> DataFrame:
     """Replace `v` by (v, long): the value, or its head and what has to survive the shuffle."""
     is_long = F.length("v") > HEAD_CHARS
-    cleaned = rows.withColumn("p", F.when(is_long, clean_value(F.col("v"))))
+    cleaned = with_word_stats(rows.withColumn("p", F.when(is_long, clean_value(F.col("v")))), "p")
     p = F.col("p")
     facts = F.struct(
         digest(F.col("v")).alias("digest"),
@@ -42,11 +42,13 @@ def compact(rows: DataFrame) -> DataFrame:
         digest(p).alias("p_digest"),
         F.md5(normalise_value(F.col("v"))).alias("s_md5"),
         F.length("v").alias("chars"),
-        *[c.alias(name) for name, c in word_stats(p).items()],
+        *WORD_STATS,
     )
-    return cleaned.withColumn("long", F.when(is_long, facts)).withColumn("v", head(F.col("v"))).drop("p")
+    return cleaned.withColumn("long", F.when(is_long, facts)).withColumn("v", head(F.col("v"))).drop("p", *WORD_STATS)
 
 
+WORD_STATS = ("w_max", "w_min", "w_avg", "words")
+
 _LONG = (
     "struct<digest:string,p_head:string,p_digest:string,s_md5:string,chars:int,"
     "w_max:int,w_min:int,w_avg:double,words:int>"
@@ -133,7 +135,7 @@ def profile_counts(raw_counts: DataFrame) -> DataFrame:
         F.col("long.p_digest").isNotNull(),
         F.struct(
             F.col("long.p_digest").alias("digest"),
-            *[F.col(f"long.{name}").alias(name) for name in ("w_max", "w_min", "w_avg", "words")],
+            *[F.col(f"long.{name}").alias(name) for name in WORD_STATS],
         ),
     )
     is_text = F.col("type_class") == "string"
@@ -148,12 +150,11 @@ def profile_counts(raw_counts: DataFrame) -> DataFrame:
         .select("*", F.lit(None).cast("bigint").alias("i"), F.lit(None).cast("double").alias("d"))
     )
     other = raw_counts.where(~is_text).withColumn("long", F.lit(None).cast(text.schema["long"].dataType))
-    return text.unionByName(other).select(
+    counted = text.unionByName(other)
+    short = with_word_stats(counted.withColumn("s", F.when(F.col("long").isNull(), F.col("v"))), "s")
+    return short.select(
         *COLUMN_KEY, "type_class", "v", F.col("long.digest").alias("digest"), "i", "d", "n",
-        *[
-            F.when(F.col("long").isNull(), short).otherwise(F.col(f"long.{name}")).alias(name)
-            for name, short in word_stats(F.col("v")).items()
-        ],
+        *[F.coalesce(F.col(f"long.{name}"), F.col(name)).alias(name) for name in WORD_STATS],
     )
 
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescout.functions.scores import cosine, unit
+from tablescout.functions.scores import cosine, unit, vector_literal
 
 DIMENSIONS = 384
 
@@ -66,7 +66,7 @@ def vector_of(embeddings: DataFrame, name: str) -> list[float]:
 
 def nearest(embeddings: DataFrame, query_vec: list[float], top_k: int) -> DataFrame:
     """Exact top-k by cosine, one scan with a bounded heap per task."""
-    score = cosine(F.col("vec"), F.lit([float(x) for x in query_vec]))
+    score = cosine(F.col("vec"), vector_literal(query_vec))
     return (
         embeddings.select("table_name", score.alias("score"))
         .orderBy(F.col("score").desc(), "table_name").limit(top_k)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablescout.functions.scores import cosine, similarity, similarity_block
+from tablescout.functions.scores import cosine, similarity, similarity_block, vector_literal
 
 # The columns of a ranking, in order, and the labels a report shows them under.
 RANKING_COLUMNS = (
@@ -51,8 +51,8 @@ def rank_one(
     """R5 for one query: every candidate but the query itself, with or without a join."""
     candidates = fingerprints.where(F.col("table_name") != query_name).select(
         F.lit(query_name).alias("q_table"),
-        F.lit([float(x) for x in query_vec]).alias("q_vec"),
-        F.lit([float(x) for x in query_struct]).alias("q_struct"),
+        vector_literal(query_vec).alias("q_vec"),
+        vector_literal(query_struct).alias("q_struct"),
         F.col("table_name").alias("c_table"),
         F.col("vec").alias("c_vec"), F.col("struct_vec").alias("c_struct"),
     )

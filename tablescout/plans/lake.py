@@ -21,8 +21,8 @@ from tablescout.operators.embedding import Encoder, hashing_encoder, nearest, ne
 from tablescout.operators.joinability import best_pairs, column_pairs, table_joinability
 from tablescout.operators.ranking import rank_all, rank_one
 from tablescout.plans.profiling import Profile
-from tablescout.sources.csv_lake import read_csv
-from tablescout.sources.source import TableSource
+from tablescout.sources.csv_lake import csv_source
+from tablescout.sources.source import RenamedSource, TableSource
 from tablescout.workspace import small_frame
 
 META_SCHEMA = pa.schema([
@@ -155,11 +155,13 @@ class Lake:
         """Q2: rank the lake for a table it has not seen (a DataFrame or the path of a CSV file)."""
         if isinstance(query, str):
             query_name = query_name or os.path.basename(query)
-            query = read_csv(self.spark, query)
-        query_name = query_name or "query"
-        if not query.columns or query.isEmpty():
-            raise ValueError("The query has no rows or no columns.")
-        p = Profile(TableSource({query_name: query}))
+            source = RenamedSource(csv_source(self.spark, query), query_name)
+        else:
+            query_name = query_name or "query"
+            if not query.columns or query.isEmpty():
+                raise ValueError("The query has no rows or no columns.")
+            source = TableSource({query_name: query})
+        p = Profile(source)
         row = encoder(p.texts).join(p.table_profile, "table_name").select("vec", "struct_vec").head()
         if row is None:
             raise ValueError(f"{query_name} could not be profiled.")

@@ -19,6 +19,7 @@ from tablescout.functions.scores import (
     joinable_prior,
     length_bucket,
     length_compat,
+    vector_literal,
 )
 from tablescout.functions.text import clean_value, name_tokens, normalise_value, type_class
 from tablescout.operators import profile as p
@@ -511,7 +512,7 @@ def ann_topk(spark, sf_dir):
 @query("select c_table as candidate_table, round(ts, 4) as table_semantic from sims where q_table = 'customer'")
 def table_semantic(spark, sf_dir):
     built = lake(spark, sf_dir)
-    score = cosine(F.col("vec"), F.lit(built.vector("customer")))
+    score = cosine(F.col("vec"), vector_literal(built.vector("customer")))
     others = built.table_embedding.where(F.col("table_name") != "customer")
     return others.select(F.col("table_name").alias("candidate_table"), F.round(score, 4).alias("table_semantic"))
 

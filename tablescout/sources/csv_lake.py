@@ -35,7 +35,8 @@ TYPE_PATTERNS = {
     "double": "^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$",
 }
 
-_SPARK_TYPES = {"timestamp": "timestamp_ntz"}
+# The types of a wide table; a time of day stays text there, Spark having no settled type for it.
+_SPARK_TYPES = {"timestamp": "timestamp_ntz", "time": "string"}
 
 # Row numbers of cells that are not data.
 HEADER_ROW = -1
@@ -98,7 +99,7 @@ def _typed(text: DataFrame) -> DataFrame:
 
 
 def csv_source(spark: SparkSession, folder: str, small_file_bytes: int = SMALL_FILE_BYTES):
-    """A profile source over every CSV file of a folder; unreadable files end up in `skipped`."""
+    """A profile source over every CSV file of a folder (or one file); bad files end up in `skipped`."""
     files = _list_csv(spark, folder)
     if not files:
         raise ValueError(f"No CSV file found in {folder}")

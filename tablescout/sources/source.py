@@ -220,3 +220,21 @@ class CombinedSource:
 
     def sample_rows(self) -> DataFrame:
         return union_all([s.sample_rows() for s in self.sources])
+
+
+class RenamedSource:
+    """A source of one table, known under another name."""
+
+    def __init__(self, source, table_name: str) -> None:
+        self.source = source
+        self.table_name = F.lit(table_name)
+        self.skipped = source.skipped
+        self.spark = source.spark
+        self.raw_counts = source.raw_counts
+        self.long_texts = source.long_texts
+
+    def columns(self) -> DataFrame:
+        return self.source.columns().withColumn("table_name", self.table_name)
+
+    def sample_rows(self) -> DataFrame:
+        return self.source.sample_rows().withColumn("table_name", self.table_name)

@@ -84,6 +84,9 @@ def test_csv_lake(spark, folder, tmp_path):
     assert best["joinability_score"] == pytest.approx(0.6667)
     unseen = lake.search(f"{folder}/codes.CSV", query_name="codes.CSV").head()
     assert unseen["joinability_score"] == best["joinability_score"]
+    assert {r["query_table"] for r in lake.search(f"{folder}/codes.CSV", query_name="mine").collect()} == {"mine"}
+    with pytest.raises(ValueError):
+        lake.search(f"{folder}/header.csv")
     out = str(tmp_path / "ranking")
     export_ranking(lake.search_indexed("codes.CSV", top_n=None), out)
     assert spark.read.option("header", True).csv(out).count() == 2

@@ -58,12 +58,12 @@ def test_double_text(spark):
 
 
 def test_word_stats(spark):
-    stats = t.word_stats(F.col("v"))
-    row = spark.createDataFrame([("a  b",)], "v string").select(*[c.alias(k) for k, c in stats.items()]).head()
+    df = spark.createDataFrame([("a  b",), ("",), (None,)], "v string")
+    row, empty, missing = t.with_word_stats(df, "v").collect()
     assert (row["words"], row["w_min"], row["w_max"]) == (3, 0, 1)
     assert row["w_avg"] == pytest.approx(2 / 3)
-    row = spark.createDataFrame([("",)], "v string").select(*[c.alias(k) for k, c in stats.items()]).head()
-    assert (row["words"], row["w_min"], row["w_max"], row["w_avg"]) == (1, 0, 0, 0.0)
+    assert (empty["words"], empty["w_min"], empty["w_max"], empty["w_avg"]) == (1, 0, 0, 0.0)
+    assert missing["words"] is None and missing["w_max"] is None
 
 
 def test_buckets(spark):
