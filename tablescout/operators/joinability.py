@@ -7,9 +7,37 @@ from pyspark.sql import functions as F
 
 from tablescout.functions.scores import STRONG_KEY, TOP_KEYS, containment, joinable_prior, noisy_or
 
+# Rows of one key that meet in one task; a key with more is split on both sides.
+KEY_CHUNK = 1000
+
 _PROFILE = ["sig", "n", "type", "len_min", "len_max"]
 
 
+def split_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """An inner equi-join in which no task has to pair up all rows of a frequent key.
+
+    Either side of a key is cut into parts of about KEY_CHUNK rows and every part meets every part of
+    the other side under a key of its own. A key that is rare on both sides stays whole.
+    """
+
+    def parts(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(key).agg(F.ceil(F.count("*") / KEY_CHUNK).cast("int").alias(name))
+
+    sizes = parts(left, "_left_parts").join(parts(right, "_right_parts"), key)
+
+    def spread(df: DataFrame, own: str, other: str) -> DataFrame:
+        part = F.pmod(F.xxhash64(*df.columns), F.col(f"_{own}_parts")).cast("int")
+        others = F.explode(F.sequence(F.lit(0), F.col(f"_{other}_parts") - 1))
+        return df.join(sizes, key).select(*df.columns, part.alias(f"_{own}"), others.alias(f"_{other}"))
+
+    on = [key, "_left", "_right"]
+    return spread(left, "left", "right").join(spread(right, "right", "left"), on).drop("_left", "_right")
+
+
+def plain_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    return left.join(right, key)
+
+
 def with_class(join_cols: DataFrame) -> DataFrame:
     """Columns with the same sketch and statistics score alike; `class_id` stands for all of them."""
     key = F.concat_ws("|", F.concat_ws(",", "sig"), "n", "type", "len_min", "len_max")
@@ -18,16 +46,16 @@ def with_class(join_cols: DataFrame) -> DataFrame:
 
 def _classes(columns: DataFrame, side: str) -> DataFrame:
     """One row per class. All rows of a class are equal, so it does not matter which is kept."""
-    first = columns.groupBy("class_id").agg(*[F.first(c).alias(c) for c in _PROFILE])
+    first = columns.dropDuplicates(["class_id"])
     return first.select(*[F.col(c).alias(f"{side}_{c}") for c in ["class_id", *_PROFILE]])
 
 
-def class_pairs(query_cols: DataFrame, candidate_cols: DataFrame) -> DataFrame:
+def class_pairs(query_cols: DataFrame, candidate_cols: DataFrame, join=plain_join) -> DataFrame:
     """Scores of all pairs of classes that share a hash; no other pair can score above 0."""
     q, c = _classes(query_cols, "q"), _classes(candidate_cols, "c")
     postings_q = q.select("q_class_id", F.explode("q_sig").alias("h"))
     postings_c = c.select("c_class_id", F.explode("c_sig").alias("h"))
-    pairs = postings_q.join(postings_c, "h").select("q_class_id", "c_class_id").distinct()
+    pairs = join(postings_q, postings_c, "h").select("q_class_id", "c_class_id").distinct()
     overlap = containment(F.col("q_sig"), F.col("q_n"), F.col("c_sig"), F.col("c_n"))
     prior = joinable_prior(
         F.col("q_type"), F.col("q_len_min"), F.col("q_len_max"),
@@ -41,12 +69,16 @@ def class_pairs(query_cols: DataFrame, candidate_cols: DataFrame) -> DataFrame:
     )
 
 
-def column_pairs(query_cols: DataFrame, candidate_cols: DataFrame) -> DataFrame:
+def column_pairs(query_cols: DataFrame, candidate_cols: DataFrame, many_queries: bool = False) -> DataFrame:
     """All column pairs of different tables that score above 0.
 
+    With the few columns of one query table, the pairs of any hash or class grow with the candidates
+    only. With `many_queries` they grow with both sides, so frequent keys are split.
+
     Scores are computed between classes, so that a column copied into many tables is hashed, matched
     and scored once, and only then spread over the tables that hold it.
     """
+    join = split_join if many_queries else plain_join
     q_cols, c_cols = with_class(query_cols), with_class(candidate_cols)
 
     def side(columns: DataFrame, s: str) -> DataFrame:
@@ -57,10 +89,9 @@ def column_pairs(query_cols: DataFrame, candidate_cols: DataFrame) -> DataFrame:
             F.col("column_pos").alias(f"{s}_pos"),
         )
 
+    pairs = join(class_pairs(q_cols, c_cols, join), side(q_cols, "q"), "q_class_id")
     return (
-        class_pairs(q_cols, c_cols)
-        .join(side(q_cols, "q"), "q_class_id")
-        .join(side(c_cols, "c"), "c_class_id")
+        join(pairs, side(c_cols, "c"), "c_class_id")
         .where(F.col("q_table") != F.col("c_table"))
         .drop("q_class_id", "c_class_id")
     )

@@ -171,7 +171,7 @@ class Lake:
 
     def search_all(self, top_n: int = 10) -> DataFrame:
         """Q3: the first `top_n` of every table's ranking, in one job."""
-        joinability = table_joinability(best_pairs(column_pairs(self.join_cols, self.join_cols)))
+        joinability = table_joinability(best_pairs(column_pairs(self.join_cols, self.join_cols, many_queries=True)))
         return rank_all(self.fingerprints, joinability, top_n)
 
     def _rank(self, query_name, query_vec, query_struct, query_cols, top_n, rerank_pool, approximate) -> DataFrame:

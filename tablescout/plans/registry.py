@@ -14,9 +14,7 @@ from pyspark.sql import functions as F
 from tablescout.functions.scores import (
     ROLES,
     cardinality_bucket,
-    containment,
     cosine,
-    joinable_prior,
     length_bucket,
     length_compat,
     vector_literal,
@@ -24,7 +22,7 @@ from tablescout.functions.scores import (
 from tablescout.functions.text import clean_value, name_tokens, normalise_value, type_class
 from tablescout.operators import profile as p
 from tablescout.operators.embedding import nearest, nearest_approx, token_weights, vector_of
-from tablescout.operators.joinability import best_pairs, class_pairs, column_pairs, table_joinability, with_class
+from tablescout.operators.joinability import best_pairs, column_pairs, table_joinability
 from tablescout.operators.normalize import preprocess_profiles, zscore_profiles
 from tablescout.operators.sketch import minhash, sketch_index
 from tablescout.operators.table_profile import macro_means, row_count_recovery, type_fractions
@@ -385,7 +383,7 @@ def sketch_postings(spark, sf_dir):
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = lake(spark, sf_dir).join_cols
-    return column_pairs(cols, cols)
+    return column_pairs(cols, cols, many_queries=True)
 
 
 _PAIR = ["q_table", "q_column", "c_table", "c_column"]

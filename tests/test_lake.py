@@ -51,10 +51,10 @@ def test_unknown_names(lake):
 
 
 def test_search_all_equals_single_searches(lake, tables):
-    for top_n in (1, 2, 4, 10):
+    full = [r for t in tables for r in lake.search_indexed(t, top_n=None).collect()]
+    for top_n in (1, 2, 10):
         got = {tuple(r) for r in lake.search_all(top_n=top_n).collect()}
-        want = {tuple(r) for t in tables for r in lake.search_indexed(t, top_n=top_n).collect()}
-        assert got == want
+        assert got == {tuple(r) for r in full if r["rank"] <= top_n}
 
 
 def test_search_of_an_unseen_table(lake, tables):
@@ -113,14 +113,14 @@ def test_nearest(spark):
         vecs.append((str(i), [x / norm for x in v]))
     df = spark.createDataFrame(vecs, "table_name string, vec array<double>")
     hits = 0
-    for q in range(10):
+    for q in range(5):
         exact = [r["table_name"] for r in nearest(df, vecs[q][1], 10).collect()]
         brute = sorted(vecs, key=lambda v: -sum(a * b for a, b in zip(v[1], vecs[q][1])))[:10]
-        assert exact[0] == str(q) and set(exact) == {name for name, _ in brute} or exact[-1] not in dict(brute)
+        assert exact == [name for name, _ in brute]
         approx = [r["table_name"] for r in nearest_approx(df, vecs[q][1], 10).collect()]
         assert len(approx) == 10
         hits += len(set(exact) & set(approx))
-    assert hits >= 80, f"recall {hits}%"
+    assert hits >= 40, f"recall {2 * hits}%"
 
 
 class LengthModel:
@@ -137,8 +137,10 @@ def test_encoders(spark):
     assert custom["b"] == pytest.approx([3 / 10**0.5, 1 / 10**0.5])
 
 
-def test_pairs_equal_the_nested_loop(spark):
+@pytest.mark.parametrize("many_queries,chunk", [(False, 1000), (True, 1000), (True, 2)])
+def test_pairs_equal_the_nested_loop(spark, monkeypatch, many_queries, chunk):
     """Matching through shared hashes loses no pair, copies and hot hashes included."""
+    monkeypatch.setattr("tablescout.operators.joinability.KEY_CHUNK", chunk)
     import random
 
     rng = random.Random(3)
@@ -161,7 +163,8 @@ def test_pairs_equal_the_nested_loop(spark):
         return min(1.0, max(inter / a[5], inter / b[5])) * (0.5 + 0.5 * ov)
 
     want = {(a[0], a[1], b[0], b[1]): score(a, b) for a in cols for b in cols if a[0] != b[0] and score(a, b) > 0}
-    pairs = column_pairs(df, df)
+    pairs = column_pairs(df, df, many_queries)
+    assert pairs.count() == len(want)
     got = {(r["q_table"], r["q_column"], r["c_table"], r["c_column"]): r["j"] for r in pairs.collect()}
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k]) for k in want)
