@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescout.functions.scores import STRONG_KEY, TOP_KEYS, containment, joinable_prior, noisy_or
+from tablescout.workspace import materialize
 
 # Rows of one key that meet in one task; a key with more is split on both sides.
 KEY_CHUNK = 1000
@@ -38,6 +39,12 @@ def plain_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right, key)
 
 
+def has_frequent_keys(columns: DataFrame) -> bool:
+    """Whether any hash or class is held by more than KEY_CHUNK of these columns."""
+    keys = columns.select(F.explode(F.array_append("sig", F.col("class_id"))).alias("key"))
+    return not keys.groupBy("key").count().where(F.col("count") > KEY_CHUNK).isEmpty()
+
+
 def with_class(join_cols: DataFrame) -> DataFrame:
     """Columns with the same sketch and statistics score alike; `class_id` stands for all of them."""
     key = F.concat_ws("|", F.concat_ws(",", "sig"), "n", "type", "len_min", "len_max")
@@ -73,13 +80,14 @@ def column_pairs(query_cols: DataFrame, candidate_cols: DataFrame, many_queries:
     """All column pairs of different tables that score above 0.
 
     With the few columns of one query table, the pairs of any hash or class grow with the candidates
-    only. With `many_queries` they grow with both sides, so frequent keys are split.
+    only. With `many_queries` they grow with both sides, so keys that are found to be frequent are split.
 
     Scores are computed between classes, so that a column copied into many tables is hashed, matched
     and scored once, and only then spread over the tables that hold it.
     """
-    join = split_join if many_queries else plain_join
     q_cols, c_cols = with_class(query_cols), with_class(candidate_cols)
+    split = many_queries and has_frequent_keys(c_cols)
+    join = split_join if split else plain_join
 
     def side(columns: DataFrame, s: str) -> DataFrame:
         return columns.select(
@@ -89,7 +97,10 @@ def column_pairs(query_cols: DataFrame, candidate_cols: DataFrame, many_queries:
             F.col("column_pos").alias(f"{s}_pos"),
         )
 
-    pairs = join(class_pairs(q_cols, c_cols, join), side(q_cols, "q"), "q_class_id")
+    # A split join reads its inputs several times, so they are written once.
+    keep = materialize if split else lambda df, label: df
+    scored = keep(class_pairs(q_cols, c_cols, join), "class_pairs")
+    pairs = keep(join(scored, side(q_cols, "q"), "q_class_id"), "query_pairs")
     return (
         join(pairs, side(c_cols, "c"), "c_class_id")
         .where(F.col("q_table") != F.col("c_table"))
