@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablescout.functions.scores import cosine, similarity, similarity_block, vector_literal
 
-# The columns of a ranking, in order, and the labels a report shows them under.
+# The columns of a ranking, in order.
 RANKING_COLUMNS = (
     "rank", "candidate_table", "similarity_score", "joinability_score", "table_semantic", "struct_sim",
     "join_columns", "n_join_keys", "best_query_column", "best_candidate_column",
