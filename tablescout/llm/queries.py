@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablescout.llm.fingerprint import compare_with_next
 from tablescout.llm.language import fit_language_model, identify_languages, remainder
+from tablescout.llm.main_text import extract_main_text
+from tablescout.llm.pieces import PieceVocabulary, encode_and_check
 from tablescout.llm.quality import fit_quality_model, score_quality
+from tablescout.llm.secrets import find_secrets, report
+from tablescout.llm.sharding import assign_shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,9 +37,40 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("quality_score").alias("score"), F.col("quality_label").alias("predicted"))
 
 
+SHARDS = [f"shard-{i:02d}" for i in range(32)]
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return assign_shards(docs.select("doc_id"), F.col("doc_id"), SHARDS)
+
+
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(find_secrets(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = encode_and_check(docs.select("doc_id", "text"), PieceVocabulary.load())
+    return out.select("doc_id", "n_tokens", "token_ids", "decoded_sha256", "round_trip")
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_quality_classifier": op2_quality_classifier,
+    "op4_sharding": op4_sharding,
+    "op5_document_fingerprints": op5_document_fingerprints,
+    "op6_secret_scans": op6_secret_scans,
+    "op8_sentencepiece": op8_sentencepiece,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLES: dict[str, str] = {}
