@@ -5,8 +5,14 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tablescout.llm.jaccard import jaccard_components, keep_one_each
 from tablescout.llm.language import UNDETERMINED, fit_language_model, identify_languages, remainder
+from tablescout.llm.leaks import drop_leaked, find_leaks
+from tablescout.llm.pieces import PieceVocabulary, encode
+from tablescout.llm.secrets import redact_secrets
+from tablescout.workspace import shared_dir
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,8 +22,32 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return told.filter(f"lang_pred <> '{UNDETERMINED}' and lang_score >= 0.3").select(*docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the least id of each group of near copies."""
+    return keep_one_each(docs, jaccard_components(docs))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a near copy of a benchmark item."""
+    return drop_leaked(docs, find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mask secrets in texts; `n_chars` follows the text."""
+    return redact_secrets(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Add the ids of each text's pieces and their number."""
+    return encode(docs, PieceVocabulary.load())
+
+
 STAGES = [
     ("language ID", language_id),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secret_scan),
+    ("SentencePiece encoding and decoding", sentencepiece),
 ]
 
 # A trained network decides in the first stage; SQL can't state it.
@@ -26,8 +56,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written as Parquet in the shared folder and read again."""
-    from tablescout.workspace import shared_dir
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescout.llm.fingerprint import compare_with_next
+from tablescout.llm.jaccard import jaccard_components
 from tablescout.llm.language import fit_language_model, identify_languages, remainder
+from tablescout.llm.leaks import find_leaks, mark_leaks
 from tablescout.llm.main_text import extract_main_text
 from tablescout.llm.pieces import PieceVocabulary, encode_and_check
 from tablescout.llm.quality import fit_quality_model, score_quality
+from tablescout.llm.repeats import remove_repeats
 from tablescout.llm.secrets import find_secrets, report
 from tablescout.llm.sharding import assign_shards
 
@@ -37,6 +40,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("quality_score").alias("score"), F.col("quality_label").alias("predicted"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
 
 
@@ -53,12 +60,22 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(find_secrets(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = encode_and_check(docs.select("doc_id", "text"), PieceVocabulary.load())
     return out.select("doc_id", "n_tokens", "token_ids", "decoded_sha256", "round_trip")
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return mark_leaks(docs, find_leaks(docs, _table(spark, sf_dir, "benchmark"))).withColumnRenamed("id", "doc_id")
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -66,10 +83,13 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_sharding": op4_sharding,
     "op5_document_fingerprints": op5_document_fingerprints,
     "op6_secret_scans": op6_secret_scans,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_html_extraction": op10_html_extraction,
 }
 
