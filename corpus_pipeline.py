@@ -16,10 +16,10 @@ from tablescout.workspace import shared_dir
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language can be told: those without any letter, or with a flat prediction, go."""
+    """Keep documents whose language can be told: those without text or without any letter go."""
     model = fit_language_model(docs.filter(remainder("doc_id", 4) != 2))
     told = identify_languages(docs, model)
-    return told.filter(f"lang_pred <> '{UNDETERMINED}' and lang_score >= 0.3").select(*docs.columns)
+    return told.filter(f"lang_pred <> '{UNDETERMINED}'").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
