@@ -1,52 +1,55 @@
-"""Folders of CSV files.
+"""Folders of CSV files, whatever their number and size.
 
-Small files are parsed many to a task into long-form cells, so the number of jobs does not grow with
-the number of tables. A file above SMALL_FILE_BYTES is read by Spark's own CSV reader as one table.
+There is one path for all files. Lines are read by Spark's text source, which splits large files. Whether a
+split starts inside quotes is found first, from what each split does to either state, so that line breaks inside
+quotes survive any split. Then each task parses its complete records, and the pieces of records that reach over a split
+are put together. Types come from one aggregation over all cells.
 """
 
 from __future__ import annotations
 
 import csv
 import io
-import os
 from collections.abc import Iterator
 from urllib.parse import unquote
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.csv
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescout.functions.text import clean_column_names, text_sql, type_class
-from tablescout.sources.source import CellSource, CombinedSource, TableSource, column_id
+from tablescout.sources.source import COLUMN_SCHEMA, CellSource, column_id
 from tablescout.workspace import materialize, small_frame
 
-SMALL_FILE_BYTES = 16 * 1024 * 1024
-UNSPLIT_FILE_BYTES = 1024 * 1024 * 1024
-
-# Texts that are read as a type, tried in this order; a column needs all values to fit.
-TYPE_PATTERNS = {
-    "boolean": "^(?i:true|false)$",
-    "time": "^[0-9]{1,2}:[0-9]{2}:[0-9]{2}([.][0-9]+)?$",
-    "date": "^[0-9]{4}-[0-9]{2}-[0-9]{2}$",
-    "timestamp": "^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]+)?$",
-    "bigint": "^[+-]?[0-9]{1,18}$",
-    "double": "^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$",
+# The types of a column, tried in this order, and when a text can be read as each. A column needs all values to
+# fit. A double keeps up to 17 digits, so that different texts do not become one value.
+TYPE_TESTS = {
+    "boolean": "v rlike '^(?i:true|false)$'",
+    "time": "v rlike '^([01]?[0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]([.][0-9]+)?$'",
+    "date": "v rlike '^[0-9]{4}-[0-9]{2}-[0-9]{2}$' and try_cast(v as date) is not null",
+    "timestamp": "v rlike '^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]{1,6})?$'"
+                 " and try_cast(v as timestamp_ntz) is not null",
+    "bigint": "v rlike '^[+-]?[0-9]{1,19}$' and try_cast(v as bigint) is not null",
+    "decimal(38,0)": "v rlike '^[+-]?[0-9]{1,38}$'",
+    "double": "v rlike '^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$'"
+              " and length(regexp_replace(regexp_replace(v, '[eE].*$', ''), '^[+-]?0*[.]?0*|[.]', '')) <= 17",
 }
 
 # The types of a wide table; a time of day stays text there, Spark having no settled type for it.
 _SPARK_TYPES = {"timestamp": "timestamp_ntz", "time": "string"}
 
-# Row numbers of cells that are not data.
-HEADER_ROW = -1
-ERROR_ROW = -2
-
-_CELL_SCHEMA = "table_name string, row_id bigint, column_pos int, v string"
-_ROWS_PER_BATCH = 5_000
+# Row number of what stands for lines that could not be decoded.
+BAD_LINES = -1
 
+# Bytes of complete records that a task parses at once.
+_PARSED_AT_ONCE = 4 << 20
 
 _FILE_SCHEMA = pa.schema([("table_name", pa.string()), ("path", pa.string()), ("length", pa.int64())])
+_ROWS = "path string, row_id bigint, fields array<string>"
+_PIECES = "path string, row_id bigint, fields array<string>, owner bigint, block bigint, piece binary"
 
 
 def _list_csv(spark: SparkSession, folder: str) -> list[dict]:
@@ -64,106 +67,281 @@ def discover_csv(spark: SparkSession, folder: str) -> DataFrame:
     return small_frame(spark, _FILE_SCHEMA, _list_csv(spark, folder)).orderBy("table_name")
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = True, as_strings: bool = False) -> DataFrame:
-    """S2 (typed) or S3 (all text): header, lenient, rows that do not fit the header are dropped.
-
-    `multi_line` accepts line breaks inside quotes and makes a file one task; turn it off to let
-    Spark split a large file. Types come from one aggregation over the rows that are kept.
-    """
-    text = (
-        spark.read.option("header", True).option("mode", "DROPMALFORMED").option("escape", '"')
-        # A row's width can only be checked if all of its columns are parsed.
-        .option("columnPruning", False).option("multiLine", multi_line).csv(path)
+def open_after(line: bytes, is_open: bool) -> bool:
+    """Whether a quoted field is open after a line. A quote opens a field only where the field starts."""
+    at = 0
+    while True:
+        if not is_open:
+            if line[at : at + 1] != b'"':
+                at = line.find(b",", at)
+                if at < 0:
+                    return False
+                at += 1
+                continue
+            at += 1
+        end = line.find(b'"', at)
+        while end >= 0 and line[end + 1 : end + 2] == b'"':
+            end = line.find(b'"', end + 2)
+        if end < 0:
+            return True
+        is_open = False
+        at = line.find(b",", end + 1)
+        if at < 0:
+            return False
+        at += 1
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, Iterator[bytes]]]:
+    """The lines of each split, in order. Lines of a split follow each other in a partition."""
+    rows = (row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("path", "block", "line"))))
+    pending = next(rows, None)
+    while pending is not None:
+        path, block = pending[:2]
+
+        def lines() -> Iterator[bytes]:
+            nonlocal pending
+            while pending is not None and pending[:2] == (path, block):
+                yield pending[2]
+                pending = next(rows, None)
+
+        here = lines()
+        yield path, block, here
+        for _ in here:
+            pass
+
+
+def _without_mark(line: bytes) -> bytes:
+    return line.removeprefix(b"\xef\xbb\xbf")
+
+
+def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each split does: the state after it and whether a record ends in it, from either state; of a first one, the header."""
+    for path, block, lines in _blocks(batches):
+        state, ends, head, closed = [False, True], [False, False], [], False
+        for i, line in enumerate(lines):
+            if block == 0 and i == 0:
+                line = _without_mark(line)
+            if block == 0 and not closed:
+                head.append(line)
+            if b'"' in line:
+                state = [open_after(line, s) for s in state]
+            for k in (0, 1):
+                ends[k] = ends[k] or not state[k]
+            closed = closed or not state[0]
+        header = None
+        if block == 0:
+            text = b"\n".join(head).decode("utf-8", "replace")
+            header = next((r for r in csv.reader(io.StringIO(text, newline="")) if r), [])
+        yield pa.RecordBatch.from_pylist([{
+            "path": path, "block": block, "after_closed": state[0], "after_open": state[1], "ends": ends[1], "header": header}],
+            schema=_SURVEY)
+
+
+_SURVEY = pa.schema([
+    ("path", pa.string()), ("block", pa.int64()), ("after_closed", pa.bool_()), ("after_open", pa.bool_()), ("ends", pa.bool_()),
+    ("header", pa.list_(pa.string()))])
+_SURVEY_DDL = "path string, block bigint, after_closed boolean, after_open boolean, ends boolean, header array<string>"
+
+
+class Layout:
+    """What tasks have to know of the files: column numbers, and the splits that start inside quotes with the split their record
+    starts in."""
+
+    def __init__(self, surveyed: list) -> None:
+        self.headers: dict[str, list[str]] = {}
+        self.open_blocks: dict[tuple[str, int], int] = {}
+        is_open, owner, path = False, 0, None
+        for r in sorted(surveyed, key=lambda r: (r["path"], r["block"])):
+            if r["path"] != path:
+                path, is_open, owner = r["path"], False, 0
+            if r["header"] is not None:
+                self.headers[path] = clean_column_names(r["header"])
+            if is_open:
+                self.open_blocks[path, r["block"]] = owner
+            if not is_open or r["ends"]:
+                owner = r["block"]
+            is_open = r["after_open"] if is_open else r["after_closed"]
+        self.widths = {path: len(header) for path, header in self.headers.items()}
+
+
+def _parsed(path: str, raw: bytes, width: int, first_id: int, skip: int) -> Iterator[pa.RecordBatch]:
+    """Complete records as rows of texts. Records of another width than the header go, empty fields are NULL."""
+    names = [str(i) for i in range(width)]
+    table = pyarrow.csv.read_csv(
+        pa.BufferReader(raw),
+        read_options=pyarrow.csv.ReadOptions(column_names=names, block_size=len(raw) + 1, use_threads=False),
+        parse_options=pyarrow.csv.ParseOptions(newlines_in_values=True, invalid_row_handler=lambda row: "skip"),
+        convert_options=pyarrow.csv.ConvertOptions(
+            column_types={n: pa.binary() for n in names}, null_values=[""], strings_can_be_null=True, quoted_strings_can_be_null=True),
+    ).slice(skip).combine_chunks()
+    if not table.num_rows:
+        return
+    cells = pa.concat_arrays([c.chunk(0) for c in table.columns])
+    n = table.num_rows
+    by_row = np.arange(n * width)
+    cells = cells.take(pa.array(by_row % width * n + by_row // width))
+    ids = first_id + np.arange(n)
+    try:
+        cells = cells.cast(pa.string())
+    except pa.ArrowInvalid:
+        fine = np.array([_is_text(x) for x in cells.to_pylist()]).reshape(n, width).all(axis=1)
+        yield _rows(path, np.array([BAD_LINES]), pa.array([None], pa.list_(pa.string())))
+        cells, ids = cells.filter(pa.array(np.repeat(fine, width))).cast(pa.string()), ids[fine]
+    if len(ids):
+        yield _rows(path, ids, pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * width, pa.int32()), cells))
+
+
+def _is_text(value: bytes | None) -> bool:
+    try:
+        return value is None or value.decode() is not None
+    except UnicodeDecodeError:
+        return False
+
+
+def _rows(path: str, ids: np.ndarray, fields: pa.Array) -> pa.RecordBatch:
+    n = len(ids)
+    return pa.RecordBatch.from_arrays([
+        pa.array([path] * n), pa.array(ids, pa.int64()), fields, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())],
+        names=["path", "row_id", "fields", "owner", "block", "piece"])
+
+
+def _piece(path: str, owner: int, block: int, lines: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([
+        pa.array([path]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.string())), pa.array([owner]), pa.array([block]),
+        pa.array([b"\n".join(lines)], pa.binary())], names=["path", "row_id", "fields", "owner", "block", "piece"])
+
+
+def _parse_splits(layout: Layout):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, block, lines in _blocks(batches):
+            width = layout.widths.get(path, 0)
+            if not width:
+                continue
+            owner = layout.open_blocks.get((path, block))
+            is_open = owner is not None
+            # Lines of the record that is open, complete records, and the number of lines before those.
+            record, done, held, seen, n_done, skip = [], [], 0, 0, 0, int(block == 0)
+            for i, line in enumerate(lines):
+                if block == 0 and i == 0:
+                    line = _without_mark(line)
+                record.append(line)
+                seen += 1
+                if b'"' in line:
+                    is_open = open_after(line, is_open)
+                if is_open:
+                    continue
+                if owner is not None:
+                    yield _piece(path, owner, block, record)
+                    owner = None
+                else:
+                    done += record
+                    held += sum(map(len, record))
+                record = []
+                if held > _PARSED_AT_ONCE:
+                    yield from _parsed(path, b"\n".join(done), width, block + n_done, skip)
+                    done, held, n_done, skip = [], 0, seen, 0
+            if done:
+                yield from _parsed(path, b"\n".join(done), width, block + n_done, skip)
+            if record:
+                yield _piece(path, block if owner is None else owner, block, record)
+
+    return run
+
+
+def _parse_pieces(layout: Layout):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, owner, pieces in zip(*(batch.column(c).to_pylist() for c in ("path", "owner", "pieces"))):
+                raw = b"\n".join(pieces)
+                # At most one record starts in a split and ends behind it; numbers below zero are only used for those.
+                for rows in _parsed(path, raw, layout.widths[path], 0, 0):
+                    ids = [BAD_LINES if i < 0 else BAD_LINES - 1 - owner for i in rows.column(1).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(ids, pa.int64()), rows.column(2)], names=["path", "row_id", "fields"])
+
+    return run
+
+
+def _records(spark: SparkSession, path: str) -> tuple[DataFrame, Layout]:
+    """All records below `path` as (path, row_id, fields), written once, and the layout of the files."""
+    reader = spark.read.option("lineSep", "\n").option("pathGlobFilter", "*.[cC][sS][vV]")
+    lines = reader.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line"))
+    # One small row for each split of a file.
+    layout = Layout(lines.mapInArrow(_survey, _SURVEY_DDL).collect())
+    parsed = materialize(lines.mapInArrow(_parse_splits(layout), _PIECES), "csv_rows")
+    whole = parsed.where("piece is null").select("path", "row_id", "fields")
+    if not layout.open_blocks and parsed.where("piece is not null").isEmpty():
+        return whole, layout
+    joined = (
+        parsed.where("piece is not null").groupBy("path", "owner")
+        .agg(F.array_sort(F.collect_list(F.struct("block", "piece"))).alias("p")).select("path", "owner", F.col("p.piece").alias("pieces"))
     )
-    text = text.toDF(*clean_column_names(text.columns))
-    return text if as_strings else _typed(text)
-
-
-def _typed(text: DataFrame) -> DataFrame:
-    """A wide table of text with every column cast to the type all of its values fit."""
-    if not text.columns:
-        return text
-    present = [F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(text.columns)]
-    fits = [
-        F.count_if(F.col(f"`{c}`").rlike(pattern)).alias(f"n{i}_{name}")
-        for i, c in enumerate(text.columns) for name, pattern in TYPE_PATTERNS.items()
-    ]
-    counts = text.agg(*present, *fits).first()
-
-    def cast(i: int, c: str) -> str:
-        n = counts[f"n{i}"]
-        kind = next((k for k in TYPE_PATTERNS if n and counts[f"n{i}_{k}"] == n), "string")
-        return f"try_cast(`{c}` as {_SPARK_TYPES.get(kind, kind)}) as `{c}`"
+    return whole.unionByName(joined.mapInArrow(_parse_pieces(layout), _ROWS)), layout
 
-    return text.selectExpr(*[cast(i, c) for i, c in enumerate(text.columns)])
 
+def read_csv(spark: SparkSession, path: str, as_strings: bool = False) -> DataFrame:
+    """S2 (typed) or S3 (all text): one table from a CSV file or a folder of CSV files with the same header.
 
-def csv_source(spark: SparkSession, folder: str, small_file_bytes: int = SMALL_FILE_BYTES):
-    """A profile source over every CSV file of a folder (or one file); bad files end up in `skipped`."""
+    Records that do not fit the header are dropped. A file with bytes that are no UTF-8 is read as text, without those
+    records.
+    """
+    records, layout = _records(spark, path)
+    header = next((layout.headers[p] for p in sorted(layout.headers) if layout.headers[p]), [])
+    rows = records.where("row_id <> -1").select("row_id", "fields")
+    if not header:
+        return rows.select()
+    types = {}
+    if not as_strings and records.where(F.col("row_id") == BAD_LINES).isEmpty():
+        cells = rows.select(F.posexplode("fields").alias("column_pos", "v")).withColumn("table_name", F.lit(path))
+        types = {r["column_pos"]: r["data_type"] for r in infer_types(cells).collect()}
+    columns = []
+    for i, name in enumerate(header):
+        kind = types.get(i, "string")
+        columns.append(F.col("fields")[i].try_cast(_SPARK_TYPES.get(kind, kind)).alias(name))
+    return rows.select(*columns)
+
+
+def csv_source(spark: SparkSession, folder: str) -> CellSource:
+    """A profile source over every CSV file of a folder (or one file); files without a record end up in `skipped`."""
     files = _list_csv(spark, folder)
     if not files:
-        raise ValueError(f"No CSV file found in {folder}")
-    # Spark's readers leave empty files out of a listing.
-    skipped = [f["table_name"] for f in files if f["length"] == 0]
-    sources, tables = [], {}
-    for f in files:
-        if f["length"] <= small_file_bytes:
-            continue
-        try:
-            df = read_csv(spark, f["path"], multi_line=f["length"] <= UNSPLIT_FILE_BYTES)
-            if not df.columns or df.isEmpty():
-                raise ValueError("The file has no rows or no columns.")
-            tables[f["table_name"]] = df
-        except Exception:  # a bad file must not stop the build
-            skipped.append(f["table_name"])
-    if tables:
-        sources.append(TableSource(tables))
-    if any(0 < f["length"] <= small_file_bytes for f in files):
-        sources.append(small_csv_source(spark, folder, small_file_bytes))
-    return CombinedSource(sources, skipped)
-
-
-def small_csv_source(spark: SparkSession, folder: str, small_file_bytes: int = SMALL_FILE_BYTES) -> CellSource:
-    """All small files of a folder as one long-form source with inferred column types."""
-    contents = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.[cC][sS][vV]").load(folder)
-        .where(F.col("length") <= small_file_bytes).select("path", "content")
-    )
-    parsed = materialize(contents.mapInPandas(_parse_files, _CELL_SCHEMA), "cells")
-    cells = parsed.where(F.col("row_id") >= 0)
-    skipped = [
-        r["table_name"]
-        for r in parsed.where(F.col("row_id") == ERROR_ROW).select("table_name").distinct().collect()
-    ]
-    names = parsed.where(F.col("row_id") == HEADER_ROW).select(
-        column_id(F.col("table_name"), F.col("column_pos")).alias("column_id"),
-        "table_name", "column_pos", F.col("v").alias("column_name"),
-    )
-    columns = (
-        names.join(infer_types(cells), ["table_name", "column_pos"], "left")
-        .withColumn("data_type", F.coalesce("data_type", F.lit("string")))
-        .withColumn("type_class", type_class(F.col("data_type")))
-    )
-    columns = materialize(columns, "columns")
+        raise ValueError(f"{folder} holds no file that ends in .csv")
+    records, layout = _records(spark, folder)
+    names = small_frame(spark, COLUMN_SCHEMA, [
+        {"column_id": None, "table_name": _table_of(path), "column_pos": i, "column_name": name, "data_type": None, "type_class": None}
+        for path, header in layout.headers.items() for i, name in enumerate(header)
+    ]).select(column_id(F.col("table_name"), F.col("column_pos")).alias("column_id"), "table_name", "column_pos", "column_name")
+    tables = small_frame(spark, _TABLES, [{"path": p, "table_name": _table_of(p)} for p in layout.headers])
+    records = records.join(tables, "path").drop("path")
+    cells = records.where(F.col("row_id") != BAD_LINES).select("table_name", "row_id", F.posexplode("fields").alias("column_pos", "v"))
+    as_text = records.where(F.col("row_id") == BAD_LINES).select("table_name").distinct().withColumn("as_text", F.lit(True))
+    present = records.where(F.col("row_id") != BAD_LINES).select("table_name").distinct()
+    data_type = F.when(F.col("as_text"), "string").otherwise(F.coalesce("data_type", F.lit("string")))
+    columns = materialize(
+        names.join(present, "table_name", "left_semi").join(infer_types(cells), ["table_name", "column_pos"], "left").join(as_text, "table_name", "left")
+        .withColumn("data_type", data_type).drop("as_text")
+        .withColumn("type_class", type_class(F.col("data_type"))), "columns")
+    found = {r["table_name"] for r in columns.select("table_name").distinct().collect()}
     typed = cells.join(columns.drop("column_name"), ["table_name", "column_pos"]).select(
-        "table_name", "row_id", "column_pos", "column_id", "type_class",
-        typed_text().alias("v"),
-    )
-    return CellSource(typed, columns, skipped)
+        "table_name", "row_id", "column_pos", "column_id", "type_class", typed_text().alias("v"))
+    return CellSource(typed, columns, [f["table_name"] for f in files if f["table_name"] not in found])
+
+
+_TABLES = pa.schema([("path", pa.string()), ("table_name", pa.string())])
+
+
+def _table_of(path: str) -> str:
+    return unquote(path.rsplit("/", 1)[-1])
 
 
 def infer_types(cells: DataFrame) -> DataFrame:
     """(table_name, column_pos, data_type), the first type that all values of a column fit."""
-    fits = [
-        F.count_if(F.col("v").rlike(pattern)).alias(f"_{name}") for name, pattern in TYPE_PATTERNS.items()
-    ]
-    counted = cells.where(F.col("v").isNotNull()).groupBy("table_name", "column_pos").agg(
-        F.count("*").alias("_all"), *fits
-    )
-    # Whole numbers also fit the pattern of doubles, so a mixed column becomes a double.
+    fits = [F.count_if(F.expr(test)).alias(f"_{i}") for i, test in enumerate(TYPE_TESTS.values())]
+    counted = cells.where(F.col("v").isNotNull()).groupBy("table_name", "column_pos").agg(F.count("*").alias("_all"), *fits)
+    # Whole numbers also pass the test of doubles, so a mixed column becomes a double.
     kind = F.lit("string")
-    for name in reversed(TYPE_PATTERNS):
-        kind = F.when(F.col(f"_{name}") == F.col("_all"), name).otherwise(kind)
+    for i, name in reversed(list(enumerate(TYPE_TESTS))):
+        kind = F.when(F.col(f"_{i}") == F.col("_all"), name).otherwise(kind)
     return counted.select("table_name", "column_pos", kind.alias("data_type"))
 
 
@@ -172,42 +350,9 @@ def typed_text() -> Column:
     data_type, v = F.col("data_type"), F.col("v")
     return (
         F.when(data_type == "bigint", v.try_cast("bigint").cast("string"))
+        .when(data_type == "decimal(38,0)", v.try_cast("decimal(38,0)").cast("string"))
         .when(data_type == "double", F.expr(text_sql("try_cast(v as double)", T.DoubleType())))
         .when(data_type == "timestamp", F.coalesce(v.try_cast("timestamp_ntz").cast("string"), v))
         .when(data_type == "boolean", F.lower(v))
         .otherwise(v)
     )
-
-
-def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            table = unquote(os.path.basename(path))
-            try:
-                yield from _parse(table, content.decode("utf-8-sig"))
-            except (ValueError, csv.Error) as error:
-                yield _cells(table, [ERROR_ROW], [[str(error)]])
-
-
-def _parse(table: str, text: str) -> Iterator[pd.DataFrame]:
-    """Cells of one small file. Empty fields are NULL; rows of another width than the header are dropped."""
-    # A strict pass first, so that a file with an error yields no cells at all.
-    rows = list(csv.reader(io.StringIO(text, newline="")))
-    if len(rows) < 2:
-        raise ValueError("The file has no rows or no columns.")
-    header = clean_column_names(rows[0])
-    yield _cells(table, [HEADER_ROW], [header])
-    data = [r for r in rows[1:] if len(r) == len(header)]
-    for start in range(0, len(data), _ROWS_PER_BATCH):
-        part = data[start:start + _ROWS_PER_BATCH]
-        yield _cells(table, range(start, start + len(part)), part)
-
-
-def _cells(table: str, row_ids, rows: list[list[str]]) -> pd.DataFrame:
-    width = len(rows[0])
-    return pd.DataFrame({
-        "table_name": table,
-        "row_id": [i for i in row_ids for _ in range(width)],
-        "column_pos": list(range(width)) * len(rows),
-        "v": [v if v != "" else None for row in rows for v in row],
-    })

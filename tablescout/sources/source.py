@@ -195,33 +195,6 @@ def _smallest(rows: DataFrame) -> DataFrame:
     return rows.withColumn("h", F.md5("row_text")).orderBy("h").limit(SAMPLE_ROWS)
 
 
-class CombinedSource:
-    """Several sources as one lake."""
-
-    def __init__(self, sources: list, skipped: list[str] | None = None) -> None:
-        self.sources = sources
-        self.skipped = sorted([*(skipped or []), *(name for s in sources for name in s.skipped)])
-        if not sources:
-            raise ValueError("There is no table with a column that can be profiled.")
-
-    @property
-    def spark(self) -> SparkSession:
-        return self.sources[0].spark
-
-    def columns(self) -> DataFrame:
-        return union_all([s.columns() for s in self.sources])
-
-    def raw_counts(self) -> DataFrame:
-        return union_all([s.raw_counts() for s in self.sources])
-
-    def long_texts(self, cleaned: bool, column_ids: set[int]) -> DataFrame | None:
-        found = [t for s in self.sources if (t := s.long_texts(cleaned, column_ids)) is not None]
-        return union_all(found) if found else None
-
-    def sample_rows(self) -> DataFrame:
-        return union_all([s.sample_rows() for s in self.sources])
-
-
 class RenamedSource:
     """A source of one table, known under another name."""
 

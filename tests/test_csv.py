@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tablescout import build_lake, csv_source, discover_csv, profile, read_csv
 from tablescout.plans.lake import export_ranking
 from tablescout.plans.profiling import export_profiles
+from tablescout.sources.csv_lake import open_after
 
 
 @pytest.fixture(scope="module")
@@ -55,13 +56,72 @@ def test_small_files(spark, folder):
     assert sorted(sample.split("\n")[3:]) == ["AA | 10:20:30", "BB | 11:00:00", "CC | "]
 
 
-def test_large_files_take_the_table_path(spark, folder):
-    small, large = csv_source(spark, folder), csv_source(spark, folder, small_file_bytes=60)
-    assert len(large.sources) == 2
-    cols = ("table_name", "column_name", "cardinality", "role", "first_word")
-    where = F.col("table_name").isin("people.csv") & F.col("column_name").isin("id", "joined", "name")
-    assert rows(profile(large).column_profile.where(where), *cols) == rows(
-        profile(small).column_profile.where(where), *cols)
+AWKWARD = {
+    "times.csv": b"t,d,zero\n" + b"".join(b"%02d:10:20,2024-01-%02d,%s\n" % (i % 24, i % 28 + 1, b"0000-00-00" if i % 12 == 0 else b"2024-02-03") for i in range(60)),
+    "ids.csv": b"id,wide,real\n" + b"".join(b"90071992547409%05d,12345678901234567890%03d,0.%020d\n" % (i, i, i + 10**19) for i in range(60)),
+    "heads.csv": b"a,a,A\n" + b"".join(b"x%d,y%d,z\n" % (i, i % 3) for i in range(40)),
+    "latin.csv": b"w,n\n" + b"".join((b"caf\xe9,%d\n" if i % 9 == 4 else b"tea %d,5\n") % i for i in range(45)),
+    "breaks.csv": b'id,"te""xt",z\r\n' + b"".join(b'%d,"line, ""one""\n\nand \r\nmore %d",5" pipe\r\n' % (i, i) for i in range(50)) + b'77,"',
+}
+
+
+def all_of(source):
+    columns = source.columns().drop("column_id").collect()
+    cells = source.cells.select("table_name", "column_pos", "type_class", "v").collect()
+    return sorted(columns), sorted(cells, key=repr), source.skipped
+
+
+@pytest.fixture(scope="module")
+def awkward(tmp_path_factory):
+    d = tmp_path_factory.mktemp("awkward")
+    for name, raw in AWKWARD.items():
+        (d / name).write_bytes(raw)
+    return str(d)
+
+
+@pytest.mark.parametrize("split", [40, 97, 400])
+def test_splits_change_nothing(spark, awkward, split):
+    expected = all_of(csv_source(spark, awkward))
+    conf = {"spark.sql.files.maxPartitionBytes": str(split), "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert all_of(csv_source(spark, awkward)) == expected
+        wide = read_csv(spark, f"{awkward}/breaks.csv").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, wide)) == sorted((i, f'line, "one"\n\nand \r\nmore {i}', '5" pipe') for i in range(50))
+
+
+def test_types_of_awkward_files(spark, awkward):
+    source = csv_source(spark, awkward)
+    types = {(r["table_name"], r["column_name"]): r["data_type"] for r in source.columns().collect()}
+    assert types == {
+        ("times.csv", "t"): "time", ("times.csv", "d"): "date", ("times.csv", "zero"): "string", ("ids.csv", "id"): "bigint",
+        ("ids.csv", "wide"): "decimal(38,0)", ("ids.csv", "real"): "string", ("heads.csv", "a"): "string", ("heads.csv", "a_1"): "string",
+        ("heads.csv", "A_2"): "string", ("latin.csv", "w"): "string", ("latin.csv", "n"): "string", ("breaks.csv", "id"): "bigint",
+        ("breaks.csv", "text"): "string", ("breaks.csv", "z"): "string"}
+    profiles = {(r["table_name"], r["column_name"]): r for r in profile(source).column_profile.collect()}
+    assert all(profiles["ids.csv", c]["cardinality"] == 60 for c in ("id", "wide", "real"))
+    assert profiles["times.csv", "zero"]["non_null"] == 60 and profiles["times.csv", "t"]["role"] == "TEMPORAL"
+    assert profiles["latin.csv", "w"]["row_count"] == 40
+    wide = {name: dict(read_csv(spark, f"{awkward}/{name}").dtypes) for name in AWKWARD}
+    assert wide["times.csv"] == {"t": "string", "d": "date", "zero": "string"}
+    assert wide["ids.csv"] == {"id": "bigint", "wide": "decimal(38,0)", "real": "string"}
+    assert set(wide["latin.csv"].values()) == {"string"}
+
+
+@pytest.mark.parametrize("line", [b"a,b", b'"a",b', b'"a,b', b'"a"",b', b'"a""",b', b'a"b,"c', b'"a"b"c,"d"', b'""', b'"', b'a,""",', b'"","",'])
+def test_state_after_a_line(line):
+    import csv
+    import io
+
+    closed = len(list(csv.reader(io.StringIO(line.decode() + "\nx\n")))) == 2
+    assert open_after(line, False) is not closed
+    inside = len(list(csv.reader(io.StringIO('"' + line.decode() + "\nx\n")))) == 2
+    assert open_after(line, True) is not inside
 
 
 def test_no_files(spark, tmp_path):
