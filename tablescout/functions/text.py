@@ -78,6 +78,27 @@ def normalise_value(v: Column) -> Column:
     return F.lower(F.trim(v, F.lit(WHITE_SPACE)))
 
 
+_LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+# The letters with a Soundex digit, and their digits.
+SOUNDEX_LETTERS, SOUNDEX_DIGITS = "BFPVCGJKQSXZDTLMNR", "111122222222334556"
+
+
+def soundex(v: Column) -> Column:
+    """The first character as it is (A-Z in upper case) and the digits of what follows, in four characters.
+
+    Letters of one digit in a row count once, also across H and W; any other character separates them. Unlike Spark's function this
+    also codes values that do not start with a letter. An empty value stays empty.
+    """
+    upper = F.translate(v, _LOWER, _UPPER)
+    first = F.left(upper, F.lit(1))
+    uncoded = f"[^{SOUNDEX_LETTERS}]"
+    rest = F.regexp_replace(F.regexp_replace(F.substring(upper, 2, 2147483647), "[HW]", ""), uncoded, ".")
+    marks = F.translate(F.concat(F.regexp_replace(first, uncoded, "."), rest), SOUNDEX_LETTERS, SOUNDEX_DIGITS)
+    single = F.regexp_replace(marks, r"([1-6])\1+", "$1")
+    digits = F.replace(F.substring(single, 2, 2147483647), F.lit("."), F.lit(""))
+    return F.when(v == "", v).otherwise(F.concat(first, F.rpad(F.left(digits, F.lit(3)), 3, "0")))
+
+
 def name_tokens(name: Column) -> Column:
     """Runs of letters in a lower-cased name."""
     return F.regexp_extract_all(F.lower(name), F.lit("[a-z]+"), F.lit(0))

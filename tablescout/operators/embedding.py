@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablescout.functions.scores import cosine, unit, vector_literal
+from tablescout.functions.scores import cosine, dot, unit, vector_literal
 
 DIMENSIONS = 384
 
@@ -60,7 +61,7 @@ def vector_of(embeddings: DataFrame, name: str) -> list[float]:
     """The stored vector of one table."""
     row = embeddings.where(F.col("table_name") == name).select("vec").head()
     if row is None:
-        raise KeyError(f"{name} is not in the index")
+        raise KeyError(f"no vector is stored for {name}")
     return list(row["vec"])
 
 
@@ -73,28 +74,42 @@ def nearest(embeddings: DataFrame, query_vec: list[float], top_k: int) -> DataFr
     )
 
 
-def nearest_approx(
-    embeddings: DataFrame,
-    query_vec: list[float],
-    top_k: int,
-    tables: int = 8,
-    bucket_length: float = 1.0,
-    seed: int = 42,
-) -> DataFrame:
-    """Approximate top-k with random-projection buckets.
+SIGN_BITS = 128
+# Candidates that are compared exactly, for each row asked for.
+CANDIDATES = 8
 
-    On unit vectors the smallest distance is the largest cosine. As many rows as asked for have to
-    come back, so a search whose buckets hold fewer is answered exactly.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
 
-    points = embeddings.select("table_name", "vec", array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    )
-    found = lsh.fit(points).approxNearestNeighbors(points, Vectors.dense(query_vec), top_k)
-    if found.count() < top_k:
-        return nearest(embeddings, query_vec, top_k)
-    return nearest(found.select("table_name", "vec"), query_vec, top_k)
+def plane_sign(bit: int, dimension: int) -> int:
+    """One coordinate of a random plane: 1 or -1, by the first hexadecimal digit of an md5."""
+    return 1 if hashlib.md5(f"{bit},{dimension}".encode()).hexdigest()[0] < "8" else -1
+
+
+def sign_bits(vec: Column, dimensions: int) -> Column:
+    """Which side of each of SIGN_BITS random planes a vector lies on, packed into numbers of 32 bits."""
+    planes = "array(" + ", ".join(
+        "array(" + ", ".join(f"{plane_sign(b, i)}D" for i in range(dimensions)) + ")" for b in range(SIGN_BITS)) + ")"
+    sides = F.transform(F.expr(planes), lambda plane: (dot(vec, plane) > 0).cast("bigint"))
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(SIGN_BITS // 32 - 1)),
+        lambda w: F.aggregate(
+            F.slice(sides, w * 32 + 1, F.lit(32)), F.lit(0).cast("bigint"), lambda acc, bit: acc * 2 + bit))
+
+
+def with_sign_bits(embeddings: DataFrame, dimensions: int) -> DataFrame:
+    """E8's index: a signature for each stored vector."""
+    return embeddings.withColumn("signature", sign_bits(F.col("vec"), dimensions))
+
+
+def nearest_approx(embeddings: DataFrame, query_vec: list[float], top_k: int, candidates: int = CANDIDATES) -> DataFrame:
+    """Approximate top-k. The `candidates * top_k` rows whose signatures differ least are ranked by exact cosine.
+
+    `embeddings` has stored signatures (see `with_sign_bits`), or they are made on the way. There are always `top_k` rows if the index has them.
+    """
+    if "signature" not in embeddings.columns:
+        embeddings = with_sign_bits(embeddings, len(query_vec))
+    own = embeddings.sparkSession.range(1).select(sign_bits(vector_literal(query_vec), len(query_vec)).alias("s")).head()["s"]
+    differing = F.aggregate(
+        F.zip_with("signature", F.array(*[F.lit(x).cast("bigint") for x in own]), lambda a, b: F.bit_count(a.bitwiseXOR(b))),
+        F.lit(0), lambda acc, n: acc + n)
+    close = embeddings.select("table_name", "vec", differing.alias("_apart")).orderBy("_apart", "table_name").limit(candidates * top_k)
+    return nearest(close.select("table_name", "vec"), query_vec, top_k)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescout.functions.scores import cardinality_ratio, classify, fixed_length
-from tablescout.functions.text import text_sql
+from tablescout.functions.text import soundex, text_sql
 from tablescout.operators.counts import COLUMN_KEY, type_order, union_all
 from tablescout.workspace import materialize
 
@@ -187,7 +187,7 @@ def picks_per_column(picks: DataFrame) -> DataFrame:
     ).select(
         *COLUMN_KEY,
         top.alias("freq_word_containment"),
-        F.transform(top, F.soundex).alias("freq_word_soundex_containment"),
+        F.transform(top, soundex).alias("freq_word_soundex_containment"),
         "first_text", "last_text",
     )
 

@@ -35,11 +35,14 @@ META_SCHEMA = pa.schema([
     ("skipped", pa.list_(pa.string())),
     ("version", pa.string()),
     ("built_at", pa.float64()),
+    ("encoder", pa.string()),
+    ("dimensions", pa.int64()),
 ])
 
 _META_DDL = (
     "name string, description string, n_tables bigint, build_profile_s double, build_embedding_s double,"
-    " build_total_s double, skipped array<string>, version string, built_at double"
+    " build_total_s double, skipped array<string>, version string, built_at double, encoder string,"
+    " dimensions bigint"
 )
 
 Progress = Callable[[str], None]
@@ -68,12 +71,13 @@ def build_lake(
     p.column_profile = publish("column_profile", p.lazy_column_profile())
     n_tables = p.column_profile.select("table_name").distinct().count()
     if n_tables == 0:
-        raise ValueError("None of the tables could be profiled.")
+        raise ValueError("A lake needs at least one table with a column that holds values.")
     p.table_profile = publish("table_profile", p.table_profile)
     publish("join_cols", p.join_columns)
     profiled = time.perf_counter()
     report("embedding")
-    publish("table_embedding", encoder(p.texts))
+    embedded = publish("table_embedding", encoder(p.texts))
+    dimensions = embedded.select(F.size("vec")).head()[0]
     done = time.perf_counter()
     empty = p.columns.join(p.table_profile, "table_name", "left_anti").select("table_name").distinct()
     meta = {
@@ -82,12 +86,17 @@ def build_lake(
         "build_embedding_s": round(done - profiled, 1),
         "build_total_s": round(done - start, 1),
         "skipped": sorted([*source.skipped, *(r["table_name"] for r in empty.collect())]),
-        "version": version, "built_at": time.time(),
+        "version": version, "built_at": time.time(), "encoder": encoder_name(encoder), "dimensions": dimensions,
     }
     small_frame(spark, META_SCHEMA, [meta]).coalesce(1).write.mode("append").json(f"{path}/lake.json")
     return Lake(spark, path)
 
 
+def encoder_name(encoder: Encoder) -> str:
+    """What the catalog knows an encoder by: its `name`, else the name of its function."""
+    return getattr(encoder, "name", None) or getattr(encoder, "__qualname__", type(encoder).__name__)
+
+
 def list_lakes(spark: SparkSession, folder: str) -> DataFrame:
     """The current metadata of every lake below `folder`, sorted by lake key (its folder name)."""
     builds = spark.read.schema(_META_DDL).json(f"{folder}/*/lake.json").withColumn(
@@ -130,7 +139,7 @@ class Lake:
         """S15."""
         return self.spark.read.schema(_META_DDL).json(f"{self.path}/lake.json").where(
             F.col("version") == self.meta["version"]
-        ).drop("version", "built_at")
+        ).drop("version", "built_at", "encoder", "dimensions")
 
     def vector(self, name: str) -> list[float]:
         """E6."""
@@ -144,7 +153,7 @@ class Lake:
         query_vec = self.vector(query_name)
         row = self.fingerprints.where(F.col("table_name") == query_name).select("struct_vec").head()
         if row is None:
-            raise KeyError(f"{query_name} has no cached fingerprint")
+            raise KeyError(f"the lake stores no structural vector of {query_name}")
         query_cols = self.join_cols.where(F.col("table_name") == query_name)
         return self._rank(query_name, query_vec, row["struct_vec"], query_cols, top_n, rerank_pool, approximate)
 
@@ -159,12 +168,16 @@ class Lake:
         else:
             query_name = query_name or "query"
             if not query.columns or query.isEmpty():
-                raise ValueError("The query has no rows or no columns.")
+                raise ValueError("A query table needs a column and a row.")
             source = TableSource({query_name: query})
         p = Profile(source)
+        if encoder_name(encoder) != self.meta["encoder"]:
+            raise ValueError(f"The lake was built with {self.meta['encoder']}, not with {encoder_name(encoder)}: their vectors cannot be compared.")
         row = encoder(p.texts).join(p.table_profile, "table_name").select("vec", "struct_vec").head()
         if row is None:
-            raise ValueError(f"{query_name} could not be profiled.")
+            raise ValueError(f"{query_name} has no column with values.")
+        if len(row["vec"]) != self.meta["dimensions"]:
+            raise ValueError(f"A vector of {len(row['vec'])} numbers cannot be compared with the lake's {self.meta['dimensions']}.")
         return self._rank(
             query_name, row["vec"], row["struct_vec"], p.join_columns, top_n, rerank_pool, approximate
         )

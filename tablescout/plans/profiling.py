@@ -95,7 +95,7 @@ def profile_lake(source) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Q6: raw, z-scored (6 decimals) and typed profiles; the typed ones are of the z-scored values."""
     raw = Profile(source).column_profile
     if raw.isEmpty():
-        raise ValueError("No profiles were produced successfully.")
+        raise ValueError("The source has no column with values.")
     z = zscore_profiles(raw)
     rounded = z.withColumns({
         name: F.round(name, 6) for name, kind in z.dtypes if kind == "double"

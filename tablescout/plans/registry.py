@@ -19,16 +19,16 @@ from tablescout.functions.scores import (
     length_compat,
     vector_literal,
 )
-from tablescout.functions.text import clean_value, name_tokens, normalise_value, type_class
+from tablescout.functions.text import clean_value, integer_or, name_tokens, normalise_value, number_or, soundex, type_class
 from tablescout.operators import profile as p
 from tablescout.operators.embedding import nearest, nearest_approx, token_weights, vector_of
 from tablescout.operators.joinability import best_pairs, column_pairs, table_joinability
 from tablescout.operators.normalize import preprocess_profiles, zscore_profiles
 from tablescout.operators.sketch import minhash, sketch_index
 from tablescout.operators.table_profile import macro_means, row_count_recovery, type_fractions
-from tablescout.plans.lake import Lake, build_lake, list_lakes
+from tablescout.plans.lake import Lake, build_lake, export_ranking, list_lakes
 from tablescout.plans.oracles import _ROLES, _Z, OCTILES, with_ctes
-from tablescout.plans.profiling import Profile
+from tablescout.plans.profiling import Profile, export_profiles
 from tablescout.plans.testlake import lake_tables
 from tablescout.sources.csv_lake import csv_source, infer_types, read_csv
 from tablescout.sources.source import TableSource
@@ -159,13 +159,10 @@ def raw_value_counts(spark, sf_dir):
 @query(f"select table_name, column_name, {_i('row_count', 'non_null', 'cardinality')},"
        f" {_r('uniqueness', 'incompleteness', 'entropy')} from profile")
 def cardinality_metrics(spark, sf_dir):
-    prof = lake_profile(spark, sf_dir)
-    rows = F.col("row_count")
-    return named(prof, p.column_metrics(prof.counts).select(
-        "column_id", "row_count", "non_null", whole("cardinality"),
-        real(F.col("cardinality") / rows, "uniqueness"),
-        real((rows - F.col("non_null")) / rows, "incompleteness"), real("entropy"),
-    ))
+    return lake_profile(spark, sf_dir).column_profile.select(
+        "table_name", "column_name", whole("row_count"), whole("non_null"), whole("cardinality"),
+        real("uniqueness"), real("incompleteness"), real("entropy"),
+    )
 
 
 @query(f"select table_name, column_name, {_i('frequency_min', 'frequency_max')},"
@@ -190,8 +187,7 @@ def frequency_octiles(spark, sf_dir):
 
 @query(f"select table_name, column_name, {_r('skewness', 'kurtosis')} from profile")
 def skew_kurtosis(spark, sf_dir):
-    prof = lake_profile(spark, sf_dir)
-    return named(prof, p.column_metrics(prof.counts).select("column_id", real("skewness"), real("kurtosis")))
+    return lake_profile(spark, sf_dir).column_profile.select("table_name", "column_name", real("skewness"), real("kurtosis"))
 
 
 @query("select table_name, column_name, cast(rank as bigint) as rank, cast(n as bigint) as n, p as value"
@@ -202,12 +198,39 @@ def top10_values(spark, sf_dir):
     return named(prof, top.select("column_id", whole("rank"), "n", F.col("text").alias("value")))
 
 
-@query()
+def _soundex_sql(v: str) -> str:
+    """Soundex step by step: marks for all characters, then each digit's runs made single."""
+    upper = f"translate({v}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+    first = f"substr({upper}, 1, 1)"
+    rest = f"replace(replace(substr({upper}, 2), 'H', ''), 'W', '')"
+    marks = f"translate(regexp_replace({first} || {rest}, '[^BCDFGJKLMNPQRSTVXZ]', '.', 'g'), 'BFPVCGJKQSXZDTLMNR', '111122222222334556')"
+    for digit in range(1, 7):
+        marks = f"regexp_replace({marks}, '{digit}+', '{digit}', 'g')"
+    return f"case when {v} = '' then '' else {first} || rpad(substr(replace(substr({marks}, 2), '.', ''), 1, 3), 3, '0') end"
+
+
+@query(f"select table_name, column_name, string_agg({_soundex_sql('p')}, '|' order by rank) as soundex"
+       " from tops join cols using (table_name, column_pos) group by table_name, column_name")
 def soundex_top10(spark, sf_dir):
     prof = lake_profile(spark, sf_dir)
     return prof.column_profile.select("table_name", "column_name", listed("freq_word_soundex_containment", "soundex"))
 
 
+@query("select table_name, column_name, string_agg(code, '|' order by code) as soundex_values from"
+       f" (select distinct table_name, column_name, lower({_soundex_sql('p')}) as code from tops join cols using (table_name, column_pos))"
+       " group by table_name, column_name")
+def soundex_sets(spark, sf_dir):
+    return p.value_sets(lake_profile(spark, sf_dir).column_profile).select("table_name", "column_name", listed("soundex_values"))
+
+
+@query(f"select doc_id, md5(string_agg({_soundex_sql('word')}, ' ' order by pos)) as codes_md5 from (select doc_id, unnest(ws) as word,"
+       " generate_subscripts(ws, 1) as pos from (select doc_id, string_split(text, ' ') as ws from documents)) group by doc_id")
+def soundex_of_words(spark, sf_dir):
+    """P13 on every word of every document."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.md5(F.array_join(F.transform(F.split("text", " "), soundex), " ")).alias("codes_md5"))
+
+
 @query("select table_name, column_name, string_agg(value, '|' order by value) as top_values from"
        " (select distinct table_name, column_name, lower(p) as value from tops join cols using (table_name, column_pos))"
        " group by table_name, column_name")
@@ -218,20 +241,18 @@ def value_sets(spark, sf_dir):
 
 @query(f"select table_name, column_name, {_i('len_max_word', 'len_min_word')}, {_r('len_avg_word')} from profile")
 def word_lengths(spark, sf_dir):
-    prof = lake_profile(spark, sf_dir)
-    return named(prof, p.column_metrics(prof.counts).select(
-        "column_id", "len_max_word", "len_min_word", real("len_avg_word")
-    ))
+    return lake_profile(spark, sf_dir).column_profile.select(
+        "table_name", "column_name", whole("len_max_word"), whole("len_min_word"), real("len_avg_word")
+    )
 
 
 @query(f"select table_name, column_name, {_i('number_words', 'words_cnt_max', 'words_cnt_min')},"
        f" {_r('words_cnt_avg', 'words_cnt_sd')} from profile")
 def word_counts(spark, sf_dir):
-    prof = lake_profile(spark, sf_dir)
-    return named(prof, p.column_metrics(prof.counts).select(
-        "column_id", whole("number_words"), "words_cnt_max", "words_cnt_min",
+    return lake_profile(spark, sf_dir).column_profile.select(
+        "table_name", "column_name", whole("number_words"), whole("words_cnt_max"), whole("words_cnt_min"),
         real("words_cnt_avg"), real("words_cnt_sd"),
-    ))
+    )
 
 
 @query("select table_name, column_name, first_word, last_word from profile")
@@ -501,7 +522,13 @@ def cosine_topk(spark, sf_dir):
     return nearest(index, vector_of(index, "0"), 10).select("table_name", real("score"))
 
 
-@query()
+@query("with planes as (select b.range as b, i.range as i, case when substr(md5(b.range || ',' || i.range), 1, 1) < '8' then 1 else -1 end as s"
+       " from range(128) b, range(64) i), coords as (select vec_id, generate_subscripts(embedding, 1) - 1 as i,"
+       " cast(unnest(embedding) as double) as x from embeddings), sides as (select vec_id, b, sum(x * s) > 0 as side from coords join planes"
+       " using (i) group by vec_id, b), apart as (select a.vec_id, count(*) filter (where a.side <> q.side) as d from sides a join sides q"
+       " on a.b = q.b where q.vec_id = 0 group by a.vec_id), near_ids as (select vec_id from apart order by d, cast(vec_id as varchar) limit 80)"
+       f" select cast(b.vec_id as varchar) as table_name, round(greatest(0, {_DOT}), 6) as score from embeddings a, embeddings b"
+       f" where a.vec_id = 0 and b.vec_id in (select vec_id from near_ids) order by greatest(0, {_DOT}) desc, cast(b.vec_id as varchar) limit 10")
 def ann_topk(spark, sf_dir):
     index = _vectors(spark, sf_dir)
     return nearest_approx(index, vector_of(index, "0"), 10).select("table_name", real("score"))
@@ -589,11 +616,9 @@ def zscored_profiles(spark, sf_dir):
 
 
 @query("select table_name, column_name, cast(number_words as double) as number_words, round(entropy, 6) as entropy,"
-       " cast(is_binary as double) as is_binary, first_word, last_word, top_values from profile join (select"
-       " table_name, column_pos, string_agg(p, '|' order by p) as top_values from tops group by all)"
-       " using (table_name, column_pos)".replace("first_word, last_word, top_values from profile join",
-                                                 "first_word, last_word, t.top_values from profile join")
-       .replace("group by all)", "group by all) t"))
+       " cast(is_binary as double) as is_binary, first_word, last_word, t.top_values from profile join (select"
+       " table_name, column_pos, string_agg(p, '|' order by p) as top_values from tops group by all) t"
+       " using (table_name, column_pos)")
 def preprocessed_profiles(spark, sf_dir):
     typed = preprocess_profiles(lake_profile(spark, sf_dir).column_profile)
     return typed.select(
@@ -614,17 +639,84 @@ def inferred_types(spark, sf_dir):
     )
 
 
-@query("select 'Test lake' as name, cast(count(distinct table_name) as bigint) as n_tables,"
-       " cast(0 as bigint) as n_skipped from profile")
+_ROWS_OF_TABLES = "(select table_name, cast(max(row_count) as bigint) as n_rows from profile group by table_name)"
+
+
+@query(f"select 'Test lake' as name, (select count(*) from {_ROWS_OF_TABLES} u) as n_tables, cast(0 as bigint) as n_skipped, table_name, n_rows"
+       f" from {_ROWS_OF_TABLES} t")
 def lake_report(spark, sf_dir):
-    return lake(spark, sf_dir).report().select("name", "n_tables", whole(F.size("skipped"), "n_skipped"))
+    """S15, next to the row counts of the tables it reports on."""
+    built = lake(spark, sf_dir)
+    rows = built.column_profile.groupBy("table_name").agg(F.max("row_count").alias("n_rows"))
+    report = built.report().select("name", "n_tables", whole(F.size("skipped"), "n_skipped"))
+    return rows.join(F.broadcast(report))
 
 
-@query("select 'tables' as lake, 'Test lake' as name, cast(count(distinct table_name) as bigint) as n_tables"
-       " from profile")
+@query(f"select 'tables' as lake, 'Test lake' as name, count(*) as n_tables, cast(sum(n_rows) as bigint) as n_rows from {_ROWS_OF_TABLES} t")
 def lakes_of_folder(spark, sf_dir):
-    folder = lake(spark, sf_dir).path.rsplit("/", 1)[0]
-    return list_lakes(spark, folder).select("lake", "name", "n_tables")
+    """S9, with the rows of each lake's tables."""
+    built = lake(spark, sf_dir)
+    rows = built.column_profile.groupBy("table_name").agg(F.max("row_count").alias("n"))
+    total = rows.agg(F.sum("n").alias("n_rows")).withColumn("lake", F.lit(built.path.rsplit("/", 1)[1]))
+    return list_lakes(spark, built.path.rsplit("/", 1)[0]).select("lake", "name", "n_tables").join(total, "lake")
+
+
+@query(f"select {_RANKING} from {_RANKED} where query_table = 'customer'")
+def exported_ranking(spark, sf_dir):
+    """The full ranking of a table, exported as CSV and read again."""
+    ranking = lake(spark, sf_dir).search_indexed("customer", top_n=None)
+    path = new_dir(spark, "ranking")
+    export_ranking(ranking, path)
+    read = spark.read.schema(ranking.schema).option("header", True).csv(path)
+    return _shown(read.withColumn("join_columns", F.coalesce("join_columns", F.lit(""))))
+
+
+@query("select table_name, column_name, " + ", ".join(
+    f"round(coalesce(({c} - avg({c}) over ()) / nullif(stddev_samp({c}) over (), 0), 0), 5) + 0.0 as {c}" for c in _Z)
+    + ", first_word, last_word from profile")
+def exported_typed_profiles(spark, sf_dir):
+    """All tables profiled, z-scored, typed and exported; the typed profiles, read again."""
+    path = new_dir(spark, "profiles")
+    export_profiles(TableSource(lake_tables(spark, sf_dir)), path)
+    typed = spark.read.parquet(f"{path}/profiles_typed")
+    return typed.select("table_name", "column_name", *[real(c, digits=5) for c in _Z], "first_word", "last_word")
+
+
+@query("select column_name, cast(row_count as bigint) as row_count, cast(cardinality as bigint) as cardinality from (select"
+       " case column_name when 'c_custkey' then 'key' when 'c_name' then 'key_1' when 'c_nationkey' then 'na tion' when 'c_acctbal' then 'KEY_2'"
+       " else 'seg' end as column_name, row_count, cardinality from profile where table_name = 'customer')")
+def dirty_header(spark, sf_dir):
+    """Byte-order mark, quotes, line breaks and blanks go, names that are taken get a number."""
+    df = lake_tables(spark, sf_dir)["customer"].toDF("\ufeffkey", ' "key"\n', "na tion\r\n", "KEY", '  se"g  ')
+    return Profile(TableSource({"dirty": df})).column_profile.select("column_name", whole("row_count"), whole("cardinality"))
+
+
+@query("select o_orderkey, coalesce(try_cast(substr(o_orderpriority, 1, 1 + o_orderkey % 3) as double), 0) as number,"
+       " coalesce(try_cast(trunc(o_totalprice) as bigint), -1) as whole_part,"
+       " coalesce(try_cast(o_orderstatus as double), 7) as fallback from orders")
+def tolerant_numbers(spark, sf_dir):
+    """What is no number becomes the default."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return orders.select(
+        "o_orderkey", number_or(F.expr("substr(o_orderpriority, 1, cast(1 + o_orderkey % 3 as int))")).alias("number"),
+        integer_or(F.col("o_totalprice").cast("string"), -1).alias("whole_part"), number_or(F.col("o_orderstatus"), 7).alias("fallback"))
+
+
+@query("select table_name, column_name, cast(row_count as bigint) as row_count from profile where table_name in ('orders', 'part')")
+def rebuilt_lake(spark, sf_dir):
+    """A lake is built, replaced by a build over other tables, and loaded again."""
+    tables = lake_tables(spark, sf_dir)
+    path = new_dir(spark, "rebuilt") + "/lake"
+    build_lake(TableSource({"customer": tables["customer"]}), path, "first")
+    build_lake(TableSource({name: tables[name] for name in ("orders", "part")}), path, "second")
+    return Lake(spark, path).column_profile.select("table_name", "column_name", whole("row_count"))
+
+
+@query(f"select {_RANKING} from {_RANKED} where query_table = 'supplier' and candidate_table = 'supplier'")
+def empty_ranking(spark, sf_dir):
+    """The ranking of the only table of a lake has all columns and no row."""
+    only = build_lake(TableSource({"supplier": lake_tables(spark, sf_dir)["supplier"]}), new_dir(spark, "only") + "/lake", "only")
+    return _shown(only.search_indexed("supplier", top_n=None))
 
 
 @query("select table_name, count(*) as n_join_columns from join_cols group by table_name")

@@ -14,19 +14,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+_written: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one is chosen (once) only where none is configured."""
+    """The cluster's shared folder. Where none is configured, a local one is chosen (once), if driver and executors are one process."""
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError(f"{CHECKPOINT_CONF} has to name a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="tablescout-")
         spark.conf.set(CHECKPOINT_CONF, configured)
     return configured.rstrip("/")
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Delete what this session has written to the shared folder. Results that are read from there are gone then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for written in _written.pop(spark.sparkContext.applicationId, []):
+        path(written).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(written), True)
+
+
 def new_dir(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
