@@ -19,6 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -26,8 +27,8 @@ from tablescout.llm.arrow_text import append_columns
 
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-# Distinct words whose ids a task keeps from slice to slice. They are dropped together; results do not depend on it.
-KEPT_WORDS = 200_000
+# Distinct words whose ids a task keeps from slice to slice. Beyond it those of the last slice stay; results do not depend on it.
+KEPT_WORDS = 500_000
 
 _WORD = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -39,7 +40,14 @@ class PieceVocabulary:
         self.pieces, self.byte_ids, self.special = pieces, byte_ids, special
         of_bytes = set(byte_ids.values())
         self.rank = {p: (s, i) for i, (p, s) in enumerate(zip(pieces, scores)) if i not in of_bytes and i not in special}
-        self.longest = max(map(len, self.rank), default=1)
+        self.id_of = {p: i for p, (_, i) in self.rank.items()}
+        # The pieces as a trie of their reversed characters; None marks where one starts.
+        self.ends: dict = {}
+        for piece in self.rank:
+            node = self.ends
+            for char in reversed(piece):
+                node = node.setdefault(char, {})
+            node[None] = None
         by_id = {i: bytes([b]) for b, i in byte_ids.items()}
         self.bytes_of = [by_id.get(i, b"" if i in special else p.encode()) for i, p in enumerate(pieces)]
         self._stable: dict[tuple[str, str], bool] = {}
@@ -73,34 +81,40 @@ class PieceVocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def stable(self, left: str, right: str) -> bool:
-        key = (left, right)
-        known = self._stable.get(key)
-        if known is None:
-            if len(self._stable) > 4 * KEPT_WORDS:
-                self._stable.clear()
-            known = self._stable[key] = self.merged(left + right) == ([left, right] if left else [right])
+    def _is_stable(self, pair: tuple[str, str]) -> bool:
+        left, right = pair
+        if len(self._stable) > 4 * KEPT_WORDS:
+            self._stable.clear()
+        known = self._stable[pair] = self.merged(left + right) == ([left, right] if left else [right])
         return known
 
-    def _step(self, word: str, last: list[str], end: int) -> str:
-        """The last piece of the segmentation of word[:end], from those of the shorter prefixes."""
-        for size in range(min(self.longest, end), 0, -1):
-            piece = word[end - size : end]
-            if (size == 1 or piece in self.rank) and self.stable(last[end - size], piece):
-                return piece
-        raise AssertionError(f"no segmentation of {word[:end]!r}")
-
     def segment(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
         """Pieces of each distinct word, in sorted order."""
-        before, last = "", [""]
-        for word in sorted(set(words)):
+        before, last, ends, stable = "", [""], self.ends, self._stable
+        for word in sorted(words):
             shared = 0
             limit = min(len(before), len(word))
             while shared < limit and before[shared] == word[shared]:
                 shared += 1
             del last[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                last.append(self._step(word, last, end))
+                # Where the pieces that end here start; a character that is no piece stands for itself.
+                starts = [end - 1]
+                node, at = ends, end
+                while at:
+                    node = node.get(word[at - 1])
+                    if node is None:
+                        break
+                    at -= 1
+                    if None in node:
+                        starts.append(at)
+                while True:
+                    at = starts.pop()
+                    pair = (last[at], word[at:end])
+                    known = stable.get(pair)
+                    if known or known is None and self._is_stable(pair):
+                        last.append(pair[1])
+                        break
             pieces, end = [], len(word)
             while end:
                 pieces.append(last[end])
@@ -110,14 +124,11 @@ class PieceVocabulary:
             before = word
 
     def _ids_of(self, pieces: list[str]) -> tuple[int, ...]:
-        ids: list[int] = []
-        for piece in pieces:
-            found = self.rank.get(piece)
-            if found is not None:
-                ids.append(found[1])
-            else:
-                ids.extend(self.byte_ids[b] for b in piece.encode())
-        return tuple(ids)
+        try:
+            return tuple([self.id_of[p] for p in pieces])
+        except KeyError:
+            return tuple(chain.from_iterable(
+                (self.id_of[p],) if p in self.id_of else [self.byte_ids[b] for b in p.encode()] for p in pieces))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and n + 1 offsets."""
@@ -127,10 +138,10 @@ class PieceVocabulary:
             found = _WORD.findall(MARK + text.replace(" ", MARK)) if text else []
             counts.append(len(found))
             words += found
-        new = set(words) - self._ids.keys()
+        here = set(words)
+        new = here - self._ids.keys()
         if len(self._ids) + len(new) > KEPT_WORDS:
-            self._ids.clear()
-            new = set(words)
+            self._ids = {w: self._ids[w] for w in here - new}
         for word, pieces in self.segment(new):
             self._ids[word] = self._ids_of(pieces)
         of_words = [self._ids[w] for w in words]
@@ -147,13 +158,20 @@ class PieceVocabulary:
 _IDS = T.StructType([T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())])
 
 
+def _shared(df: DataFrame, vocabulary: PieceVocabulary) -> Broadcast:
+    """A vocabulary that a Python worker unpacks once, so that it keeps what it has computed from task to task."""
+    return df.sparkSession.sparkContext.broadcast(vocabulary)
+
+
 def encode(docs: DataFrame, vocabulary: PieceVocabulary, text_column: str = "text") -> DataFrame:
     """`docs` with `token_ids` and `n_tokens` of each whole text.
 
     Null and empty texts have no tokens. Equal texts get equal ids; rows are neither dropped nor merged. Columns of those names are replaced.
     """
+    shared = _shared(docs, vocabulary)
+
     def compute(texts: pa.Array) -> list[pa.Array]:
-        ids, offsets = vocabulary.encode([t or "" for t in texts.to_pylist()])
+        ids, offsets = shared.value.encode([t or "" for t in texts.to_pylist()])
         lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
         return [lists, pa.array(np.diff(offsets))]
 
@@ -168,12 +186,13 @@ def decode(df: DataFrame, vocabulary: PieceVocabulary, ids_column: str = "token_
     # Slices are cut by the size of a column of bytes; ids are four bytes each.
     schema = T.StructType([*df.drop(out).schema.fields, T.StructField(out, T.StringType())])
     kept = df.drop(out)
+    shared = _shared(df, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts = [vocabulary.decode(x) if x else "" for x in part.column(ids_column).to_pylist()]
+                texts = [shared.value.decode(x) if x else "" for x in part.column(ids_column).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return kept.mapInArrow(run, schema)
@@ -186,7 +205,10 @@ def encode_and_check(docs: DataFrame, vocabulary: PieceVocabulary, text_column:
     """
     fields = T.StructType([*_IDS.fields, T.StructField("decoded_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType())])
 
+    shared = _shared(docs, vocabulary)
+
     def compute(texts: pa.Array) -> list[pa.Array]:
+        vocabulary = shared.value
         given = [t or "" for t in texts.to_pylist()]
         ids, offsets = vocabulary.encode(given)
         lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
