@@ -112,6 +112,22 @@ def containment(
     return F.when(usable, F.least(F.lit(1.0), best)).otherwise(0.0)
 
 
+def containment_of_matches(
+    ranks: Column, size_a: Column, n_a: Column, size_b: Column, n_b: Column, k: int = SKETCH_SIZE
+) -> Column:
+    """J1 for sketches that share a hash, from `ranks`: each shared hash's rank in one sketch plus that in the other, counted from 1.
+
+    In rising order, the i-th shared hash has rank_a + rank_b - i hashes of the union up to itself, so it belongs to the union's own
+    sketch exactly if that is k at most. No sketch has to travel with the pair.
+    """
+    union = F.least(F.lit(k), size_a + size_b - F.size(ranks))
+    shared = F.size(F.filter(F.array_sort(ranks), lambda x, i: x - (i + 1) <= k))
+    jaccard = F.try_divide(shared.cast("double"), union.cast("double"))
+    common = jaccard * (n_a + n_b) / (F.lit(1.0) + jaccard)
+    best = F.greatest(F.try_divide(common, n_a.cast("double")), F.try_divide(common, n_b.cast("double")))
+    return F.when((n_a > 0) & (n_b > 0), F.least(F.lit(1.0), best)).otherwise(0.0)
+
+
 def length_compat(a_min: Column, a_max: Column, b_min: Column, b_max: Column) -> Column:
     """Overlap of two length ranges, mapped to [PRIOR_FLOOR, 1]; 1 where a range is unknown."""
     overlap = F.greatest(F.lit(0), F.least(a_max, b_max) - F.greatest(a_min, b_min))

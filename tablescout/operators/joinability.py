@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablescout.functions.scores import STRONG_KEY, TOP_KEYS, containment, joinable_prior, noisy_or
+from tablescout.functions.scores import STRONG_KEY, TOP_KEYS, containment_of_matches, joinable_prior, noisy_or
 from tablescout.workspace import materialize
 
 # Rows of one key that meet in one task; a key with more is split on both sides.
 KEY_CHUNK = 1000
 
-_PROFILE = ["sig", "n", "type", "len_min", "len_max"]
+_PROFILE = ["sig", "size", "n", "type", "len_min", "len_max"]
 
 
 def split_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -53,22 +53,28 @@ def with_class(join_cols: DataFrame) -> DataFrame:
 
 def _classes(columns: DataFrame, side: str) -> DataFrame:
     """One row per class. All rows of a class are equal, so it does not matter which is kept."""
-    first = columns.dropDuplicates(["class_id"])
+    first = columns.dropDuplicates(["class_id"]).withColumn("size", F.size("sig"))
     return first.select(*[F.col(c).alias(f"{side}_{c}") for c in ["class_id", *_PROFILE]])
 
 
 def class_pairs(query_cols: DataFrame, candidate_cols: DataFrame, join=plain_join) -> DataFrame:
-    """Scores of all pairs of classes that share a hash; no other pair can score above 0."""
+    """Scores of all pairs of classes that share a hash; no other pair can score above 0.
+
+    The join of the hashes already says what two sketches share; only its ranks are put together for a pair.
+    """
     q, c = _classes(query_cols, "q"), _classes(candidate_cols, "c")
-    postings_q = q.select("q_class_id", F.explode("q_sig").alias("h"))
-    postings_c = c.select("c_class_id", F.explode("c_sig").alias("h"))
-    pairs = join(postings_q, postings_c, "h").select("q_class_id", "c_class_id").distinct()
-    overlap = containment(F.col("q_sig"), F.col("q_n"), F.col("c_sig"), F.col("c_n"))
+    postings_q = q.select("q_class_id", F.posexplode("q_sig").alias("q_rank", "h"))
+    postings_c = c.select("c_class_id", F.posexplode("c_sig").alias("c_rank", "h"))
+    pairs = (
+        join(postings_q, postings_c, "h").groupBy("q_class_id", "c_class_id")
+        .agg(F.collect_list(F.col("q_rank") + F.col("c_rank") + 2).alias("ranks"))
+    )
+    overlap = containment_of_matches(F.col("ranks"), F.col("q_size"), F.col("q_n"), F.col("c_size"), F.col("c_n"))
     prior = joinable_prior(
         F.col("q_type"), F.col("q_len_min"), F.col("q_len_max"),
         F.col("c_type"), F.col("c_len_min"), F.col("c_len_max"),
     )
-    scored = pairs.join(q, "q_class_id").join(c, "c_class_id")
+    scored = pairs.join(q.drop("q_sig"), "q_class_id").join(c.drop("c_sig"), "c_class_id")
     return (
         scored.select("q_class_id", "c_class_id", overlap.alias("containment"), prior.alias("prior"))
         .withColumn("j", F.col("containment") * F.col("prior"))
