@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablescout.llm import oracles
 from tablescout.llm.fingerprint import compare_with_next
 from tablescout.llm.jaccard import jaccard_components
 from tablescout.llm.language import fit_language_model, identify_languages, remainder
@@ -93,4 +94,9 @@ QUERIES = {
     "op10_html_extraction": op10_html_extraction,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_ngram_jaccard_join": oracles.JACCARD,
+    "op4_sharding": oracles.sharding(SHARDS),
+    "op6_secret_scans": oracles.SECRETS,
+    "op7_substring_dedup": oracles.REPEATS,
+}
