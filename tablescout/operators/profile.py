@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tablescout.functions.scores import cardinality_ratio, classify, fixed_length
 from tablescout.functions.text import soundex, text_sql
-from tablescout.operators.counts import COLUMN_KEY, type_order, union_all
+from tablescout.operators.counts import COLUMN_KEY, HEAD_CHARS, top_per_group, type_order, union_all
 from tablescout.workspace import materialize
 
 TOP_VALUES = 10
@@ -126,8 +126,8 @@ def picked_values(counts: DataFrame, source, cleaned: bool, boundaries: bool = T
     """The values a profile shows as text: (column_id, kind, rank, n, text).
 
     `kind` is `top` (A12: the most frequent, ties in the order of the type), `first` or `last` (A16, for
-    all but plain numbers). Ranking uses the heads of long values and keeps every tie; the ties are
-    settled on the whole texts.
+    all but plain numbers). Heads of long values pre-order them; where the cut falls into values of one head, those
+    are settled on their whole texts. Every task hands on a bounded number of values per column, however many tie.
     """
     present = counts.where(F.col("v").isNotNull()).select(
         *COLUMN_KEY, "type_class", "v", "digest", "i", "d", "n"
@@ -138,7 +138,21 @@ def picked_values(counts: DataFrame, source, cleaned: bool, boundaries: bool = T
         other = present.where(F.col("i").isNull() & F.col("d").isNull())
         parts.append(_leading(other, "first", ascending, 1))
         parts.append(_leading(other, "last", [c.desc() for c in ascending], 1))
-    texts = whole_texts(materialize(union_all(parts), "picks"), source, cleaned)
+    leading = materialize(union_all(parts), "picks")
+    edges = leading.groupBy(*COLUMN_KEY, "kind").agg(F.max_by(F.struct("n", "v", "digest"), "rank").alias("e")).select(
+        *COLUMN_KEY, "kind", F.when(F.col("kind") == "top", F.col("e.n")).alias("edge_n"), F.col("e.v").alias("edge_v"),
+    ).where(F.length("edge_v") == HEAD_CHARS)
+    edges = materialize(edges, "edges")
+    if edges.isEmpty():
+        texts = whole_texts(leading, source, cleaned)
+    else:
+        same = (F.col("v") == F.col("edge_v")) & (F.col("edge_n").isNull() | (F.col("n") == F.col("edge_n")))
+        settled = leading.join(edges, [*COLUMN_KEY, "kind"], "left").where(~F.coalesce(same, F.lit(False)))
+        settled = settled.drop("edge_n", "edge_v")
+        tied = _settle(present, edges, settled, same, source, cleaned)
+        number = {"i": F.lit(None).cast("bigint"), "d": F.lit(None).cast("double")}
+        columns = [*COLUMN_KEY, "type_class", "kind", "n", "text", "i", "d"]
+        texts = whole_texts(settled, source, cleaned).select(*columns).unionByName(tied.withColumns(number).select(*columns))
     order = type_order(F.col("text"))
     down = F.col("kind") == "last"
     by_text = Window.partitionBy(*COLUMN_KEY, "kind").orderBy(
@@ -153,9 +167,36 @@ def picked_values(counts: DataFrame, source, cleaned: bool, boundaries: bool = T
     )
 
 
+def _settle(present: DataFrame, edges: DataFrame, settled: DataFrame, same: Column, source, cleaned: bool) -> DataFrame:
+    """(column_id, type_class, kind, n, text): of the values that share the head at the cut, those that come first in whole.
+
+    There is one head for each column and kind. Whole texts are compared in the tasks that read them; each hands on as many as
+    may be needed.
+    """
+    tied = present.join(edges, COLUMN_KEY).where(same).select(*COLUMN_KEY, "type_class", "kind", "n", "v", "digest")
+    ids = {r["column_id"] for r in edges.select("column_id").distinct().collect()}
+    heads = edges.select(*COLUMN_KEY, "edge_v").distinct()
+    texts = tied.where(F.col("digest").isNull()).select(*COLUMN_KEY, "type_class", "kind", "n", F.col("v").alias("text"))
+    found = source.long_texts(cleaned, ids)
+    if found is not None:
+        long = found.join(heads, COLUMN_KEY).where(F.left("text", F.lit(HEAD_CHARS)) == F.col("edge_v")).drop("edge_v")
+        texts = texts.unionByName(
+            long.join(tied.where(F.col("digest").isNotNull()), [*COLUMN_KEY, "digest"])
+            .select(*COLUMN_KEY, "type_class", "kind", "n", "text"))
+
+    def first(kinds: Column, order: Column, k: int) -> DataFrame:
+        rank = F.dense_rank().over(Window.partitionBy(*COLUMN_KEY, "kind").orderBy(order))
+        return texts.where(kinds).withColumn("_rank", rank).where(F.col("_rank") <= k).distinct()
+
+    is_last = F.col("kind") == "last"
+    chosen = first(~is_last, F.col("text").asc(), TOP_VALUES).unionByName(first(is_last, F.col("text").desc(), 1))
+    taken = settled.groupBy(*COLUMN_KEY, "kind").agg(F.count("*").alias("_taken"))
+    room = F.when(F.col("kind") == "top", TOP_VALUES).otherwise(1) - F.coalesce("_taken", F.lit(0))
+    return chosen.join(taken, [*COLUMN_KEY, "kind"], "left").where(F.col("_rank") <= room).drop("_rank", "_taken")
+
+
 def _leading(counts: DataFrame, kind: str, order: list[Column], k: int) -> DataFrame:
-    rank = F.rank().over(Window.partitionBy(*COLUMN_KEY).orderBy(*order))
-    return counts.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank").withColumn("kind", F.lit(kind))
+    return top_per_group(counts, COLUMN_KEY, order, k, rank="rank").withColumn("kind", F.lit(kind))
 
 
 def whole_texts(picks: DataFrame, source, cleaned: bool) -> DataFrame:

@@ -45,7 +45,8 @@ _META_DDL = (
     " dimensions bigint"
 )
 
-Progress = Callable[[str], None]
+# Told a step, how many of the tables are through it, and how many there are.
+Progress = Callable[[str, int, int], None]
 
 
 def build_lake(
@@ -58,16 +59,17 @@ def build_lake(
     so readers never see half a lake (S10).
     """
     spark = source.spark
-    report = progress or (lambda step: None)
+    report = progress or (lambda step, done, total: None)
     version = f"v-{uuid.uuid4().hex}"
 
     def publish(table: str, df: DataFrame) -> DataFrame:
         df.write.parquet(f"{path}/{version}/{table}")
         return spark.read.schema(df.schema).parquet(f"{path}/{version}/{table}")
 
-    report("profiling")
     start = time.perf_counter()
     p = Profile(source)
+    total = p.columns.select("table_name").distinct().count()
+    report("profiling", 0, total)
     p.column_profile = publish("column_profile", p.lazy_column_profile())
     n_tables = p.column_profile.select("table_name").distinct().count()
     if n_tables == 0:
@@ -75,9 +77,11 @@ def build_lake(
     p.table_profile = publish("table_profile", p.table_profile)
     publish("join_cols", p.join_columns)
     profiled = time.perf_counter()
-    report("embedding")
+    report("profiling", n_tables, total)
+    report("embedding", 0, n_tables)
     embedded = publish("table_embedding", encoder(p.texts))
     dimensions = embedded.select(F.size("vec")).head()[0]
+    report("embedding", n_tables, n_tables)
     done = time.perf_counter()
     empty = p.columns.join(p.table_profile, "table_name", "left_anti").select("table_name").distinct()
     meta = {

@@ -134,3 +134,22 @@ def test_soundex(spark):
     df = spark.createDataFrame([("Robert",), ("Rupert",), ("Tymczak",)], "v string")
     row = one(profile(TableSource({"t": df})), "v")
     assert row["freq_word_soundex_containment"] == ["R163", "R163", "T522"]
+
+
+def test_ties_of_long_values_are_settled_on_whole_texts(spark):
+    """Many values of one head, more frequent ones before them, and a value that is the head itself."""
+    head = "h" * 256
+    tails = [f"{i:05d}" for i in range(3000)]
+    values = [head + t for t in tails] + [head] + ["often"] * 3 + [head + "00042"] * 2 + ["a", "z" * 256, "z" * 256 + "y", "z" * 300]
+    df = spark.createDataFrame([(v,) for v in values], "v string").repartition(6)
+    row = profile(TableSource({"t": df})).column_profile.head()
+    counts = {}
+    for v in values:
+        counts[v] = counts.get(v, 0) + 1
+    top = sorted(counts, key=lambda v: (-counts[v], v))[:10]
+    assert row["freq_word_containment"] == top
+    assert (row["first_word"], row["last_word"]) == (min(counts), max(counts))
+    only_long = spark.createDataFrame([(head + t,) for t in tails], "v string")
+    row = profile(TableSource({"t": only_long})).column_profile.head()
+    assert row["freq_word_containment"] == [head + t for t in tails[:10]]
+    assert (row["first_word"], row["last_word"]) == (head + tails[0], head + tails[-1])
