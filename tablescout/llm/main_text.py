@@ -31,9 +31,13 @@ _CHROME = frozenset("nav footer aside form menu dialog fieldset button".split())
 _CONTENT = frozenset(("article", "main"))
 # Class, id or role words of what surrounds an article.
 _CHROME_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|banner|promo\w*|cookies?|consent|notice|notification|alert|popup|modal|newsletter|subscribe|"
-    r"sidebar|side|nav|navbar|navigation|menu|breadcrumbs?|footer|masthead|comments?|replies|disqus|respond|share|sharing|social|"
-    r"related|recommended|login|search|pagination|pager|toolbar|skip|complementary|contentinfo)(?:$|[\s_-])", re.I)
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|banner|promo\w*|cookies?|consent|gdpr|notices?|notifications?|alerts?|popup|modal|overlay|newsletter|"
+    r"subscribe|subscription|sidebar|side|aside|nav\w*|menus?|breadcrumbs?|footer|masthead|comments?|commentlist|replies|reply|disqus|respond|"
+    r"share|sharing|social|related|recommended|login|signup|search|pagination|pager|toolbar|skip|complementary|contentinfo|widget)(?:$|[\s_-])", re.I)
+# The same of what holds the page's own heading: around an article, but not within one.
+_HEAD_NAME = re.compile(r"(?:^|[\s_-])(?:header|topbar|branding|logo)(?:$|[\s_-])", re.I)
+# Of what holds the article where no element says so.
+_CONTENT_NAME = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main)(?:$|[\s_-])", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?(?:false|until))|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _TOKEN = re.compile(
@@ -128,8 +132,8 @@ def blocks_of(page: str) -> list[Block]:
     found: list[Block] = []
     text: list[str] = []
     linked: list[str] = []
-    # Open nesting elements: name, whether it is around the article, whether it is the article.
-    stack: list[tuple[str, bool, bool]] = []
+    # Open nesting elements: name, whether it is around the article, whether it is content, whether it is in an article element.
+    stack: list[tuple[str, bool, bool, bool]] = []
     chrome = content = heading = in_link = False
 
     def close_block() -> None:
@@ -181,20 +185,21 @@ def blocks_of(page: str) -> list[Block]:
                 stack.pop()
             if name == "li" and stack and stack[-1][0] == "li":
                 stack.pop()
-            inside_content = stack[-1][2] if stack else False
-            around = stack[-1][1] if stack else False
+            around, inside, in_article = stack[-1][1:] if stack else (False, False, False)
             if name in _CONTENT:
-                around, inside_content = around and inside_content, True
-            elif name in _CHROME or name == "header" and not inside_content:
+                around, inside, in_article = around and inside, True, True
+            elif name in _CHROME or name == "header" and not in_article:
                 around = True
             if attributes and name not in _CONTENT:
                 names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes))
-                if names and _CHROME_NAME.search(names) or _HIDDEN.search(attributes):
+                if _CHROME_NAME.search(names) or _HEAD_NAME.search(names) and not in_article or _HIDDEN.search(attributes):
                     if text:
                         close_block()
                     around = True
-            stack.append((name, around, inside_content))
-        chrome, content = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                elif _CONTENT_NAME.search(names):
+                    inside = True
+            stack.append((name, around, inside, in_article))
+        chrome, content = stack[-1][1:3] if stack else (False, False)
     if at < len(page):
         add(page[at:] if "<" not in page[at:] else re.sub(r"<[a-zA-Z/!][^>]*\Z", "", page[at:]))
     close_block()

@@ -239,6 +239,9 @@ PAGES = {
     "<div class='comments'><p>Nice text, thank you for it!</p></div><p>&lt;b&gt; 3 &#60; 4 &eacute;</p></article><div class=ad>Buy</div>":
         "T\nOne two three four\n<b> 3 < 4 é",
     "<article><p>unclosed<p>next<form><label>Mail</label><input><button>Send</button></form></article><section id='comments'><p>first!</p></section>": "unclosed\nnext",
+    "<div id=content><header>My site</header><div class=topbar><a href=1>x</a></div><div class='post'><h2>Title</h2><p>Short.</p><p class='notice'>Attention</p></div>"
+    "<ul class=comment-list><li>so true</ul><div class=site-footer>Imprint</div></div>": "Title\nShort.",
+    "<div class='page-header'>Brand</div><article><div class='entry-header'><h1>T</h1></div><p>Body text.</p></article>": "T\nBody text.",
     "<div id=cookie-notice>We use cookies</div><article><p>Body</p><ul><li>a</li><li>b</li></ul></article>": "Body\na\nb",
 }
 
