@@ -15,11 +15,12 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescout.llm.arrow_text import map_texts, slices, utf8
+from tablescout.llm.arrow_text import bound_batches, map_texts, slices, utf8
 from tablescout.llm.bitmap import bitmap_of, holds, place, places_of
 from tablescout.llm.words import mix, runs, words
 from tablescout.workspace import materialize
@@ -87,6 +88,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     keyed = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     own = keyed.filter("id is not null")
     spark = docs.sparkSession
+    bound_batches(spark)
     bitmap = spark.sparkContext.broadcast(_repeated_prefixes(own, length))
 
     def rows(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -99,9 +101,13 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
                  pa.array(start[hit].astype(np.int32))], names=_SUFFIXES.names)
 
     suffixes = map_texts(own, "text", rows, _SUFFIXES)
-    first = suffixes.groupBy("node").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
+    # Kept apart from the join: with a shuffle of its own on either side, Spark splits the rows of a hot node.
+    first = (
+        suffixes.groupBy("node").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
+        .select("node", "first").persist(StorageLevel.DISK_ONLY)
+    )
     removed = (
-        suffixes.join(first.select("node", "first"), "node").filter(F.col("id") > F.col("first"))
+        suffixes.join(first, "node").filter(F.col("id") > F.col("first"))
         .groupBy("id", "text_hash").agg(F.collect_list("start").alias("starts"))
     )
     digest = F.md5(F.col("text").cast("binary"))
