@@ -7,11 +7,21 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 # Bytes of text that a task works on at once. One text that is longer makes a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
+
+# Bytes of an Arrow batch between Spark and Python, where the session has Spark's own default of 64 MB.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep batches small: a batch of long texts is otherwise held several times over by each task."""
+    if spark.conf.get(_BATCH_CONF).rstrip("bB") == str(_BATCH_DEFAULT):
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -47,6 +57,7 @@ def append_columns(
 
     A column of the input that has the name of a new one is replaced; all others stay as they are.
     """
+    bound_batches(df.sparkSession)
     kept = df.drop(*fields.names)
     schema = T.StructType([*kept.schema.fields, *fields.fields])
     names = schema.names
@@ -64,6 +75,7 @@ def map_texts(
     df: DataFrame, text_column: str, rows: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: T.StructType
 ) -> DataFrame:
     """The rows that `rows` makes of each slice of the input."""
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps."""
+"""Connected components of edge tables. Every step is written to the shared folder, which cuts its lineage and its plan."""
 
 from __future__ import annotations
 
@@ -8,19 +8,32 @@ from pyspark.sql import functions as F
 from tablescout.workspace import materialize
 
 
+def roots(parents: DataFrame) -> DataFrame:
+    """(node, component) for a table (a, b) with one row for each a, b < a: where following b from a ends.
+
+    Pointers are doubled, so the number of steps is the logarithm of the longest path.
+    """
+    now = parents.select("a", "b")
+    while True:
+        onward = now.select(F.col("a").alias("b"), F.col("b").alias("next"))
+        now = materialize(now.drop("moved").join(onward, "b", "left").select(
+            "a", F.coalesce("next", "b").alias("b"), F.col("next").isNotNull().alias("moved")), "roots")
+        if now.where("moved").isEmpty():
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of `edges` (a, b); the component is its smallest node.
+    """(node, component) for every node of `edges` (a, b); the component is its smallest node. Rows with a = b say nothing.
 
-    Each step is a group and a join on nodes, so a node with very many edges is split like any skewed key. Steps are
-    written to the shared folder; their number grows with the logarithm of the longest path. No edges give no rows.
+    Alternating large-star and small-star steps, each a group and a join on nodes, so a node with very many edges is split like
+    any skewed key. Their number grows with the logarithm of the longest path. No edges give no rows.
     """
-    def checked(df: DataFrame) -> tuple[DataFrame, tuple]:
-        written = materialize(df, "edges")
-        r = written.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        return written, tuple(r)
+    def state(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     # A row (a, b) has a > b.
-    now, seen = checked(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
+    now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "edges")
+    seen = state(now)
     while seen[0]:
         # Large star: larger neighbours of a node go to the least of its neighbours and itself.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -33,8 +46,18 @@ def components(edges: DataFrame) -> DataFrame:
             .unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         )
         before = seen
-        now, seen = checked(small)
+        now = materialize(small, "edges")
+        seen = state(now)
         if seen == before:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-        now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+        now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def relabelled(df: DataFrame, column: str, labels: list[DataFrame]) -> DataFrame:
+    """`df` with a column of nodes replaced by their components, by one table (node, component) after the other."""
+    for table in labels:
+        found = table.select(F.col("node").alias("__node"), F.col("component").alias("__component"))
+        df = df.join(found, F.col(column) == F.col("__node"), "left").withColumn(
+            column, F.coalesce("__component", column)).drop("__node", "__component")
+    return df

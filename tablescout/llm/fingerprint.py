@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescout.llm.arrow_text import SLICE_BYTES, append_columns, utf8
+from tablescout.llm.arrow_text import SLICE_BYTES, append_columns, bound_batches, utf8
 
 BUCKETS = 128
 # The bytes of a triplet, counted from the window's first.
@@ -155,6 +155,7 @@ def compare_with_next(docs: DataFrame, id_column: str = "doc_id", text_column: s
     Texts are shuffled once, by ranges of ids. Only the bounds of ranges and the key of each one's first row are collected.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(
         F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"),

@@ -8,8 +8,8 @@ Texts are sets of hashed five-word shingles; two link at a Jaccard similarity of
    tokens of both have one in common. The matrix holds (token, group) for the unions of the groups' first tokens.
 3. Bound. For a class and a foreign group, the tokens it shares with the group's union bound its overlap with every
    member; sizes say how many a link needs. Only groups that reach the bound are opened, member by member under the same bound.
-4. Opened pairs are decided exactly. The best member of each opened group comes first; the others only count where
-   that one does not settle that the class and the group are connected.
+4. Opened pairs are decided exactly. The member of each opened group that shares most of the class's rarest tokens comes first; the others are
+   only counted and compared where that one does not settle that the class and the group are connected.
 
 Copies and near copies are thus compared with their group's leader, not with each other, and every link between
 groups is found: the result is the same as that of comparing all pairs.
@@ -21,25 +21,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescout.llm.arrow_text import map_texts, slices, utf8
+from tablescout.llm.arrow_text import bound_batches, map_texts, slices, utf8
 from tablescout.llm.bitmap import bitmap_of, holds, place, places_of
-from tablescout.llm.components import components
+from tablescout.llm.components import components, relabelled, roots
 from tablescout.llm.words import distinct, mix, shingles, words
 from tablescout.workspace import materialize
 
 MINHASHES = 6
 LEAST_SHARED = 2
+# Tokens by which the nearest member of an opened group is chosen.
+NEAR_TOKENS = 2
 # Tokens counted together in a task, how often one must occur there to be told, and how many told tokens travel to the tasks at most.
-COUNTED_AT_ONCE = 4_000_000
+COUNTED_AT_ONCE = 2_000_000
 FREQUENT = 3
 MOST_FREQUENT = 1 << 20
 _SALTS = mix(np.arange(1, MINHASHES + 3, dtype=np.uint64))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """What is read more than once stays on the executors' disks. It keeps its lineage, so what a lost executor held is made again."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def _sets(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """The rising distinct shingles of each text, and bounds."""
     return distinct(*shingles(words(*utf8(part.column("text")), lower=True)))
@@ -95,9 +103,10 @@ class TokenOrder:
 
         The most frequent levels are kept that have MOST_FREQUENT tokens at most in total.
         """
-        counted = materialize(
+        bound_batches(texts.sparkSession)
+        counted = _kept(
             texts.select("text").mapInArrow(_count_frequent, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-            .withColumn("level", F.floor(F.log2("n")).cast("int")), "frequent")
+            .withColumn("level", F.floor(F.log2("n")).cast("int")))
         sizes = {r["level"]: r["n"] for r in counted.groupBy("level").agg(F.count("*").alias("n")).collect()}
         least, total = 64, 0
         for level in sorted(sizes, reverse=True):
@@ -160,7 +169,7 @@ def _describe(texts: DataFrame, order: TokenOrder, percent: int) -> DataFrame:
 
 def _verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets link. Sets are made only of texts that stand in a pair."""
-    pairs = materialize(pairs, "pairs")
+    pairs = _kept(pairs)
     if pairs.isEmpty():
         return pairs
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
@@ -174,14 +183,15 @@ def _verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), _lists([tokens[a:b] for a, b in zip(bounds[:-1], bounds[1:])])], names=_TOKENS.names)
 
-    sets = materialize(map_texts(texts.select("id", place(F.xxhash64("id")).alias("p"), "text"), "text", rows, _TOKENS), "sets")
+    sets = _kept(map_texts(texts.select("id", place(F.xxhash64("id")).alias("p"), "text"), "text", rows, _TOKENS))
     left, right = (sets.select(F.col("id").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
     shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
     union = F.size("tokens_a") + F.size("tokens_b") - F.col("shared")
-    return (
+    linked = materialize(
         pairs.join(left, "a").join(right, "b").withColumn("shared", shared)
-        .filter(F.col("shared") * 100 >= F.lit(percent) * union).select("a", "b").distinct()
-    )
+        .filter(F.col("shared") * 100 >= F.lit(percent) * union).select("a", "b").distinct(), "links")
+    sets.unpersist()
+    return linked
 
 
 def _leaders(classes: DataFrame) -> DataFrame:
@@ -205,8 +215,9 @@ def _least_shared(q: Column, s: Column, percent: int) -> Column:
     return overlap - F.greatest(up(q * percent, 100), up(s * percent, 100)) + 1
 
 
-def _opened(members: DataFrame, heads: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b, group, n): classes a and members b of groups foreign to them that may link; n first tokens are shared."""
+def _opened(members: DataFrame, heads: DataFrame, groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The first tokens that several groups have (token, id, n, group), and (id, other, enough): the groups to open for a class. Of the
+    tokens it shares with a group, any `enough` have one of each member that may link."""
     repeated = members.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
     bitmap = members.sparkSession.sparkContext.broadcast(bitmap_of(repeated.select(place("token").alias("p")), "p"))
 
@@ -221,36 +232,53 @@ def _opened(members: DataFrame, heads: DataFrame, groups: DataFrame, percent: in
                 [batch.column("id").take(row), batch.column("n").take(row), pa.array(tokens[hit].view(np.int64))], names=["id", "n", "token"])
 
     postings = members.select("id", "n", "tokens").mapInArrow(rows, "id long, n long, token long").join(heads.select("id", "n"), ["id", "n"])
-    grouped = materialize(
-        postings.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component"),
-        "postings")
+    grouped = _kept(
+        postings.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component"))
     several = grouped.groupBy("token").agg(F.min("group").alias("g1"), F.max("group").alias("g2")).filter("g1 < g2").select("token")
     shared = materialize(grouped.join(several, "token"), "shared")
     matrix = shared.select("token", F.col("group").alias("other")).distinct()
-    sizes = (
-        heads.select("id", "n").join(groups.withColumnRenamed("node", "id"), "id", "left")
-        .groupBy(F.coalesce("component", "id").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    )
+    sizes = shared.groupBy(F.col("group").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
     q = F.col("n")
     low = F.greatest("low", F.ceil(q * percent / 100).cast("long"))
     high = F.least("high", F.floor(q * 100 / percent).cast("long"))
-    # The bound is lowest at an end of the range of sizes; one is taken off for what rounding may add between.
-    bound = F.greatest(F.lit(1), F.least(_least_shared(q, low, percent), _least_shared(q, high, percent)) - 1)
+    # The bound is lowest at an end of the range of sizes. It rises up to q; beyond q it falls but for rounding, which may add one.
+    ends = F.least(_least_shared(q, low, percent), _least_shared(q, high, percent) - F.when(high > q, 1).otherwise(0))
+    bound = F.greatest(F.lit(1), ends)
     bounded = (
         shared.join(matrix, "token").filter(F.col("group") != F.col("other"))
         .groupBy("id", "n", "other").agg(F.count("*").alias("overlap"))
         .join(sizes, "other").filter((low <= high) & (F.col("overlap") >= bound))
-        .select("id", "other")
+        .select("id", "other", (F.col("overlap") - bound + 1).alias("enough"))
     )
-    bounded = materialize(bounded, "bounded")
+    return shared, materialize(bounded, "bounded")
+
+
+def _member_pairs(shared: DataFrame, bounded: DataFrame, n_tokens: int | None = None) -> DataFrame:
+    """(a, n_a, b, n_b, other, n): classes a and members b of the groups opened for them that have n tokens in common.
+
+    Of the tokens that a shares with the group, those are looked at that fewest of its members have: as many as are enough for every
+    member that may link, or `n_tokens`.
+    """
     mine = shared.select(F.col("id").alias("a"), F.col("n").alias("n_a"), "token").join(
-        bounded.select(F.col("id").alias("a"), "other"), "a")
+        bounded.select(F.col("id").alias("a"), "other", "enough"), "a")
+    held = shared.groupBy("token", F.col("group").alias("other")).agg(F.count("*").alias("held"))
+    rarest = F.row_number().over(Window.partitionBy("a", "other").orderBy("held", "token"))
+    limit = F.col("enough") if n_tokens is None else F.lit(n_tokens)
+    mine = mine.join(held, ["token", "other"]).withColumn("r", rarest).filter(F.col("r") <= limit).drop("held", "r", "enough")
     theirs = shared.select(F.col("id").alias("b"), F.col("n").alias("n_b"), "token", F.col("group").alias("other"))
-    counted = mine.join(theirs, ["token", "other"]).groupBy("a", "n_a", "b", "n_b", "other").agg(F.count("*").alias("n"))
-    return counted.filter(
-        (F.col("n_a") * percent <= F.col("n_b") * 100) & (F.col("n_b") * percent <= F.col("n_a") * 100)
-        & (F.col("n") >= _least_shared(F.col("n_a"), F.col("n_b"), percent))
-    ).select("a", "b", F.col("other").alias("group"), "n")
+    return mine.join(theirs, ["token", "other"]).groupBy("a", "n_a", "b", "n_b", "other").agg(F.count("*").alias("n"))
+
+
+def _may_link(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """The pairs that sizes and all common first tokens leave open."""
+    tokens = _kept(shared.groupBy("id").agg(F.collect_set("token").alias("tokens")))
+    a, b = F.col("n_a"), F.col("n_b")
+    return (
+        pairs.filter((a * percent <= b * 100) & (b * percent <= a * 100))
+        .join(tokens.select(F.col("id").alias("a"), F.col("tokens").alias("tokens_a")), "a")
+        .join(tokens.select(F.col("id").alias("b"), F.col("tokens").alias("tokens_b")), "b")
+        .filter(F.size(F.array_intersect("tokens_a", "tokens_b")) >= _least_shared(a, b, percent)).select("a", "b")
+    )
 
 
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 75) -> DataFrame:
@@ -261,32 +289,40 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     has a null component. An empty table gives no rows.
     """
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    described = materialize(_describe(texts, TokenOrder.of(texts), percent), "described")
+    full = _describe(texts, TokenOrder.of(texts), percent)
+    # First tokens are as large as a seventh of the texts, so they are made again where they are needed.
+    described = _kept(full.drop("tokens"))
     members = described.filter("id is not null and n > 0")
     of_class = ["n", "s1", "s2"]
     first = members.groupBy(*of_class).agg(F.min("id").alias("class"))
-    firsts = materialize(first, "classes")
+    firsts = _kept(first)
     heads = firsts.select(F.col("class").alias("id"), *of_class)
     classes = members.select("id", *of_class, "minhashes").join(heads, ["id", *of_class]).distinct()
-    leading = materialize(_verified(texts, _leaders(classes), percent), "leading")
-    groups = materialize(components(leading), "groups")
-    opened = materialize(_opened(members, heads, groups, percent), "opened")
-    by_group = opened.groupBy("a", "group").agg(F.max(F.struct("n", "b")).alias("best"))
-    best = _verified(texts, by_group.select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct(), percent)
-    links = materialize(leading.unionByName(best), "links")
-    known = materialize(components(links), "known")
-    end = known.withColumnsRenamed({"node": "a", "component": "ca"}), known.withColumnsRenamed({"node": "b", "component": "cb"})
-    rest = (
-        opened.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        .join(end[0], "a", "left").join(end[1], "b", "left")
-        .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    )
-    links = links.unionByName(_verified(texts, rest, percent))
-    final = materialize(components(links), "components")
-    labelled = (
-        firsts.join(final.withColumnRenamed("node", "class"), "class", "left")
-        .select(*of_class, F.coalesce("component", "class").alias("component"))
-    )
+    leading = _verified(texts, _leaders(classes), percent)
+    groups = roots(leading)
+    tokens = full.filter("id is not null and n > 0").select("id", "n", "tokens")
+    shared, bounded = _opened(tokens, heads, groups, percent)
+    labels = [groups]
+
+    def merge(links: DataFrame) -> None:
+        """Components of the graph whose nodes are the components so far."""
+        between = relabelled(relabelled(links, "a", labels), "b", labels).filter("a <> b").distinct()
+        labels.append(components(between))
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        return _verified(texts, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), percent)
+
+    def unsettled() -> DataFrame:
+        """Opened groups that are not in one component with the class."""
+        ends = bounded.withColumns({"ca": F.col("id"), "cb": F.col("other")})
+        return relabelled(relabelled(ends, "ca", labels), "cb", labels).filter("ca <> cb").select("id", "other", "enough")
+
+    near = _member_pairs(shared, bounded, NEAR_TOKENS)
+    merge(links_of(near.groupBy("a", "other").agg(F.max(F.struct("n", "b")).alias("best")).select("a", "best.b")))
+    open_still = materialize(unsettled(), "open")
+    if not open_still.isEmpty():
+        merge(links_of(_may_link(_member_pairs(shared, open_still), shared, percent)))
+    labelled = relabelled(firsts.withColumnRenamed("class", "component"), "component", labels)
     rows = described.select("id", *of_class).join(labelled, of_class, "left")
     return rows.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
