@@ -40,11 +40,19 @@ _HEAD_NAME = re.compile(r"(?:^|[\s_-])(?:header|topbar|branding|logo)(?:$|[\s_-]
 _CONTENT_NAME = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main)(?:$|[\s_-])", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?(?:false|until))|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+# Without a closing tag, HTML reads the first group of elements to the end of the page.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(script|style|noscript|template|title|textarea|select|iframe|object|svg|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|title|textarea|iframe)(?![a-z0-9:-])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I | re.S)
 
+# Elements that go with what they hold up to their closing tag; without one, the tag alone goes.
+_DROPPED = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("svg", "select")}
+# HTML elements that end an svg, unless they stand in a part of it that holds HTML.
+_ENDS_SVG = re.compile(
+    r"<(/?)(foreignobject|desc|title)(?![a-z0-9:-])|<(?:b|big|blockquote|body|br|center|code|dd|div|dl|dt|em|embed|h[1-6]|head|hr|i|img|li|listing|menu|meta|nobr|"
+    r"ol|p|pre|ruby|s|small|span|strike|strong|sub|sup|table|tt|u|ul|var)(?![a-z0-9:-])", re.I)
+
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after",
             "in_chrome", "in_content", "page_has_content", "is_heading")
 
@@ -152,7 +160,24 @@ def blocks_of(page: str) -> list[Block]:
             linked.append(decoded + " ")
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    unclosed: set[str] = set()
+
+    def end_of(name: str, start: int) -> int:
+        """Where an element of _DROPPED that is open at `start` ends."""
+        end = None if name in unclosed else _DROPPED[name].search(page, start)
+        if end is None:
+            unclosed.add(name)
+            return start
+        if name == "svg":
+            depth = 0
+            for m in _ENDS_SVG.finditer(page, start, end.start()):
+                if m.group(2):
+                    depth += -1 if m.group(1) else 1
+                elif depth <= 0:
+                    return m.start()
+        return end.end()
+
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
@@ -161,6 +186,9 @@ def blocks_of(page: str) -> list[Block]:
             continue
         name = name.lower()
         closing = m.group(2) == "/"
+        if name in _DROPPED and not closing and not (name == "svg" and m.group(4).rstrip().endswith("/")):
+            at = end_of(name, at)
+            continue
         if name == "br":
             add(" ")
             continue

@@ -251,6 +251,25 @@ def test_main_text(page):
     assert extracted(page) == PAGES[page]
 
 
+RAW_ELEMENTS = {
+    "<article><p>One</p><svg class=\"i\"/><p>Two</p></article>": "One\nTwo",
+    "<article><p>One</p><svg class=i/><p>Two</p><svg><text>no</text></svg><p>Three</p></article>": "One\nTwo\nThree",
+    "<article><p>One <svg viewBox='0 0 1 1'><title>no</title><path d='M0'/></svg>two</p><svg><p>Three</p></article>": "One two\nThree",
+    "<article><p>One</p><svg><g><p>Two</p><p>a <svg><text>no</text></svg>b</p></article>": "One\nTwo\na b",
+    "<article><svg><foreignObject><div>no</div></foreignObject></svg><p>One</p></article>": "One",
+    "<article><p>One</p><object data=x><p>Two</p><p>Three</p></article>": "One\nTwo\nThree",
+    "<article><p>One <object data=x>fallback</object> and <math><mi>x</mi><mo>=</mo><mn>2</mn></math>.</p><math/><p>Two</p></article>": "One fallback and x=2.\nTwo",
+    "<article><p>One</p><select><option>no</option></select><p>Two</p><select><p>Three</p></article>": "One\nTwo\nThree",
+    "<article><p>One</p><script-box><p>Two</p></script-box><style>p{}</style><p>Three</p><script>var a = '<p>no</p>'": "One\nTwo\nThree",
+    "<article><p>One</p><template><p>no</p></template><p>Two</p><textarea>no<p>no": "One\nTwo",
+}
+
+
+@pytest.mark.parametrize("page", RAW_ELEMENTS)
+def test_main_text_around_raw_elements(page):
+    assert extracted(page) == RAW_ELEMENTS[page]
+
+
 def test_main_text_of_a_page_without_an_article_element():
     body = " ".join(["word"] * 60)
     page = f"<ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul><h2>Heading of it</h2><p>{body}</p><p>{body}</p><ul><li><a href=3>More</a></li></ul>"
