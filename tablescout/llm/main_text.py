@@ -39,6 +39,9 @@ _HEAD_NAME = re.compile(r"(?:^|[\s_-])(?:header|topbar|branding|logo)(?:$|[\s_-]
 # Of what holds the article where no element says so.
 _CONTENT_NAME = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main)(?:$|[\s_-])", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?(?:false|until))|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+# Within an article only whole class tokens and roles of these say that something is not part of it: its parts are named by their subjects.
+_CONTAINERS = frozenset("div section aside ul".split())
+_CLASS_OR_ROLE = re.compile(r"""(?<![\w-])(?:class|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 # Without a closing tag, HTML reads the first group of elements to the end of the page.
 _TOKEN = re.compile(
@@ -220,7 +223,12 @@ def blocks_of(page: str) -> list[Block]:
                 around = True
             if attributes and name not in _CONTENT:
                 names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes))
-                if _CHROME_NAME.search(names) or _HEAD_NAME.search(names) and not in_article or _HIDDEN.search(attributes):
+                if in_article:
+                    tokens = " ".join(a or b or c for a, b, c in _CLASS_OR_ROLE.findall(attributes)).split() if name in _CONTAINERS else []
+                    is_chrome = any(m and m.end() - m.start() == len(t) for t in tokens for m in [_CHROME_NAME.match(t)])
+                else:
+                    is_chrome = bool(_CHROME_NAME.search(names))
+                if is_chrome or _HEAD_NAME.search(names) and not in_article or _HIDDEN.search(attributes):
                     if text:
                         close_block()
                     around = True

@@ -265,6 +265,21 @@ RAW_ELEMENTS = {
 }
 
 
+ARTICLE_PARTS = {
+    "<article><p>One</p><section id=related-work><h2>Related work</h2><p>Two</p></section><p class=side-effects>Three</p></article>": "One\nRelated work\nTwo\nThree",
+    "<article><h2><span id=Search_algorithms>Search</span></h2><p>One</p><table><tr><td class=share>12 %</td></tr></table></article>": "Search\nOne\n12 %",
+    "<main><ul><li class=menu>Soup</li></ul><section class='related-work wide'><p>One</p></section><div id=search><p>Two</p></div></main>": "Soup\nOne\nTwo",
+    "<article><p>One</p><div class='box related'><p>no</p></div><aside class=note>no</aside><ul class=share><li>no</li></ul><section role=navigation>no</section>"
+    "<div role=complementary>no</div><p hidden>no</p><p>Two</p></article>": "One\nTwo",
+    "<div class=sidebar-left><p>no</p></div><p class=cookie-notice>no</p><article><p>One</p></article>": "One",
+}
+
+
+@pytest.mark.parametrize("page", ARTICLE_PARTS)
+def test_main_text_of_article_parts_named_by_their_subject(page):
+    assert extracted(page) == ARTICLE_PARTS[page]
+
+
 @pytest.mark.parametrize("page", RAW_ELEMENTS)
 def test_main_text_around_raw_elements(page):
     assert extracted(page) == RAW_ELEMENTS[page]
