@@ -1,10 +1,11 @@
 """Benchmark decontamination: windows of documents that are near copies of benchmark items.
 
-For each item of n words, every window of n words of every text is a possible copy. Similarity is the weighted Jaccard similarity of
+For each item of n words, every window of n words of every text is a possible copy; a text of fewer words is one as a whole. Similarity is the weighted Jaccard similarity of
 the five-word shingles (a shingle weighs as often as it occurs); a window is a leak from `threshold` up.
 
 1. A bitmap of fixed size holds the shingles of all items, alone and with the item's length. Window and item have equally many
    shingles, so a leak shares at least 2t / (1 + t) of them: windows with fewer hits in the bitmap can't be leaks.
+   For a whole text that is shorter it is t / (1 + t) of the shingles of both, and only items with at most 1 / t of its shingles come into question.
 2. Windows that are left get a 64-bit SimHash, as items do. Fingerprints are cut into RADIUS + 1 blocks; two within RADIUS agree on one block
    at least, so an equi-join on (length, block, value) finds all of them. At the threshold the expected distance is about 11 bits
    (standard deviation 3).
@@ -42,6 +43,11 @@ def _needed(length: int, threshold: float) -> int:
     return int(np.ceil(2 * threshold / (1 + threshold) * _n_shingles(length) - 1e-9))
 
 
+def _needed_of_whole(length: int, item_length: int, threshold: float) -> int:
+    """Least number of shingles that a leaked text of fewer words than its item shares with it."""
+    return int(np.ceil(threshold / (1 + threshold) * (_n_shingles(length) + _n_shingles(item_length)) - 1e-9))
+
+
 def _places(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - MAP_BITS)).astype(np.int64)
 
@@ -102,13 +108,30 @@ class _WindowFinder:
     """Windows that the bitmap can't rule out. It holds the bitmap (2^MAP_BITS bits) and the distinct lengths of items."""
 
     def __init__(self, bitmap: np.ndarray, lengths: list[int], threshold: float):
-        self.bitmap, self.lengths = bitmap, lengths
+        self.bitmap, self.lengths, self.threshold = bitmap, lengths, threshold
         self.needed = {n: _needed(n, threshold) for n in lengths}
 
     def _hits(self, hashes: np.ndarray) -> np.ndarray:
         at = _places(hashes)
         return (self.bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
+    def _whole_texts(self, w: Words, hashes: np.ndarray, hits: np.ndarray) -> Iterator[tuple]:
+        """Texts of fewer words than an item, each as one window for every length of items it could be a leak of."""
+        counts = w.counts
+        # The next longer item needs the fewest hits.
+        least = self.threshold / (1 + self.threshold) * (2 * (counts - SHINGLE + 1) + 1) - 1e-9
+        for i in np.flatnonzero((counts >= SHINGLE) & (counts < self.lengths[-1]) & (hits >= least)).tolist():
+            a, m = int(w.bounds[i]), int(counts[i])
+            row = hashes[a : a + _n_shingles(m)]
+            for n in self.lengths:
+                if n <= m or _n_shingles(m) < self.threshold * _n_shingles(n) - 1e-9:
+                    continue
+                needed = _needed_of_whole(m, n, self.threshold)
+                if hits[i] >= needed and self._hits(_with_length(row, n)).sum() >= needed:
+                    simhash, tokens = _describe(row[None, :])
+                    content = mix(tokens.sum(axis=1, dtype=np.uint64) + np.uint64(n) + (np.uint64(m) << np.uint64(32)))
+                    yield i, n, 0, int(content.view(np.int64)[0]), int(simhash.view(np.int64)[0]), tokens[0].view(np.int64)
+
     def rows(self, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         w = words(*utf8(part.column("text")), lower=True)
         found: list[tuple] = []
@@ -118,6 +141,8 @@ class _WindowFinder:
             hashes, whole = runs(w, size)
             hit = self._hits(hashes) & whole
             hits = np.bincount(of_text[: len(hit)][hit], minlength=len(part))
+            if size == SHINGLE:
+                found += self._whole_texts(w, hashes, hits)
             for i in np.flatnonzero(hits >= min(self.needed[n] for n in lengths)).tolist():
                 a, b = int(w.bounds[i]), int(w.bounds[i + 1])
                 local = hashes[a : b - size + 1]
@@ -177,7 +202,7 @@ def find_leaks(
     """One row for each leaked (text, item): `id`, `text_hash` (xxhash64 of the text), `item_id`, `similarity`, the best of its windows.
 
     Words are lower-cased (A-Z) and split at white space. Items without words match nothing; an item of fewer than five words
-    has its whole sequence as its one shingle. Null texts are empty. Items of equal text are all reported; equal rows
+    has its whole sequence as its one shingle. A text of fewer words than an item is compared as a whole. Null texts are empty. Items of equal text are all reported; equal rows
     of documents have one result between them. Empty tables give no rows.
     """
     spark = docs.sparkSession
@@ -203,7 +228,7 @@ def find_leaks(
     verified = (
         candidates.join(contents.select("length", "content", "tokens"), ["length", "content"])
         .join(items.select("item_id", "length", "item_tokens"), ["item_id", "length"])
-        .withColumn("similarity", shared / (2 * F.size("tokens") - shared))
+        .withColumn("similarity", shared / (F.size("tokens") + F.size("item_tokens") - shared))
         .filter(F.col("similarity") >= threshold)
         .groupBy("length", "content", "item_id").agg(F.max("similarity").alias("similarity"))
     )

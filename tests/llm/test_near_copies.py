@@ -187,6 +187,43 @@ def test_leaks_against_all_windows(spark):
     assert all(got[k] == pytest.approx(s) for k, s in expected.items())
 
 
+def whole_similarity(text, item):
+    """Of a text of fewer words than the item, as a whole, over the shingles of both."""
+    w, x = words_of(text, lower=True), words_of(item, lower=True)
+    a, b = (Counter(tuple(v[i : i + 5]) for i in range(len(v) - 4)) for v in (w, x))
+    return sum((a & b).values()) / max(1, sum((a | b).values()))
+
+
+def test_leaks_shorter_than_their_item(spark):
+    r = random.Random(12)
+    items = [(i, prose(f"short{i}", n, 3000)) for i, n in enumerate([3, 5, 6, 12, 20, 38, 38, 45, 60, 90])]
+    items += [(20, " ".join(["la"] * 40)), (21, items[5][1] + " and five more words here")]
+    rows = [(0, " ".join(items[5][1].split()[:31])), (1, " ".join(items[5][1].split()[:28])), (2, "la " * 33), (3, "la " * 20), (4, "w"), (5, "")]
+    for i in range(120):
+        w = items[r.randrange(10)][1].split()
+        if i % 3 == 0:
+            w = w[: max(1, len(w) - r.randrange(1, 12))]
+        elif i % 3 == 1:
+            w = w[r.randrange(1, 8) :]
+        else:
+            del w[r.randrange(len(w))]
+        rows.append((10 + i, " ".join(w).upper()))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = table(spark, rows)
+    leaks = K.find_leaks(docs, benchmark)
+    got = {(x["id"], x["item_id"]): x["similarity"] for x in leaks.collect()}
+    expected = {}
+    for i, t in rows:
+        for j, item in items:
+            s = (whole_similarity if len(words_of(t)) < len(words_of(item)) else window_similarity)(t, item)
+            if s >= 0.75:
+                expected[i, j] = s
+    assert got.keys() == expected.keys() and len(expected) > 40
+    assert all(got[k] == pytest.approx(s) for k, s in expected.items())
+    assert got[0, 5] == pytest.approx(27 / 34) and (1, 5) not in got and (2, 20) in got and (3, 20) not in got
+    assert {x["doc_id"] for x in K.drop_leaked(docs, leaks).collect()} == {i for i, _ in rows} - {i for i, _ in expected}
+
+
 def test_leaks_in_documents(spark):
     out = QUERIES["op9_benchmark_decontamination"](spark, SF).toPandas()
     docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas().set_index("doc_id").text
