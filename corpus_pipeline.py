@@ -16,7 +16,7 @@ from tablescout.workspace import shared_dir
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language can be told: those without text or without any letter go."""
+    """Keep documents with a letter. Only the letter check rejects rows; the network's predictions and scores decide about none."""
     model = fit_language_model(docs.filter(remainder("doc_id", 4) != 2))
     told = identify_languages(docs, model)
     return told.filter(f"lang_pred <> '{UNDETERMINED}'").select(*docs.columns)
@@ -50,7 +50,7 @@ STAGES = [
     ("SentencePiece encoding and decoding", sentencepiece),
 ]
 
-# A trained network decides in the first stage; SQL can't state it.
+# No SQL states it: the first stage only drops texts without a letter, but the later ones compare, mask and encode texts beyond what SQL can.
 ORACLE_SQL = None
 
 
