@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescout.functions.text import clean_value, normalise_value, text_sql, with_word_stats
+from tablescout.functions.text import TYPE_TESTS, clean_value, normalise_value, text_sql, with_word_stats
 
 HEAD_CHARS = 256
 
@@ -43,6 +43,8 @@ def compact(rows: DataFrame) -> DataFrame:
         F.md5(normalise_value(F.col("v"))).alias("s_md5"),
         F.length("v").alias("chars"),
         *WORD_STATS,
+        # Which types the whole value fits, in the order of TYPE_TESTS.
+        F.array(*[F.expr(test) for test in TYPE_TESTS.values()]).alias("fits"),
     )
     return cleaned.withColumn("long", F.when(is_long, facts)).withColumn("v", head(F.col("v"))).drop("p", *WORD_STATS)
 
@@ -51,7 +53,7 @@ WORD_STATS = ("w_max", "w_min", "w_avg", "words")
 
 _LONG = (
     "struct<digest:string,p_head:string,p_digest:string,s_md5:string,chars:int,"
-    "w_max:int,w_min:int,w_avg:double,words:int>"
+    "w_max:int,w_min:int,w_avg:double,words:int,fits:array<boolean>>"
 )
 
 # How the values of a column are counted, by what they are stored as.

@@ -652,9 +652,12 @@ def preprocessed_profiles(spark, sf_dir):
        " else data_type end as data_type from cols")
 def inferred_types(spark, sf_dir):
     """S2b on the text of every value of the lake."""
-    prof = lake_profile(spark, sf_dir)
+    return _inferred(lake_profile(spark, sf_dir))
+
+
+def _inferred(prof: Profile) -> DataFrame:
     cells = prof.columns.select("column_id", "table_name", "column_pos").join(prof.raw_counts, "column_id")
-    types = infer_types(cells.select("table_name", "column_pos", "v"))
+    types = infer_types(cells.select("table_name", "column_pos", "v", F.col("long.fits").alias("fits")))
     return prof.columns.drop("data_type").join(types, ["table_name", "column_pos"]).select(
         "table_name", "column_name", "data_type"
     )

@@ -20,24 +20,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescout.functions.text import clean_column_names, text_sql, type_class
+from tablescout.functions.text import TYPE_TESTS, clean_column_names, text_sql, type_class
 from tablescout.sources.source import COLUMN_SCHEMA, CellSource, column_id
 from tablescout.workspace import materialize, small_frame
 
-# The types of a column, tried in this order, and when a text can be read as each. A column needs all values to
-# fit. A double keeps up to 17 digits, so that different texts do not become one value.
-TYPE_TESTS = {
-    "boolean": "v rlike '^(?i:true|false)$'",
-    "time": "v rlike '^([01]?[0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]([.][0-9]+)?$'",
-    "date": "v rlike '^[0-9]{4}-[0-9]{2}-[0-9]{2}$' and try_cast(v as date) is not null",
-    "timestamp": "v rlike '^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]{1,6})?$'"
-                 " and try_cast(v as timestamp_ntz) is not null",
-    "bigint": "v rlike '^[+-]?[0-9]{1,19}$' and try_cast(v as bigint) is not null",
-    "decimal(38,0)": "v rlike '^[+-]?[0-9]{1,38}$'",
-    "double": "v rlike '^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$'"
-              " and length(regexp_replace(regexp_replace(v, '[eE].*$', ''), '^[+-]?0*[.]?0*|[.]', '')) <= 17",
-}
-
 # The types of a wide table; a time of day stays text there, Spark having no settled type for it.
 _SPARK_TYPES = {"timestamp": "timestamp_ntz", "time": "string"}
 
@@ -335,8 +321,14 @@ def _table_of(path: str) -> str:
 
 
 def infer_types(cells: DataFrame) -> DataFrame:
-    """(table_name, column_pos, data_type), the first type that all values of a column fit."""
-    fits = [F.count_if(F.expr(test)).alias(f"_{i}") for i, test in enumerate(TYPE_TESTS.values())]
+    """(table_name, column_pos, data_type), the first type that all values of a column fit.
+
+    Where `v` is only the head of a value, `fits` has the outcomes of the tests on the whole of it.
+    """
+    whole = "fits" in cells.columns
+    fits = [
+        F.count_if(F.coalesce(F.col("fits")[i], F.expr(test)) if whole else F.expr(test)).alias(f"_{i}")
+        for i, test in enumerate(TYPE_TESTS.values())]
     counted = cells.where(F.col("v").isNotNull()).groupBy("table_name", "column_pos").agg(F.count("*").alias("_all"), *fits)
     # Whole numbers also pass the test of doubles, so a mixed column becomes a double.
     kind = F.lit("string")

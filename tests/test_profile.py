@@ -153,3 +153,14 @@ def test_ties_of_long_values_are_settled_on_whole_texts(spark):
     row = profile(TableSource({"t": only_long})).column_profile.head()
     assert row["freq_word_containment"] == [head + t for t in tails[:10]]
     assert (row["first_word"], row["last_word"]) == (head + tails[0], head + tails[-1])
+
+
+def test_types_of_long_values_are_of_their_whole_text(spark):
+    from tablescout.plans.profiling import Profile
+    from tablescout.plans.registry import _inferred
+
+    zeros = "0" * 260
+    df = spark.createDataFrame(
+        [(zeros + "text", zeros + "7", "01:02:03." + zeros, "1"), ("1", "2.5", "01:02:03", zeros + "x")], "a string, b string, c string, d string")
+    types = {r["column_name"]: r["data_type"] for r in _inferred(Profile(TableSource({"t": df}))).collect()}
+    assert types == {"a": "string", "b": "double", "c": "time", "d": "string"}
