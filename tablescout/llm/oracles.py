@@ -118,3 +118,100 @@ with recursive orders as (
 select doc_id, cast(slot as integer) as slot, ([{names}])[o + 1] as shard
 from documents join final on slot = {number("coalesce(cast(doc_id as varchar), '')")} % {size}
 """
+
+
+# One level after the other, for all languages at once and then for their subroots; each leaf's way is followed step by step.
+_STEP = "case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end"
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(doc_id as varchar), ''), lambda c: ascii(c)::bigint)), "
+    f"lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda a, z: {_STEP})), 4294967295)")
+
+
+def _leaf(text: str) -> str:
+    def part(value: str) -> str:
+        return f"coalesce(cast(strlen(cast({value} as varchar)) as varchar) || ':' || cast({value} as varchar), '-')"
+
+    return "sha256(" + " || ".join(part(v) for v in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+MERKLE = f"""
+with recursive leaves as (
+  select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by lang) as n from (
+    select doc_id, lang, {_leaf('text')} as leaf,
+      case when {_CRC} % 3 = 0 then {_leaf(f"translate(text, '{_UPPER}', '{_LOWER}')")} end as other from documents)
+), trees as (
+  select lang, n, row_number() over (order by lang nulls first) - 1 as tree from (select distinct lang, n from leaves)
+), nodes as (
+  select t.tree, 0 as level, l.pos, l.leaf as hash, l.n from leaves l join trees t on t.lang is not distinct from l.lang
+  union all
+  select tree, level + 1, pos // 8, sha256(string_agg(hash, '' order by pos)), (any_value(n) + 7) // 8
+  from nodes where n > 1 group by tree, level, pos // 8
+), subroots as (
+  select tree, level, hash from nodes where n = 1
+), tops as (
+  select 0 as level, tree as pos, hash, (select count(*) from subroots) as n from subroots
+  union all
+  select level + 1, pos // 8, sha256(string_agg(hash, '' order by pos)), (any_value(n) + 7) // 8 from tops where n > 1 group by level, pos // 8
+), root as (
+  select hash as root from tops where n = 1
+), every as (
+  select tree, level, pos, hash from nodes union all select -1, level, pos, hash from tops
+), runs as (
+  select tree, level, pos // 8 as run, list(hash order by pos) as hashes from every group by tree, level, pos // 8
+), fold as (
+  select l.doc_id, l.leaf, l.pos as first_pos, t.tree as own, t.tree, 0 as level, l.pos, coalesce(l.other, l.leaf) as hash, '' as proof, 0 as done
+  from leaves l join trees t on t.lang is not distinct from l.lang
+  union all
+  select f.doc_id, f.leaf, f.first_pos, f.own,
+    case when f.tree >= 0 and s.level = f.level then -1 else f.tree end,
+    case when f.tree >= 0 and s.level = f.level then 0 else f.level + 1 end,
+    case when f.tree >= 0 and s.level = f.level then f.tree else f.pos // 8 end,
+    case when s.level is not distinct from f.level then f.hash else
+      sha256(array_to_string(list_concat(list_concat(r.hashes[1:f.pos % 8], [f.hash]), r.hashes[f.pos % 8 + 2:]), '')) end,
+    case when s.level is not distinct from f.level then f.proof else
+      f.proof || array_to_string(list_concat(r.hashes[1:f.pos % 8], r.hashes[f.pos % 8 + 2:]), '') end,
+    case when f.tree = -1 and f.level + 1 >= (select max(level) from tops) then 1 else 0 end
+  from fold f left join subroots s on s.tree = f.tree join runs r on r.tree = f.tree and r.level = f.level and r.run = f.pos // 8
+  where f.done = 0 and not (f.tree = -1 and f.level = (select max(level) from tops))
+), ends as (
+  select * from fold where tree = -1 and level = (select max(level) from tops)
+)
+select e.doc_id, e.leaf, s.hash as subroot, root.root, sha256(e.proof) as proof_sha256, e.hash as folded_root, e.hash = root.root as verified
+from ends e join subroots s on s.tree = e.own, root
+"""
+
+# Every group with every kept term of its language, and all pairs of them.
+DIVERGENCE = f"""
+with d as (
+  select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as row, coalesce(text, '') as text from documents
+), occ as (
+  select lang, source, row,
+    unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d
+), kept as (
+  select lang, term, count(*) as n from occ group by lang, term having count(distinct row) >= 30
+), langs as (
+  select lang, count(*) as v, sum(n) as total from kept group by lang
+), groups as (
+  select distinct lang, source from d
+), counts as (
+  select g.lang, g.source, k.term, k.n as lang_n, coalesce(c.n, 0) as n, sum(coalesce(c.n, 0)) over (partition by g.lang, g.source) as total
+  from groups g join kept k on k.lang = g.lang
+  left join (select lang, source, term, count(*) as n from occ group by all) c on c.lang = g.lang and c.source = g.source and c.term = k.term
+), shares as (
+  select c.lang, c.source, c.term, c.n, 1 + 1000000000::hugeint * (c.n + 5) // (c.total + 5 * l.v) as p,
+    1 + 1000000000::hugeint * (c.lang_n + 5) // (l.total + 5 * l.v) as q
+  from counts c join langs l on l.lang = c.lang
+), pairs as (
+  select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value
+  from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+), ranked as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(p.value, 0) as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join pairs p on p.lang = a.lang and p.source = a.source and p.item = b.source
+  union all
+  select lang, source, 'term', term, p - q from shares where n > 0 and p > q
+)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank
+from (select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) as rank from ranked)
+where part = 'pair' or rank <= 50
+"""

@@ -6,16 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescout.llm import oracles
+from tablescout.llm.divergence import source_divergence
 from tablescout.llm.fingerprint import compare_with_next
 from tablescout.llm.jaccard import jaccard_components
 from tablescout.llm.language import fit_language_model, identify_languages, remainder
 from tablescout.llm.leaks import find_leaks, mark_leaks
 from tablescout.llm.main_text import extract_main_text
+from tablescout.llm.merkle import merkle_manifest, proof_digest
 from tablescout.llm.pieces import PieceVocabulary, encode_and_check
 from tablescout.llm.quality import fit_quality_model, score_quality
 from tablescout.llm.repeats import remove_repeats
 from tablescout.llm.secrets import find_secrets, report
 from tablescout.llm.sharding import assign_shards
+from tablescout.llm.toxicity import fit_toxicity_model, score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +84,26 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = merkle_manifest(docs, tampered=remainder("doc_id", 3) == 0)
+    return out.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").filter(remainder("doc_id", 5) != 0)
+    out = score_toxicity(docs.select("doc_id", "text"), fit_toxicity_model(docs, labels))
+    return out.select(
+        "doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+        F.col("toxicity_score").alias("score"), F.col("toxicity_label").alias("predicted"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_quality_classifier": op2_quality_classifier,
@@ -92,6 +115,9 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_html_extraction": op10_html_extraction,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_toxicity": op12_toxicity,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES = {
@@ -99,4 +125,6 @@ ORACLES = {
     "op4_sharding": oracles.sharding(SHARDS),
     "op6_secret_scans": oracles.SECRETS,
     "op7_substring_dedup": oracles.REPEATS,
+    "op11_merkle_manifest": oracles.MERKLE,
+    "op13_source_divergence": oracles.DIVERGENCE,
 }
