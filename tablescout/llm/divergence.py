@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -212,19 +213,25 @@ def _share(count: Column, total: Column, terms: Column) -> Column:
 
 
 def _block_distances(rows: pa.Table) -> pa.Table:
-    """Sums of |p - q| over one block's terms, for each pair of a source of tile `i` and one of tile `j`, the smaller name first.
+    """Sums of |p - q| over one block's terms, for each pair of a source of tile `i` and one of tile `j` (of one tile: in the order of their names).
 
-    A row without a term gives a source's share of the terms it does not have.
+    A row without a term gives a source's share of the terms it does not have, and `size`, the number of the block's terms.
     """
     header = rows.column("term").is_null().to_numpy()
     source = rows.column("source").combine_chunks().dictionary_encode()
-    names, code = source.dictionary, source.indices.to_numpy()
+    # In the order of the names, so that every block puts the two sources of a pair the same way round.
+    order = pc.sort_indices(source.dictionary)
+    names, code = source.dictionary.take(order), np.argsort(order.to_numpy())[source.indices.to_numpy()]
     share, tile = rows.column("p").to_numpy(), rows.column("tile").to_numpy()
     term = rows.filter(pa.array(~header)).column("term").combine_chunks().dictionary_encode()
     matrix = np.zeros((len(names), max(len(term.dictionary), 1)), np.int64)
     matrix[code[header]] = share[header, None]
     if not len(term.dictionary):
         matrix[:] = 0
+    # Terms of the block that no source of these two tiles has.
+    unseen = max(pc.max(rows.column("size")).as_py() - len(term.dictionary), 0)
+    default = np.zeros(len(names), np.int64)
+    default[code[header]] = share[header]
     matrix[code[~header], term.indices.to_numpy()] = share[~header]
     tiles = np.zeros(len(names), np.int64)
     tiles[code] = tile
@@ -235,7 +242,7 @@ def _block_distances(rows: pa.Table) -> pa.Table:
         others = right[right > k] if i == j else right
         a.append(np.full(len(others), k))
         b.append(others)
-        value.append(np.abs(matrix[others] - matrix[k]).sum(axis=1))
+        value.append(np.abs(matrix[others] - matrix[k]).sum(axis=1) + unseen * np.abs(default[others] - default[k]))
     a, b, value = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b, value))
     return pa.table({
         "lang": pa.array([rows.column("lang")[0].as_py()] * len(a), pa.string()),
@@ -276,14 +283,17 @@ def source_divergence(docs: DataFrame, min_docs: int = 30, top_terms: int = 50)
 
     blocks = F.ceil(F.col("terms") / BLOCK_TERMS)
     absent = F.when(F.col("terms") > 0, _share(F.lit(0).cast("long"), F.col("total"), F.greatest("terms", F.lit(1)))).otherwise(0)
+    block = F.pmod(F.xxhash64("term"), blocks).alias("block")
+    sizes = kept.join(langs, "lang").select("lang", block).groupBy("lang", "block").agg(F.count("*").alias("size"))
     headers = groups.select(
         "lang", "source", F.lit(None).cast("string").alias("term"), "tiles", "tile", absent.alias("p"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(blocks, F.lit(1)) - 1)).alias("block"))
+        F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(blocks, F.lit(1)) - 1)).alias("block"),
+    ).join(sizes, ["lang", "block"], "left").withColumn("size", F.coalesce("size", F.lit(0)))
     cells = shares.select(
-        "lang", "source", "term", "tiles", "tile", "p", F.pmod(F.xxhash64("term"), blocks).alias("block")).unionByName(headers)
+        "lang", "source", "term", "tiles", "tile", "p", block, F.lit(0).cast("long").alias("size")).unionByName(headers)
     # A tile meets every tile once: as `i` those from its own number on, as `j` those below.
     cells = cells.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other")).select(
-        "lang", "source", "term", "tile", "p", "block", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
+        "lang", "source", "term", "tile", "p", "block", "size", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
     halves = cells.groupBy("lang", "block", "i", "j").applyInArrow(
         _block_distances, "lang string, a string, b string, value long").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     pairs = halves.select("lang", "value", F.explode(F.array(
