@@ -141,7 +141,8 @@ def merkle_manifest(docs: DataFrame, id_column: str = "doc_id", tampered: Column
     leaves = docs.select(
         F.col(id_column).alias("id"), F.col("lang"), leaf_hash(fields).alias("leaf"),
         F.when(changed, leaf_hash([*fields[:-1], lowered(F.col("text"))])).alias("other"))
-    leaves = placed(leaves, ["lang"], ["id", "leaf"], "leaves")
+    # Written first: sorting by range reads its input twice, and would hash all texts twice.
+    leaves = placed(materialize(leaves, "hashes"), ["lang"], ["id", "leaf"], "leaves")
     by_lang = materialize(leaves.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
     langs = materialize(placed(by_lang.withColumn("all", F.lit(TOP)), ["all"], ["lang"], "languages").select(
         F.col("lang").alias("of"), F.col("pos").alias("tree"), height(F.col("rows")).alias("height")), "trees")
