@@ -262,7 +262,8 @@ def source_divergence(docs: DataFrame, min_docs: int = 30, top_terms: int = 50)
     counts = materialize(term_counts(docs), "term-counts")
     kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs)
     kept = materialize(kept.drop("docs"), "kept-terms")
-    langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
+    # Written, so that Spark knows how small it is and need not deal the terms out by language to join it.
+    langs = materialize(kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total")), "languages")
     found = materialize(counts.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n"), "kept-counts")
     totals = found.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     # One row a group: its sum, and its tile within its language.
