@@ -757,28 +757,28 @@ _CSV_TABLES = (
 )
 
 
-def _csv_lake(spark: SparkSession, sf_dir: str) -> str:
-    """A folder with each table as one CSV file, written by Spark."""
+# How CSV files are written: delimiter, quote, escape.
+_DIALECTS = ((",", '"', '"'), (";", "'", "'"), ("\t", '"', '"'), ("|", '"', "\\"))
+
+
+def _csv_lake(spark: SparkSession, sf_dir: str, dialects: tuple = _DIALECTS[:1]) -> str:
+    """A folder with each table as a folder of CSV files, written by Spark, in one dialect after the other."""
     folder = new_dir(spark, "csv")
-    fs = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs.mkdirs(path(f"{folder}/lake"))
-    for name, df in lake_tables(spark, sf_dir).items():
-        if name in _CSV_TABLES:
-            (
-                df.coalesce(1).write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
-                .option("ignoreTrailingWhiteSpace", False).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]").csv(f"{folder}/{name}")
-            )
-            part = next(f.getPath() for f in fs.listStatus(path(f"{folder}/{name}")) if f.getPath().getName().endswith(".csv"))
-            fs.rename(part, path(f"{folder}/lake/{name}.csv"))
-    return f"{folder}/lake"
+    for i, (name, df) in enumerate((n, t) for n, t in lake_tables(spark, sf_dir).items() if n in _CSV_TABLES):
+        delimiter, quote, escape = dialects[i % len(dialects)]
+        (
+            df.write.option("header", True).option("sep", delimiter).option("quote", quote).option("escape", escape)
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+            .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]").csv(f"{folder}/{name}.csv")
+        )
+    return folder
 
 
 @query("select table_name || '.csv' as table_name, column_name, case data_type when 'int' then 'bigint' when 'timestamp_ntz' then 'timestamp'"
        f" else data_type end as data_type from cols where table_name in {_CSV_TABLES}")
 def csv_lake_types(spark, sf_dir):
-    """Types inferred from all cells of a folder of CSV files."""
-    return csv_source(spark, _csv_lake(spark, sf_dir)).columns().select("table_name", "column_name", "data_type")
+    """Types inferred from all cells of a folder of CSV files in four dialects."""
+    return csv_source(spark, _csv_lake(spark, sf_dir, _DIALECTS)).columns().select("table_name", "column_name", "data_type")
 
 
 @query(f"select table_name || '.csv' as table_name, column_name, type_class, {_i('row_count', 'cardinality', 'len_max_word')},"
@@ -791,18 +791,28 @@ def csv_lake_profile(spark, sf_dir):
     )
 
 
+@query(f"select table_name || '.csv' as table_name, column_name, type_class, {_i('row_count', 'cardinality', 'len_max_word')},"
+       f" {_r('entropy')}, first_word, last_word from profile where table_name in {_CSV_TABLES}")
+def csv_dialects(spark, sf_dir):
+    """All tables as CSV files of four dialects, told apart by their lines, read through one source and profiled."""
+    return Profile(csv_source(spark, _csv_lake(spark, sf_dir, _DIALECTS))).column_profile.select(
+        "table_name", "column_name", "type_class", whole("row_count"), whole("cardinality"), whole("len_max_word"),
+        real("entropy"), "first_word", "last_word",
+    )
+
+
 @query(f"select table_name, column_name, type_class, {_i('row_count', 'cardinality', 'len_max_word')},"
-       f" {_r('entropy')}, first_word, last_word from profile where table_name in {_CSV_TABLES[:10]}")
+       f" {_r('entropy')}, first_word, last_word from profile where table_name in {_CSV_TABLES}")
 def csv_roundtrip(spark, sf_dir):
     """Tables written as folders of CSV files, read back as wide tables with inferred types and profiled."""
     tables = lake_tables(spark, sf_dir)
     folder = new_dir(spark, "csv")
-    for t in _CSV_TABLES[:10]:
+    for t in _CSV_TABLES:
         (
             tables[t].write.option("header", True).option("escape", '"')
-            .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]").csv(f"{folder}/{t}")
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]").csv(f"{folder}/{t}")
         )
-    source = TableSource({t: read_csv(spark, f"{folder}/{t}") for t in _CSV_TABLES[:10]})
+    source = TableSource({t: read_csv(spark, f"{folder}/{t}") for t in _CSV_TABLES})
     return Profile(source).column_profile.select(
         "table_name", "column_name", "type_class", whole("row_count"), whole("cardinality"), whole("len_max_word"),
         real("entropy"), "first_word", "last_word",

@@ -2,8 +2,11 @@
 
 There is one path for all files. Lines are read by Spark's text source, which splits large files. Whether a
 split starts inside quotes is found first, from what each split does to either state, so that line breaks inside
-quotes survive any split. Then each task parses its complete records, and the pieces of records that reach over a split
+quotes survive any split. The same pass gathers evidence of each file's dialect; files that are not of the default one are
+surveyed again with theirs. Then each task parses its complete records, and the pieces of records that reach over a split
 are put together. Types come from one aggregation over all cells.
+
+A table is a file that ends in .csv, or a folder that does, with such files in it (as Spark writes them).
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescout.functions.text import TYPE_TESTS, clean_column_names, text_sql, type_class
+from tablescout.sources.dialect import CANDIDATES, DEFAULT, EVIDENCE_DDL, EVIDENCE_LINES, EVIDENCE_SCHEMA, Dialect, choose, evidence
 from tablescout.sources.source import COLUMN_SCHEMA, CellSource, column_id
 from tablescout.workspace import materialize, small_frame
 
@@ -30,6 +34,9 @@ _SPARK_TYPES = {"timestamp": "timestamp_ntz", "time": "string"}
 # Row number of what stands for lines that could not be decoded.
 BAD_LINES = -1
 
+# Where a record's number within its file ends and the number of the file within its table begins.
+_FILE_BITS = 44
+
 # Bytes of complete records that a task parses at once.
 _PARSED_AT_ONCE = 4 << 20
 
@@ -40,11 +47,15 @@ _PIECES = "path string, row_id bigint, fields array<string>, owner bigint, block
 
 def _list_csv(spark: SparkSession, folder: str) -> list[dict]:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    listing = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    files = [
-        {"table_name": f.getPath().getName(), "path": f.getPath().toString(), "length": f.getLen()}
-        for f in listing if f.isFile() and f.getPath().getName().lower().endswith(".csv")
-    ]
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def is_table(entry) -> bool:
+        return entry.getPath().getName().lower().endswith(".csv")
+
+    files = []
+    for f in filter(is_table, fs.listStatus(path)):
+        length = f.getLen() if f.isFile() or path.equals(f.getPath()) else sum(g.getLen() for g in filter(is_table, fs.listStatus(f.getPath())))
+        files.append({"table_name": f.getPath().getName(), "path": f.getPath().toString(), "length": length})
     return sorted(files, key=lambda f: f["table_name"])
 
 
@@ -53,25 +64,30 @@ def discover_csv(spark: SparkSession, folder: str) -> DataFrame:
     return small_frame(spark, _FILE_SCHEMA, _list_csv(spark, folder)).orderBy("table_name")
 
 
-def open_after(line: bytes, is_open: bool) -> bool:
+def open_after(line: bytes, is_open: bool, dialect: Dialect = DEFAULT) -> bool:
     """Whether a quoted field is open after a line. A quote opens a field only where the field starts."""
+    delimiter, quote, escape = dialect
     at = 0
     while True:
         if not is_open:
-            if line[at : at + 1] != b'"':
-                at = line.find(b",", at)
+            if line[at : at + 1] != quote:
+                at = line.find(delimiter, at)
                 if at < 0:
                     return False
                 at += 1
                 continue
             at += 1
-        end = line.find(b'"', at)
-        while end >= 0 and line[end + 1 : end + 2] == b'"':
-            end = line.find(b'"', end + 2)
+        end = line.find(quote, at)
+        if escape:
+            while end >= 0 and (end - at - len(line[at:end].rstrip(escape))) % 2:
+                end = line.find(quote, end + 1)
+        else:
+            while end >= 0 and line[end + 1 : end + 2] == quote:
+                end = line.find(quote, end + 2)
         if end < 0:
             return True
         is_open = False
-        at = line.find(b",", end + 1)
+        at = line.find(delimiter, end + 1)
         if at < 0:
             return False
         at += 1
@@ -100,40 +116,55 @@ def _without_mark(line: bytes) -> bytes:
     return line.removeprefix(b"\xef\xbb\xbf")
 
 
-def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What each split does: the state after it and whether a record ends in it, from either state; of a first one, the header."""
-    for path, block, lines in _blocks(batches):
-        state, ends, head, closed = [False, True], [False, False], [], False
-        for i, line in enumerate(lines):
-            if block == 0 and i == 0:
-                line = _without_mark(line)
-            if block == 0 and not closed:
-                head.append(line)
-            if b'"' in line:
-                state = [open_after(line, s) for s in state]
-            for k in (0, 1):
-                ends[k] = ends[k] or not state[k]
-            closed = closed or not state[0]
-        header = None
-        if block == 0:
-            text = b"\n".join(head).decode("utf-8", "replace")
-            header = next((r for r in csv.reader(io.StringIO(text, newline="")) if r), [])
-        yield pa.RecordBatch.from_pylist([{
-            "path": path, "block": block, "after_closed": state[0], "after_open": state[1], "ends": ends[1], "header": header}],
-            schema=_SURVEY)
+def _survey(dialects: dict[str, Dialect] | None):
+    """What each split does: the state after it and whether a record ends in it, from either state; of a first one, the header.
+
+    Without known dialects, the default one is supposed, and the first lines of each split give evidence.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, block, lines in _blocks(batches):
+            dialect = DEFAULT if dialects is None else dialects[path]
+            state, ends, head, first, closed = [False, True], [False, False], [], [], False
+            for i, line in enumerate(lines):
+                if block == 0 and i == 0:
+                    line = _without_mark(line)
+                if block == 0 and not closed:
+                    head.append(line)
+                if dialects is None and i < EVIDENCE_LINES:
+                    first.append(line)
+                if dialect.quote in line:
+                    state = [open_after(line, s, dialect) for s in state]
+                for k in (0, 1):
+                    ends[k] = ends[k] or not state[k]
+                closed = closed or not state[0]
+            yield pa.RecordBatch.from_pylist([{
+                "path": path, "block": block, "after_closed": state[0], "after_open": state[1], "ends": ends[1],
+                "header": _header(head, dialect) if block == 0 else None,
+                "evidence": evidence(first, block == 0) if dialects is None else None}], schema=_SURVEY)
+
+    return run
+
 
+def _header(head: list[bytes], dialect: Dialect) -> list[str]:
+    text = b"\n".join(head).decode("utf-8", "replace")
+    delimiter, quote, escape = (x.decode() for x in dialect)
+    records = csv.reader(
+        io.StringIO(text, newline=""), delimiter=delimiter, quotechar=quote, escapechar=escape or None, doublequote=not escape)
+    return next((r for r in records if r), [])
 
+
+_SURVEY_DDL = f"path string, block bigint, after_closed boolean, after_open boolean, ends boolean, header array<string>, evidence {EVIDENCE_DDL}"
 _SURVEY = pa.schema([
     ("path", pa.string()), ("block", pa.int64()), ("after_closed", pa.bool_()), ("after_open", pa.bool_()), ("ends", pa.bool_()),
-    ("header", pa.list_(pa.string()))])
-_SURVEY_DDL = "path string, block bigint, after_closed boolean, after_open boolean, ends boolean, header array<string>"
+    ("header", pa.list_(pa.string())), ("evidence", EVIDENCE_SCHEMA)])
 
 
 class Layout:
-    """What tasks have to know of the files: column numbers, and the splits that start inside quotes with the split their record
-    starts in."""
+    """What tasks have to know of the files: dialects, column numbers, and the splits that start inside quotes with the split their
+    record starts in."""
 
-    def __init__(self, surveyed: list) -> None:
+    def __init__(self, surveyed: list, dialects: dict[str, Dialect]) -> None:
+        self.dialects = dialects
         self.headers: dict[str, list[str]] = {}
         self.open_blocks: dict[tuple[str, int], int] = {}
         is_open, owner, path = False, 0, None
@@ -148,15 +179,26 @@ class Layout:
                 owner = r["block"]
             is_open = r["after_open"] if is_open else r["after_closed"]
         self.widths = {path: len(header) for path, header in self.headers.items()}
+        # Files of one table are numbered, so that their records have numbers of their own.
+        self.tables: dict[str, list[str]] = {}
+        for path in sorted(self.headers):
+            self.tables.setdefault(_table_of(path), []).append(path)
+        self.numbers = {path: i for paths in self.tables.values() for i, path in enumerate(paths)}
+
+    def dialect(self, path: str) -> Dialect:
+        return self.dialects.get(path, DEFAULT)
 
 
-def _parsed(path: str, raw: bytes, width: int, first_id: int, skip: int) -> Iterator[pa.RecordBatch]:
+def _parsed(path: str, raw: bytes, layout: Layout, first_id: int, skip: int) -> Iterator[pa.RecordBatch]:
     """Complete records as rows of texts. Records of another width than the header go, empty fields are NULL."""
+    width, (delimiter, quote, escape) = layout.widths[path], layout.dialect(path)
     names = [str(i) for i in range(width)]
     table = pyarrow.csv.read_csv(
         pa.BufferReader(raw),
         read_options=pyarrow.csv.ReadOptions(column_names=names, block_size=len(raw) + 1, use_threads=False),
-        parse_options=pyarrow.csv.ParseOptions(newlines_in_values=True, invalid_row_handler=lambda row: "skip"),
+        parse_options=pyarrow.csv.ParseOptions(
+            delimiter=delimiter.decode(), quote_char=quote.decode(), escape_char=escape.decode() or False, double_quote=not escape,
+            newlines_in_values=True, invalid_row_handler=lambda row: "skip"),
         convert_options=pyarrow.csv.ConvertOptions(
             column_types={n: pa.binary() for n in names}, null_values=[""], strings_can_be_null=True, quoted_strings_can_be_null=True),
     ).slice(skip).combine_chunks()
@@ -166,7 +208,7 @@ def _parsed(path: str, raw: bytes, width: int, first_id: int, skip: int) -> Iter
     n = table.num_rows
     by_row = np.arange(n * width)
     cells = cells.take(pa.array(by_row % width * n + by_row // width))
-    ids = first_id + np.arange(n)
+    ids = first_id + (layout.numbers[path] << _FILE_BITS) + np.arange(n)
     try:
         cells = cells.cast(pa.string())
     except pa.ArrowInvalid:
@@ -200,9 +242,9 @@ def _piece(path: str, owner: int, block: int, lines: list[bytes]) -> pa.RecordBa
 def _parse_splits(layout: Layout):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, block, lines in _blocks(batches):
-            width = layout.widths.get(path, 0)
-            if not width:
+            if not layout.widths.get(path, 0):
                 continue
+            dialect = layout.dialect(path)
             owner = layout.open_blocks.get((path, block))
             is_open = owner is not None
             # Lines of the record that is open, complete records, and the number of lines before those.
@@ -212,8 +254,8 @@ def _parse_splits(layout: Layout):
                     line = _without_mark(line)
                 record.append(line)
                 seen += 1
-                if b'"' in line:
-                    is_open = open_after(line, is_open)
+                if dialect.quote in line:
+                    is_open = open_after(line, is_open, dialect)
                 if is_open:
                     continue
                 if owner is not None:
@@ -224,10 +266,10 @@ def _parse_splits(layout: Layout):
                     held += sum(map(len, record))
                 record = []
                 if held > _PARSED_AT_ONCE:
-                    yield from _parsed(path, b"\n".join(done), width, block + n_done, skip)
+                    yield from _parsed(path, b"\n".join(done), layout, block + n_done, skip)
                     done, held, n_done, skip = [], 0, seen, 0
             if done:
-                yield from _parsed(path, b"\n".join(done), width, block + n_done, skip)
+                yield from _parsed(path, b"\n".join(done), layout, block + n_done, skip)
             if record:
                 yield _piece(path, block if owner is None else owner, block, record)
 
@@ -240,8 +282,9 @@ def _parse_pieces(layout: Layout):
             for path, owner, pieces in zip(*(batch.column(c).to_pylist() for c in ("path", "owner", "pieces"))):
                 raw = b"\n".join(pieces)
                 # At most one record starts in a split and ends behind it; numbers below zero are only used for those.
-                for rows in _parsed(path, raw, layout.widths[path], 0, 0):
-                    ids = [BAD_LINES if i < 0 else BAD_LINES - 1 - owner for i in rows.column(1).to_pylist()]
+                own = BAD_LINES - 1 - ((layout.numbers[path] << _FILE_BITS) | owner)
+                for rows in _parsed(path, raw, layout, 0, 0):
+                    ids = [BAD_LINES if i < 0 else own for i in rows.column(1).to_pylist()]
                     yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(ids, pa.int64()), rows.column(2)], names=["path", "row_id", "fields"])
 
     return run
@@ -249,11 +292,17 @@ def _parse_pieces(layout: Layout):
 
 def _records(spark: SparkSession, path: str) -> tuple[DataFrame, Layout]:
     """All records below `path` as (path, row_id, fields), written once, and the layout of the files."""
-    reader = spark.read.option("lineSep", "\n").option("pathGlobFilter", "*.[cC][sS][vV]")
+    reader = spark.read.option("lineSep", "\n").option("pathGlobFilter", "*.[cC][sS][vV]").option("recursiveFileLookup", True)
     lines = reader.text(path).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line"))
     # One small row for each split of a file.
-    layout = Layout(lines.mapInArrow(_survey, _SURVEY_DDL).collect())
+    surveyed = materialize(lines.mapInArrow(_survey(None), _SURVEY_DDL), "csv_splits")
+    chosen = {r["path"]: CANDIDATES[r["candidate"]] for r in choose(surveyed).filter("candidate > 0").collect()}
+    splits = [r for r in surveyed.drop("evidence").collect() if r["path"] not in chosen]
+    if chosen:
+        others = lines.filter(F.col("path").isin(*chosen))
+        splits += others.mapInArrow(_survey(chosen), _SURVEY_DDL).drop("evidence").collect()
+    layout = Layout(splits, chosen)
     parsed = materialize(lines.mapInArrow(_parse_splits(layout), _PIECES), "csv_rows")
     whole = parsed.where("piece is null").select("path", "row_id", "fields")
     if not layout.open_blocks and parsed.where("piece is not null").isEmpty():
@@ -266,7 +315,7 @@ def _records(spark: SparkSession, path: str) -> tuple[DataFrame, Layout]:
 
 
 def read_csv(spark: SparkSession, path: str, as_strings: bool = False) -> DataFrame:
-    """S2 (typed) or S3 (all text): one table from a CSV file or a folder of CSV files with the same header.
+    """S2 (typed) or S3 (all text): one table from a CSV file or a folder of CSV files with the same header, of any dialects.
 
     Records that do not fit the header are dropped. A file with bytes that are no UTF-8 is read as text, without those
     records.
@@ -288,14 +337,18 @@ def read_csv(spark: SparkSession, path: str, as_strings: bool = False) -> DataFr
 
 
 def csv_source(spark: SparkSession, folder: str) -> CellSource:
-    """A profile source over every CSV file of a folder (or one file); files without a record end up in `skipped`."""
+    """A profile source over every table of a folder (or one file); those without a record end up in `skipped`.
+
+    Files of one table may differ in dialect; a table has as many columns as the longest of its headers, and records that
+    do not fit their file's header go.
+    """
     files = _list_csv(spark, folder)
     if not files:
         raise ValueError(f"{folder} holds no file that ends in .csv")
     records, layout = _records(spark, folder)
     names = small_frame(spark, COLUMN_SCHEMA, [
-        {"column_id": None, "table_name": _table_of(path), "column_pos": i, "column_name": name, "data_type": None, "type_class": None}
-        for path, header in layout.headers.items() for i, name in enumerate(header)
+        {"column_id": None, "table_name": table, "column_pos": i, "column_name": name, "data_type": None, "type_class": None}
+        for table, paths in layout.tables.items() for i, name in enumerate(max((layout.headers[p] for p in paths), key=len))
     ]).select(column_id(F.col("table_name"), F.col("column_pos")).alias("column_id"), "table_name", "column_pos", "column_name")
     tables = small_frame(spark, _TABLES, [{"path": p, "table_name": _table_of(p)} for p in layout.headers])
     records = records.join(tables, "path").drop("path")
@@ -317,7 +370,9 @@ _TABLES = pa.schema([("path", pa.string()), ("table_name", pa.string())])
 
 
 def _table_of(path: str) -> str:
-    return unquote(path.rsplit("/", 1)[-1])
+    """A file's table: the folder it lies in if that ends in .csv, else the file itself."""
+    *_, folder, name = ["", *map(unquote, path.split("/"))]
+    return folder if folder.lower().endswith(".csv") else name
 
 
 def infer_types(cells: DataFrame) -> DataFrame:

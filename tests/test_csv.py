@@ -7,6 +7,7 @@ from tablescout import build_lake, csv_source, discover_csv, profile, read_csv
 from tablescout.plans.lake import export_ranking
 from tablescout.plans.profiling import export_profiles
 from tablescout.sources.csv_lake import open_after
+from tablescout.sources.dialect import Dialect, read_line
 
 
 @pytest.fixture(scope="module")
@@ -156,3 +157,82 @@ def test_export_profiles(spark, folder, tmp_path):
     export_profiles(csv_source(spark, folder), str(tmp_path / "p"))
     for name in ("profiles", "profiles_normalized", "profiles_typed"):
         assert spark.read.parquet(str(tmp_path / "p" / name)).count() == 9
+
+
+# (delimiter, quote, escape) as they are written; values hold delimiters, quotes and line breaks.
+DIALECTS = {"comma.csv": (",", '"', ""), "semicolon.csv": (";", "'", ""), "tab.csv": ("\t", '"', ""), "pipe.csv": ("|", '"', "\\"), "semi.csv": (";", '"', "")}
+
+
+def in_dialect(rows, delimiter, quote, escape):
+    def field(v):
+        if not any(c in v for c in (delimiter, quote, "\n")):
+            return v
+        return quote + (v.replace(escape, escape * 2).replace(quote, escape + quote) if escape else v.replace(quote, quote * 2)) + quote
+
+    return "".join(delimiter.join(field(v) for v in r) + "\n" for r in rows).encode()
+
+
+TALK = [("id", "price", "said")] + [
+    (str(i), f"{i},5" if i % 3 else f"{i};7|8\t9", f"it's \"{i}\", he; said | twice\tor\nmore" if i % 4 else f"plain {i}") for i in range(80)]
+
+
+@pytest.fixture(scope="module")
+def dialects(tmp_path_factory):
+    d = tmp_path_factory.mktemp("dialects")
+    for name, parts in DIALECTS.items():
+        (d / name).write_bytes(in_dialect(TALK, *parts))
+    (d / "one.csv").write_text("only\n1;2\n3\n4;5\n")
+    (d / "quoted head.csv").write_text("'a';'b'\n1;x\n2;y\n")
+    (d / "ragged.csv").write_text("a,b;c\n1,2\n1,2;3\n1,2,3\n")
+    (d / "apostrophes.csv").write_text("a,b\n'tis,1\n'twas,2\n")
+    (d / "parts.csv").mkdir()
+    (d / "parts.csv" / "part-0.csv").write_bytes(in_dialect(TALK[:40], ",", '"', ""))
+    (d / "parts.csv" / "part-1.csv").write_bytes(in_dialect([TALK[0], *TALK[40:]], ";", "'", ""))
+    return str(d)
+
+
+@pytest.mark.parametrize("split", [None, 300])
+def test_dialects(spark, dialects, split):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        if split:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        source = csv_source(spark, dialects)
+        cells = source.cells.groupBy("table_name", "row_id").agg(
+            F.array_sort(F.collect_list(F.struct("column_pos", F.coalesce("v", F.lit(""))))).alias("r")).collect()
+        names = rows(source.columns(), "table_name", "column_pos", "column_name")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    found = {}
+    for r in cells:
+        found.setdefault(r["table_name"], []).append(tuple(v for _, v in r["r"]))
+    for name in [*DIALECTS, "parts.csv"]:
+        assert sorted(found[name]) == sorted(TALK[1:]), name
+        assert {(n, c) for t, n, c in names if t == name} == set(enumerate(TALK[0]))
+    assert sorted(found["one.csv"]) == [("1;2",), ("3",), ("4;5",)]
+    assert sorted(found["quoted head.csv"]) == [("1", "x"), ("2", "y")] and {c for t, _, c in names if t == "quoted head.csv"} == {"a", "b"}
+    assert sorted(found["ragged.csv"]) == [("1", "2"), ("1", "2;3")]
+    assert sorted(found["apostrophes.csv"]) == [("'tis", "1"), ("'twas", "2")]
+
+
+def test_a_wide_table_of_each_dialect(spark, dialects):
+    for name in [*DIALECTS, "parts.csv"]:
+        assert sorted(tuple(r) for r in read_csv(spark, f"{dialects}/{name}", as_strings=True).collect()) == sorted(TALK[1:]), name
+
+
+@pytest.mark.parametrize("dialect", [Dialect(b";", b"'"), Dialect(b"|", b'"', b"\\")])
+@pytest.mark.parametrize("line", [b"a;b|c", b"'a;b", b'"a|b', b"'a'';b", b'"a\\"|b', b'"a\\\\"|b', b'x"|"', b"x';'", b"''", b'""', b'"\\"', b"'a'b;'"])
+def test_state_after_a_line_of_a_dialect(dialect, line):
+    import csv
+    import io
+
+    def is_open(text):
+        kind = dict(delimiter=dialect.delimiter.decode(), quotechar=dialect.quote.decode(), escapechar=dialect.escape.decode() or None)
+        return len(list(csv.reader(io.StringIO(text + "\nx\n"), doublequote=not dialect.escape, **kind))) != 2
+
+    assert open_after(line, False, dialect) is is_open(line.decode())
+    assert read_line(line, False, dialect).is_open is open_after(line, False, dialect)
+    assert open_after(line, True, dialect) is is_open(dialect.quote.decode() + line.decode())
+    assert read_line(line, True, dialect).is_open is open_after(line, True, dialect)
