@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablescout.functions.scores import cosine, dot, unit, vector_literal
+from tablescout.functions.scores import cosine, unit, vector_literal
 
 DIMENSIONS = 384
 
@@ -78,11 +78,8 @@ def nearest(embeddings: DataFrame, query_vec: list[float], top_k: int) -> DataFr
     )
 
 
-SIGN_BITS = 128
-# Bits of the signatures made in Python workers, for searches with a recall.
+# Bits of the signatures made in Python workers.
 SEARCH_BITS = 512
-# Candidates of a search without a recall, for each row asked for.
-CANDIDATES = 8
 # Chance that a row as near as the bound lies within the radius of signatures.
 RECALL = 0.9
 _QUERIES_AT_ONCE = 64
@@ -104,41 +101,14 @@ def plane_sign(bit: int, dimension: int) -> int:
     return 1 if hashlib.md5(f"{bit},{dimension}".encode()).hexdigest()[0] < "8" else -1
 
 
-def sign_bits(vec: Column, dimensions: int) -> Column:
-    """Which side of each of SIGN_BITS random planes a vector lies on, packed into numbers of 32 bits."""
-    planes = "array(" + ", ".join(
-        "array(" + ", ".join(f"{plane_sign(b, i)}D" for i in range(dimensions)) + ")" for b in range(SIGN_BITS)) + ")"
-    sides = F.transform(F.expr(planes), lambda plane: (dot(vec, plane) > 0).cast("bigint"))
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(SIGN_BITS // 32 - 1)),
-        lambda w: F.aggregate(
-            F.slice(sides, w * 32 + 1, F.lit(32)), F.lit(0).cast("bigint"), lambda acc, bit: acc * 2 + bit))
+def nearest_approx(embeddings: DataFrame, query_vec: list[float], top_k: int, recall: float = RECALL) -> DataFrame:
+    """E8 for one query, without an index: the `top_k` rows whose signatures differ least bound the k-th best score, and all rows within the radius
+    that follows from it (see `radius_of`) are ranked by exact cosine. `VectorIndex` serves many queries.
 
-
-def with_sign_bits(embeddings: DataFrame, dimensions: int) -> DataFrame:
-    """E8's index: a signature for each stored vector."""
-    return embeddings.withColumn("signature", sign_bits(F.col("vec"), dimensions))
-
-
-def nearest_approx(
-    embeddings: DataFrame, query_vec: list[float], top_k: int, recall: float | None = RECALL, candidates: int = CANDIDATES,
-) -> DataFrame:
-    """Approximate top-k by `nearest_approx_each`. Without a `recall`, the `candidates * top_k` rows whose signatures of SIGN_BITS bits
-    differ least are ranked by exact cosine; `embeddings` has these signatures then (see `with_sign_bits`), or they are made on the way.
-
-    There are always `top_k` rows if the index has them.
+    There are always `top_k` rows if there are as many.
     """
-    if recall is not None:
-        found = _within_radius(embeddings, ["query"], np.array([query_vec], float), top_k, recall)
-        return found.select("table_name", "score").orderBy(F.col("score").desc(), "table_name").limit(top_k)
-    if "signature" not in embeddings.columns:
-        embeddings = with_sign_bits(embeddings, len(query_vec))
-    own = embeddings.sparkSession.range(1).select(sign_bits(vector_literal(query_vec), len(query_vec)).alias("s")).head()["s"]
-    differing = F.aggregate(
-        F.zip_with("signature", F.array(*[F.lit(x).cast("bigint") for x in own]), lambda a, b: F.bit_count(a.bitwiseXOR(b))),
-        F.lit(0), lambda acc, n: acc + n)
-    close = embeddings.select("table_name", "vec", differing.alias("_apart")).orderBy("_apart", "table_name").limit(candidates * top_k)
-    return nearest(close.select("table_name", "vec"), query_vec, top_k)
+    found = _within_radius(embeddings, ["query"], np.array([query_vec], float), top_k, recall)
+    return found.select("table_name", "score").orderBy(F.col("score").desc(), "table_name").limit(top_k)
 
 
 _FOUND = "query string, table_name string, score double, apart int"
@@ -199,18 +169,6 @@ def _first(found: DataFrame, top_k: int, *order: Column | str) -> DataFrame:
     return found.withColumn("rank", place).where(F.col("rank") <= top_k)
 
 
-def _queries(queries: DataFrame) -> tuple[list[str], np.ndarray]:
-    rows = queries.select("table_name", "vec").collect()
-    return [r["table_name"] for r in rows], np.array([r["vec"] for r in rows], float).reshape(len(rows), -1)
-
-
-def nearest_each(embeddings: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
-    """E7 for each of `queries` (rows like those of `embeddings`): query, table_name, score, rank. The queries are held by every task."""
-    names, vecs = _queries(queries)
-    found = embeddings.select("table_name", "vec").mapInArrow(_Search(names, vecs, top_k), _FOUND)
-    return _first(found, top_k, F.col("score").desc()).drop("apart")
-
-
 def _within_radius(embeddings: DataFrame, names: list[str], vecs: np.ndarray, top_k: int, recall: float) -> DataFrame:
     index = embeddings.select("table_name", "vec")
     first = _first(index.mapInArrow(_Search(names, vecs, top_k, by_apart=True), _FOUND), top_k, "apart")
@@ -220,9 +178,3 @@ def _within_radius(embeddings: DataFrame, names: list[str], vecs: np.ndarray, to
     radius = np.array([bounds.get(name, SEARCH_BITS) for name in names])
     found = index.mapInArrow(_Search(names, vecs, top_k, radius), _FOUND)
     return _first(found, top_k, F.col("score").desc()).drop("apart")
-
-
-def nearest_approx_each(embeddings: DataFrame, queries: DataFrame, top_k: int, recall: float = RECALL) -> DataFrame:
-    """E8 for each of `queries`, all rows of `embeddings` being compared: the `top_k` rows whose signatures differ least bound the k-th best score,
-    and all rows within the radius that follows from it (see `radius_of`) are ranked by exact cosine."""
-    return _within_radius(embeddings, *_queries(queries), top_k, recall)

@@ -21,11 +21,12 @@ from tablescout.functions.scores import (
 )
 from tablescout.functions.text import clean_value, integer_or, name_tokens, normalise_value, number_or, soundex, type_class
 from tablescout.operators import profile as p
-from tablescout.operators.embedding import nearest, nearest_approx, nearest_approx_each, nearest_each, token_weights, vector_of
+from tablescout.operators.embedding import token_weights
 from tablescout.operators.joinability import best_pairs, column_pairs, table_joinability
 from tablescout.operators.normalize import preprocess_profiles, zscore_profiles
 from tablescout.operators.sketch import minhash, sketch_index
 from tablescout.operators.table_profile import macro_means, row_count_recovery, type_fractions
+from tablescout.operators.vector_index import VectorIndex, nearest_each
 from tablescout.plans.lake import Lake, build_lake, export_ranking, list_lakes
 from tablescout.plans.oracles import _ROLES, _Z, OCTILES, with_ctes
 from tablescout.plans.profiling import Profile, export_profiles
@@ -514,45 +515,53 @@ def normalised_vectors(spark, sf_dir):
     )
 
 
-@query(f"select cast(b.vec_id as varchar) as table_name, round(greatest(0, {_DOT}), 6) as score"
-       " from embeddings a, embeddings b where a.vec_id = 0 order by greatest(0, "
-       f"{_DOT}) desc, cast(b.vec_id as varchar) limit 10")
+def _every_fiftieth(index: DataFrame) -> DataFrame:
+    return index.where(F.col("table_name").cast("bigint") % 50 == 0)
+
+
+_TOPK = (
+    "(select *, row_number() over (partition by query order by s desc, table_name) as rank from (select a.vec_id as query,"
+    f" cast(b.vec_id as varchar) as table_name, greatest(0, {_DOT}) as s from embeddings a, embeddings b where a.vec_id % 50 = 0))")
+_NEAREST = f"select cast(query as varchar) as query, table_name, round(s, 6) as score, cast(rank as bigint) as rank from {_TOPK} where rank <= 10"
+
+
+@query(_NEAREST)
 def cosine_topk(spark, sf_dir):
+    """The ten nearest rows of every vec_id divisible by 50, by exact cosine over all rows."""
     index = _vectors(spark, sf_dir)
-    return nearest(index, vector_of(index, "0"), 10).select("table_name", real("score"))
+    return nearest_each(index, _every_fiftieth(index), 10).select("query", "table_name", real("score"), whole("rank"))
 
 
-@query("with planes as (select b.range as b, i.range as i, case when substr(md5(b.range || ',' || i.range), 1, 1) < '8' then 1 else -1 end as s"
-       " from range(128) b, range(64) i), coords as (select vec_id, generate_subscripts(embedding, 1) - 1 as i,"
-       " cast(unnest(embedding) as double) as x from embeddings), sides as (select vec_id, b, sum(x * s) > 0 as side from coords join planes"
-       " using (i) group by vec_id, b), apart as (select a.vec_id, count(*) filter (where a.side <> q.side) as d from sides a join sides q"
-       " on a.b = q.b where q.vec_id = 0 group by a.vec_id), near_ids as (select vec_id from apart order by d, cast(vec_id as varchar) limit 80)"
-       f" select cast(b.vec_id as varchar) as table_name, round(greatest(0, {_DOT}), 6) as score from embeddings a, embeddings b"
-       f" where a.vec_id = 0 and b.vec_id in (select vec_id from near_ids) order by greatest(0, {_DOT}) desc, cast(b.vec_id as varchar) limit 10")
-def ann_topk(spark, sf_dir):
-    """E8 with the 128 bits and 80 candidates its SQL states, whatever recall they give; `ann_topk_each` has what a recall of 0.9 needs."""
-    index = _vectors(spark, sf_dir)
-    return nearest_approx(index, vector_of(index, "0"), 10, recall=None).select("table_name", real("score"))
+@query(_NEAREST)
+def cosine_topk_each(spark, sf_dir):
+    return cosine_topk(spark, sf_dir)
 
 
-def _every_fiftieth(index: DataFrame) -> DataFrame:
-    return index.where(F.col("table_name").cast("bigint") % 50 == 0)
+def _vector_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    return VectorIndex.build(_vectors(spark, sf_dir), new_dir(spark, "vector-index"))
 
 
-@query(f"select cast(query as varchar) as query, table_name, round(s, 6) as score, cast(rank as bigint) as rank from (select *, row_number() over"
-       f" (partition by query order by s desc, table_name) as rank from (select a.vec_id as query, cast(b.vec_id as varchar) as table_name,"
-       f" greatest(0, {_DOT}) as s from embeddings a, embeddings b where a.vec_id % 50 = 0)) where rank <= 10")
-def cosine_topk_each(spark, sf_dir):
-    """E7 for every vec_id divisible by 50."""
-    index = _vectors(spark, sf_dir)
-    return nearest_each(index, _every_fiftieth(index), 10).select("query", "table_name", real("score"), whole("rank"))
+@query()
+def ann_topk(spark, sf_dir):
+    """The same searches by a stored index of cells; `ann_recall` holds them against all rows."""
+    found = _vector_index(spark, sf_dir).nearest_each(_every_fiftieth(_vectors(spark, sf_dir)), 10)
+    return found.select("query", "table_name", real("score"), whole("rank"))
 
 
 @query()
 def ann_topk_each(spark, sf_dir):
-    """E8 for every vec_id divisible by 50; its recall is tested against brute force."""
+    return ann_topk(spark, sf_dir)
+
+
+@query(f"select count(distinct query) as queries, count(*) as rows_found, true as recall_reached from {_TOPK} where rank <= 10")
+def ann_recall(spark, sf_dir):
+    """Whether the index finds at least 0.9 of the ten nearest rows (by score, so that ties count), over every vec_id divisible by 50."""
     index = _vectors(spark, sf_dir)
-    return nearest_approx_each(index, _every_fiftieth(index), 10).select("query", "table_name", real("score"), whole("rank"))
+    exact = nearest_each(index, _every_fiftieth(index), 10).groupBy("query").agg(F.min("score").alias("bound"))
+    found = _vector_index(spark, sf_dir).nearest_each(_every_fiftieth(index), 10).join(exact, "query", "left")
+    return found.agg(
+        whole(F.count_distinct("query"), "queries"), whole(F.count("*"), "rows_found"),
+        (F.avg((F.col("score") >= F.col("bound")).cast("double")) >= 0.9).alias("recall_reached"))
 
 
 @query("select c_table as candidate_table, round(ts, 4) as table_semantic from sims where q_table = 'customer'")

@@ -123,33 +123,6 @@ def test_nearest(spark):
     assert hits >= 40, f"recall {2 * hits}%"
 
 
-@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
-def test_recall_of_signatures(spark, sf_dir):
-    """Every vec_id divisible by 50 against brute force; the one-query search too."""
-    import numpy as np
-
-    from tablescout.plans.registry import QUERIES, _vectors
-
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()
-    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
-    best = {str(i): {str(j) for j in ids[np.argsort(-(x @ x[ids == i][0]), kind="stable")[:10]]} for i in ids if i % 50 == 0}
-    exact, approx = ({q: set() for q in best} for _ in range(2))
-    for name, got in (("cosine_topk_each", exact), ("ann_topk_each", approx)):
-        out = QUERIES[name](spark, sf_dir).collect()
-        assert len(out) == 10 * len(best)
-        for r in out:
-            got[r["query"]].add(r["table_name"])
-    assert exact == best
-    recall = [len(approx[q] & best[q]) / 10 for q in best]
-    print(sf_dir, "recall", np.mean(recall), "lowest", min(recall))
-    assert np.mean(recall) >= 0.9
-    index = _vectors(spark, sf_dir)
-    some = list(best)[:5]
-    one = [len({r["table_name"] for r in nearest_approx(index, x[ids == int(q)][0].tolist(), 10).collect()} & best[q]) for q in some]
-    print("one query at a time, of 50:", sum(one))
-    assert sum(one) >= 45
-
-
 class LengthModel:
     def encode(self, texts):
         return [[float(len(t)), 1.0] for t in texts]
