@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescout.llm.jaccard import jaccard_components, keep_one_each
-from tablescout.llm.language import UNDETERMINED, fit_language_model, identify_languages, remainder
+from tablescout.llm.language import fit_language_model, identify_languages, remainder
 from tablescout.llm.leaks import drop_leaked, find_leaks
 from tablescout.llm.pieces import PieceVocabulary, encode
 from tablescout.llm.secrets import redact_secrets
@@ -16,10 +16,15 @@ from tablescout.workspace import shared_dir
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents with a letter. Only the letter check rejects rows; the network's predictions and scores decide about none."""
+    """Keep documents with a letter, which are those with a score above 0, also where no row has a language to learn from.
+
+    Only the letter check rejects rows; the network's predictions decide about none. Columns keep their values, whatever their names.
+    """
     model = fit_language_model(docs.filter(remainder("doc_id", 4) != 2))
-    told = identify_languages(docs, model)
-    return told.filter(f"lang_pred <> '{UNDETERMINED}'").select(*docs.columns)
+    # The operator would replace columns that are named like its own.
+    own = docs.toDF(*(f"_{i}" for i in range(len(docs.columns))))
+    told = identify_languages(own, model, text_column=f"_{docs.columns.index('text')}")
+    return told.filter("lang_score > 0").select(*own.columns).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
