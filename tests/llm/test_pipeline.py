@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tablescout.llm import queries as Q
 
@@ -56,7 +58,17 @@ def test_stages_on_odd_and_empty_tables(spark, edges, nothing):
     assert got == {1: "a text with [SECRET] in it", 2: rows[1][1]}
 
 
-def test_all_eleven_queries_are_registered():
+def test_first_stage_keeps_what_has_no_label_and_clashing_values(spark, edges):
+    plain = [(i, prose(i, 30)) for i in range(20)]
+    unlabelled = table(spark, plain).withColumn("lang", F.lit(None).cast("string"))
+    kept = stage("language ID")(spark, unlabelled, SF)
+    assert kept.columns == unlabelled.columns and kept.count() == 20
+    out = stage("language ID")(spark, edges, SF)
+    assert out.columns == edges.columns
+    assert {(r["lang_pred"], r["lang_score"], r["lang"]) for r in out.collect()} == {("lang_pred!", "lang_score!", "en")}
+
+
+def test_all_queries_are_registered():
     import __spark_entry__
 
     names = __spark_entry__.queries()
