@@ -37,12 +37,13 @@ META_SCHEMA = pa.schema([
     ("built_at", pa.float64()),
     ("encoder", pa.string()),
     ("dimensions", pa.int64()),
+    ("skip_reasons", pa.list_(pa.string())),
 ])
 
 _META_DDL = (
     "name string, description string, n_tables bigint, build_profile_s double, build_embedding_s double,"
     " build_total_s double, skipped array<string>, version string, built_at double, encoder string,"
-    " dimensions bigint"
+    " dimensions bigint, skip_reasons array<string>"
 )
 
 # Told a step, how many of the tables are through it, and how many there are.
@@ -70,6 +71,7 @@ def build_lake(
     p = Profile(source)
     total = p.columns.select("table_name").distinct().count()
     report("profiling", 0, total)
+    p.raw_counts  # noqa: B018  Tables that cannot be read are known from here on.
     p.column_profile = publish("column_profile", p.lazy_column_profile())
     n_tables = p.column_profile.select("table_name").distinct().count()
     if n_tables == 0:
@@ -89,7 +91,8 @@ def build_lake(
         "build_profile_s": round(profiled - start, 1),
         "build_embedding_s": round(done - profiled, 1),
         "build_total_s": round(done - start, 1),
-        "skipped": sorted([*source.skipped, *(r["table_name"] for r in empty.collect())]),
+        "skipped": sorted([*p.source.skipped, *(r["table_name"] for r in empty.collect())]),
+        "skip_reasons": [f"{table}: {why}" for table, why in sorted(getattr(p.source, "reasons", {}).items())],
         "version": version, "built_at": time.time(), "encoder": encoder_name(encoder), "dimensions": dimensions,
     }
     small_frame(spark, META_SCHEMA, [meta]).coalesce(1).write.mode("append").json(f"{path}/lake.json")
@@ -143,7 +146,7 @@ class Lake:
         """S15."""
         return self.spark.read.schema(_META_DDL).json(f"{self.path}/lake.json").where(
             F.col("version") == self.meta["version"]
-        ).drop("version", "built_at", "encoder", "dimensions")
+        ).drop("version", "built_at", "encoder", "dimensions", "skip_reasons")
 
     def vector(self, name: str) -> list[float]:
         """E6."""

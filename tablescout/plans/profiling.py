@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,16 @@ class Profile:
 
     @cached_property
     def raw_counts(self) -> DataFrame:
-        return materialize(self.source.raw_counts(), "raw_counts")
+        """Counted once. If the scan fails, each table that fails by itself is skipped (S11), and the others are counted again."""
+        try:
+            return materialize(self.source.raw_counts(), "raw_counts")
+        except (PySparkException, Py4JJavaError):
+            failed = self.source.failing() if hasattr(self.source, "failing") else {}
+            if not failed or len(failed) == len(self.source.tables):
+                raise
+            self.source = self.source.without(failed)
+            self.__dict__.pop("columns", None)
+            return materialize(self.source.raw_counts(), "raw_counts")
 
     @cached_property
     def counts(self) -> DataFrame:

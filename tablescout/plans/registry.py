@@ -32,7 +32,7 @@ from tablescout.plans.oracles import _ROLES, _Z, OCTILES, with_ctes
 from tablescout.plans.profiling import Profile, export_profiles
 from tablescout.plans.testlake import lake_tables
 from tablescout.sources.csv_lake import csv_source, infer_types, read_csv
-from tablescout.sources.source import TableSource
+from tablescout.sources.source import TableSource, parquet_source
 from tablescout.workspace import new_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -758,6 +758,31 @@ def lake_build(spark, sf_dir):
     return new_lake(spark, sf_dir).join_cols.groupBy("table_name").agg(F.count("*").alias("n_join_columns"))
 
 
+_READABLE = ("customer", "documents", "events", "nation", "orders", "supplier")
+
+
+@query(f"select table_name, column_name, {_i('row_count', 'cardinality')}, 'events_cut,orders_junk' as skipped, true as told_why"
+       f" from profile where table_name in {_READABLE}")
+def lake_with_unreadable_tables(spark, sf_dir):
+    """A folder of Parquet tables, one of which has a part that is none and one only such a part; the others make a lake."""
+    folder = new_dir(spark, "tables")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    tables = lake_tables(spark, sf_dir)
+    for name in _READABLE:
+        tables[name].write.parquet(f"{folder}/{name}.parquet")
+    tables["events"].write.parquet(f"{folder}/events_cut.parquet")
+    for name in ("events_cut", "orders_junk"):
+        out = fs.create(path(f"{folder}/{name}.parquet/part-zz.parquet"))
+        out.write(bytearray(b"PAR1 but nothing after it"))
+        out.close()
+    built = build_lake(parquet_source(spark, folder), new_dir(spark, "partial") + "/lake", "partial")
+    skipped, why = built.meta["skipped"], built.meta["skip_reasons"]
+    return built.column_profile.select(
+        "table_name", "column_name", whole("row_count"), whole("cardinality"), F.lit(",".join(skipped)).alias("skipped"),
+        F.lit([w.split(": ")[0] for w in why] == skipped and all(len(w) > 20 for w in why)).alias("told_why"))
+
+
 # Tables and columns that CSV can hold; a view's text that is a number in disguise would come back as one.
 _CSV_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels",

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+from copy import copy
 from dataclasses import dataclass
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,12 +94,13 @@ class TableSource:
     """Named wide DataFrames (S5). Tables with nothing to profile are listed in `skipped`."""
 
     def __init__(self, tables: dict[str, DataFrame], varchar_only: bool = False,
-                 skipped: list[str] | None = None) -> None:
+                 skipped: list[str] | None = None, reasons: dict[str, str] | None = None) -> None:
         tables = {name: df.toDF(*clean_column_names(df.columns)) for name, df in tables.items()}
         fields = {name: profiled_fields(name, df, varchar_only) for name, df in tables.items()}
         self.fields = {name: fs for name, fs in fields.items() if fs}
         self.tables = {name: tables[name] for name in self.fields}
         self.skipped = sorted([*(skipped or []), *(name for name, fs in fields.items() if not fs)])
+        self.reasons = dict(reasons or {})
         if not self.tables:
             raise ValueError("There is no table with a column that can be profiled.")
         ids = [f.column_id for fs in self.fields.values() for f in fs]
@@ -119,6 +123,31 @@ class TableSource:
     def raw_counts(self) -> DataFrame:
         return count_tables(self.tables, self.fields)
 
+    def failing(self) -> dict[str, str]:
+        """The tables whose scan fails by itself, with the reason. Halves that can be scanned together are not looked into."""
+        def scan(names: list[str]) -> dict[str, str]:
+            if not names:
+                return {}
+            try:
+                count_tables({n: self.tables[n] for n in names}, {n: self.fields[n] for n in names}).write.format("noop").mode("overwrite").save()
+            except (PySparkException, Py4JJavaError) as e:
+                if len(names) == 1:
+                    return {names[0]: reason_of(e)}
+                middle = len(names) // 2
+                return scan(names[:middle]) | scan(names[middle:])
+            return {}
+
+        return scan(list(self.tables))
+
+    def without(self, failed: dict[str, str]) -> TableSource:
+        """This source without some tables, which are in `skipped` then, and their reasons in `reasons`."""
+        out = copy(self)
+        out.tables = {n: t for n, t in self.tables.items() if n not in failed}
+        out.fields = {n: f for n, f in self.fields.items() if n not in failed}
+        out.skipped = sorted([*self.skipped, *failed])
+        out.reasons = self.reasons | failed
+        return out
+
     def long_texts(self, cleaned: bool, column_ids: set[int]) -> DataFrame | None:
         """Whole texts longer than the head with their digest, in the profile or the summary domain.
 
@@ -141,6 +170,28 @@ class TableSource:
         ])
 
 
+def reason_of(error: Exception) -> str:
+    """The innermost message of an error, in one line."""
+    found = [line.strip() for line in str(error).splitlines() if line.strip() and not line.strip().startswith(("at ", "..."))]
+    causes = [line.removeprefix("Caused by:").strip() for line in found if line.startswith("Caused by:")]
+    return (causes or found or [type(error).__name__])[-1 if causes else 0][:300]
+
+
+def parquet_source(spark: SparkSession, folder: str) -> TableSource:
+    """A source over every Parquet table of a folder (`<name>.parquet`, files or folders). Those that cannot be opened are skipped."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listing = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    tables, failed = {}, {}
+    for name in sorted(f.getPath().getName() for f in listing):
+        if not name.endswith(".parquet"):
+            continue
+        try:
+            tables[name.removesuffix(".parquet")] = spark.read.parquet(f"{folder}/{name}")
+        except (PySparkException, Py4JJavaError) as e:
+            failed[name.removesuffix(".parquet")] = reason_of(e)
+    return TableSource(tables, skipped=list(failed), reasons=failed)
+
+
 class CellSource:
     """Many small tables in long form: `cells` (table_name, row_id, column_pos, column_id, type_class, v)
     and their `columns`."""

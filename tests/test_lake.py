@@ -7,6 +7,7 @@ from tablescout import Lake, TableSource, build_lake, list_lakes
 from tablescout.operators.embedding import hashing_encoder, model_encoder, nearest, nearest_approx
 from tablescout.operators.joinability import best_pairs, column_pairs, table_joinability
 from tablescout.operators.ranking import RANKING_COLUMNS
+from tablescout.sources.source import parquet_source
 
 
 def names(spark, prefix, start, stop, column):
@@ -102,6 +103,27 @@ def test_tables_without_values_are_skipped(spark, tables, tmp_path):
         build_lake(TableSource({"empty": empty}), str(tmp_path / "m"), "M")
 
 
+def test_tables_that_cannot_be_read_are_skipped(spark, tables, tmp_path):
+    good = {"people": tables["people"], "buyers": tables["buyers"], "other": tables["other"]}
+    for name, df in good.items():
+        df.write.parquet(f"{tmp_path}/in/{name}.parquet")
+    people = next((tmp_path / "in" / "people.parquet").glob("part-*.parquet"))
+    raw = people.read_bytes()
+    # The footer stays, so the table opens, but its data cannot be read.
+    people.write_bytes(raw[:4] + b"\xff" * (len(raw) // 3) + raw[4 + len(raw) // 3 :])
+    for crc in (tmp_path / "in" / "people.parquet").glob(".*.crc"):
+        crc.unlink()
+    (tmp_path / "in" / "junk.parquet").write_bytes(b"no table")
+    source = parquet_source(spark, f"{tmp_path}/in")
+    assert source.skipped == ["junk"] and set(source.tables) == set(good)
+    lake = build_lake(source, f"{tmp_path}/lake", "L")
+    assert lake.meta["skipped"] == ["junk", "people"] and lake.meta["n_tables"] == 2
+    assert [w.split(":")[0] for w in lake.meta["skip_reasons"]] == ["junk", "people"]
+    assert {r["candidate_table"] for r in lake.search_indexed("buyers", top_n=None).collect()} == {"other"}
+    with pytest.raises(Exception):
+        build_lake(TableSource({"people": spark.read.parquet(f"{tmp_path}/in/people.parquet")}), f"{tmp_path}/none", "N")
+
+
 def test_nearest(spark):
     import random
 
