@@ -2,18 +2,19 @@
 
 Layout of a lake folder:
 
-    <lake>/lake.json/              one row per build; the newest one names the current version
+    <lake>/lake.json/              one manifest per build, named by its number; the highest one names the current version
     <lake>/<version>/<table>/      Parquet: column_profile, join_cols, table_profile, table_embedding
 """
 
 from __future__ import annotations
 
+import json
 import os
 import time
 import uuid
 from collections.abc import Callable
 
-import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,27 +24,11 @@ from tablescout.operators.ranking import rank_all, rank_one
 from tablescout.plans.profiling import Profile
 from tablescout.sources.csv_lake import csv_source
 from tablescout.sources.source import RenamedSource, TableSource
-from tablescout.workspace import small_frame
-
-META_SCHEMA = pa.schema([
-    ("name", pa.string()),
-    ("description", pa.string()),
-    ("n_tables", pa.int64()),
-    ("build_profile_s", pa.float64()),
-    ("build_embedding_s", pa.float64()),
-    ("build_total_s", pa.float64()),
-    ("skipped", pa.list_(pa.string())),
-    ("version", pa.string()),
-    ("built_at", pa.float64()),
-    ("encoder", pa.string()),
-    ("dimensions", pa.int64()),
-    ("skip_reasons", pa.list_(pa.string())),
-])
 
 _META_DDL = (
     "name string, description string, n_tables bigint, build_profile_s double, build_embedding_s double,"
     " build_total_s double, skipped array<string>, version string, built_at double, encoder string,"
-    " dimensions bigint, skip_reasons array<string>"
+    " dimensions bigint, skip_reasons array<string>, number bigint"
 )
 
 # Told a step, how many of the tables are through it, and how many there are.
@@ -56,10 +41,12 @@ def build_lake(
 ) -> Lake:
     """Q4: profile, sketch and embed every table of `source`, and publish the result under `path`.
 
-    A build writes to a folder of its own and becomes visible when its row is appended to `lake.json`,
-    so readers never see half a lake (S10).
+    A build writes to a folder of its own and becomes visible when its manifest is put into `lake.json` under the number after
+    the one it started from, so readers never see half a lake (S10). If another build has taken that number meanwhile, this one
+    is refused with `BuildConflict`, and what it wrote is deleted.
     """
     spark = source.spark
+    base = _newest_number(spark, path)
     report = progress or (lambda step, done, total: None)
     version = f"v-{uuid.uuid4().hex}"
 
@@ -93,12 +80,65 @@ def build_lake(
         "build_total_s": round(done - start, 1),
         "skipped": sorted([*p.source.skipped, *(r["table_name"] for r in empty.collect())]),
         "skip_reasons": [f"{table}: {why}" for table, why in sorted(getattr(p.source, "reasons", {}).items())],
-        "version": version, "built_at": time.time(), "encoder": encoder_name(encoder), "dimensions": dimensions,
+        "version": version, "built_at": time.time(), "encoder": encoder_name(encoder), "dimensions": dimensions, "number": base + 1,
     }
-    small_frame(spark, META_SCHEMA, [meta]).coalesce(1).write.mode("append").json(f"{path}/lake.json")
+    try:
+        _publish(spark, path, meta)
+    except BuildConflict:
+        _delete(spark, f"{path}/{version}")
+        raise
     return Lake(spark, path)
 
 
+class BuildConflict(RuntimeError):
+    """Another build of the lake was published since this one began."""
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
+
+
+def _newest_number(spark: SparkSession, path: str) -> int:
+    """The number of the newest manifest, 0 without any. Names alone tell, not clocks."""
+    fs, at = _file_system(spark, f"{path}/lake.json")
+    names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+    return max((int(n.removesuffix(".json")) for n in names if n.removesuffix(".json").isdigit()), default=0)
+
+
+def _publish(spark: SparkSession, path: str, meta: dict) -> None:
+    """Put the manifest under its number, if that number is free."""
+    fs, at = _file_system(spark, f"{path}/lake.json/{meta['number']:012d}.json")
+    try:
+        out = fs.create(at, False)
+    except Py4JJavaError as e:
+        if not fs.exists(at):
+            raise
+        raise BuildConflict(f"Build {meta['number']} of {path} was published by another one.") from e
+    try:
+        out.write(bytearray((json.dumps(meta) + "\n").encode()))
+    finally:
+        out.close()
+
+
+def drop_old_versions(spark: SparkSession, path: str, older_than_s: float) -> list[str]:
+    """Delete the builds that are neither the newest nor younger than `older_than_s` seconds; their versions. Searches that began on one of
+    them fail from then on."""
+    builds = spark.read.schema(_META_DDL).json(f"{path}/lake.json").select("number", "version", "built_at").collect()
+    newest = _newest_number(spark, path)
+    old = [b for b in builds if b["number"] != newest and b["built_at"] < time.time() - older_than_s]
+    for b in old:
+        # The manifest goes first, so that no list of lakes shows a build without its tables.
+        _delete(spark, f"{path}/lake.json/{b['number']:012d}.json")
+        _delete(spark, f"{path}/{b['version']}")
+    return sorted(b["version"] for b in old)
+
+
 def encoder_name(encoder: Encoder) -> str:
     """What the catalog knows an encoder by: its `name`, else the name of its function."""
     return getattr(encoder, "name", None) or getattr(encoder, "__qualname__", type(encoder).__name__)
@@ -109,10 +149,10 @@ def list_lakes(spark: SparkSession, folder: str) -> DataFrame:
     builds = spark.read.schema(_META_DDL).json(f"{folder}/*/lake.json").withColumn(
         "lake", F.regexp_extract(F.input_file_name(), "([^/]+)/lake\\.json/[^/]+$", 1)
     )
-    newest = builds.groupBy("lake").agg(F.max(F.struct("built_at", "name", "description", "n_tables",
+    newest = builds.groupBy("lake").agg(F.max(F.struct("number", "built_at", "name", "description", "n_tables",
                                                        "build_profile_s", "build_embedding_s",
                                                        "build_total_s", "skipped", "version")).alias("m"))
-    return newest.select("lake", "m.*").orderBy("lake")
+    return newest.select("lake", "m.*").drop("number").orderBy("lake")
 
 
 class Lake:
@@ -122,7 +162,7 @@ class Lake:
         self.spark = spark
         self.path = path
         builds = spark.read.schema(_META_DDL).json(f"{path}/lake.json")
-        self.meta = builds.orderBy(F.col("built_at").desc()).head()
+        self.meta = builds.orderBy(F.col("number").desc()).head()
         if self.meta is None:
             raise ValueError(f"There is no lake at {path}")
         self.column_profile = self._read("column_profile")
@@ -146,7 +186,7 @@ class Lake:
         """S15."""
         return self.spark.read.schema(_META_DDL).json(f"{self.path}/lake.json").where(
             F.col("version") == self.meta["version"]
-        ).drop("version", "built_at", "encoder", "dimensions", "skip_reasons")
+        ).drop("version", "built_at", "encoder", "dimensions", "skip_reasons", "number")
 
     def vector(self, name: str) -> list[float]:
         """E6."""

@@ -7,6 +7,7 @@ from tablescout import Lake, TableSource, build_lake, list_lakes
 from tablescout.operators.embedding import hashing_encoder, model_encoder, nearest, nearest_approx
 from tablescout.operators.joinability import best_pairs, column_pairs, table_joinability
 from tablescout.operators.ranking import RANKING_COLUMNS
+from tablescout.plans.lake import BuildConflict, drop_old_versions
 from tablescout.sources.source import parquet_source
 
 
@@ -103,6 +104,26 @@ def test_tables_without_values_are_skipped(spark, tables, tmp_path):
         build_lake(TableSource({"empty": empty}), str(tmp_path / "m"), "M")
 
 
+def test_of_two_builds_at_once_one_is_refused(spark, tables, tmp_path):
+    path = f"{tmp_path}/lake"
+    small = TableSource({"people": tables["people"]})
+    others = iter([lambda: build_lake(TableSource({"other": tables["other"]}), path, "second")])
+
+    def meanwhile(step, done, total):
+        next(others, lambda: None)()
+
+    with pytest.raises(BuildConflict):
+        build_lake(small, path, "first", progress=meanwhile)
+    lake = Lake(spark, path)
+    assert (lake.meta["name"], lake.meta["number"]) == ("second", 1)
+    assert len(list((tmp_path / "lake").glob("v-*"))) == 1
+    assert build_lake(small, path, "third").meta["number"] == 2
+    assert drop_old_versions(spark, path, older_than_s=3600) == []
+    assert drop_old_versions(spark, path, older_than_s=0) == [lake.meta["version"]]
+    assert Lake(spark, path).meta["name"] == "third" and len(list((tmp_path / "lake").glob("v-*"))) == 1
+    assert [r["name"] for r in list_lakes(spark, str(tmp_path)).collect()] == ["third"]
+
+
 def test_tables_that_cannot_be_read_are_skipped(spark, tables, tmp_path):
     good = {"people": tables["people"], "buyers": tables["buyers"], "other": tables["other"]}
     for name, df in good.items():
