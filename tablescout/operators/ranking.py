@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescout.functions.scores import cosine, similarity, similarity_block, vector_literal
+from tablescout.workspace import materialize
 
 # The columns of a ranking, in order.
 RANKING_COLUMNS = (
@@ -37,13 +38,31 @@ def score(pairs: DataFrame) -> DataFrame:
 
 def ranked(scored: DataFrame, top_n: int | None) -> DataFrame:
     """By rounded similarity, ties in lake order (the candidate's name)."""
+    if top_n is None:
+        return _fully_ranked(scored)
     order = Window.partitionBy("query_table").orderBy(F.col("similarity_score").desc(), "candidate_table")
-    out = scored.withColumn("rank", F.row_number().over(order))
-    if top_n is not None:
-        out = out.where(F.col("rank") <= top_n)
+    out = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
     return out.select("query_table", *RANKING_COLUMNS)
 
 
+def _fully_ranked(scored: DataFrame) -> DataFrame:
+    """Ranks of whole rankings, however long: rows are sorted by range, and each range gets the number of rows before it.
+
+    Ranges are written, so that the counts and the rows are of the same ones. The result is in the order of the ranks.
+    """
+    order = [F.col("query_table"), F.col("similarity_score").desc(), F.col("candidate_table")]
+    ranges = materialize(
+        scored.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranking")
+    # The number of the partition stands above the lowest 33 bits.
+    ranges = ranges.withColumn("_range", F.shiftright("_at", 33))
+    counts = ranges.groupBy("query_table", "_range").agg(F.count("*").alias("_rows"), F.min("_at").alias("_first"))
+    before = Window.partitionBy("query_table").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    rank = F.col("_at") - F.col("_first") + F.col("_before") + 1
+    return ranges.join(starts, ["query_table", "_range"]).withColumn("rank", rank.cast("int")).orderBy("query_table", "rank").select(
+        "query_table", *RANKING_COLUMNS)
+
+
 def rank_one(
     query_name: str, query_vec: list[float], query_struct: list[float],
     fingerprints: DataFrame, joinability: DataFrame, top_n: int | None,

@@ -104,6 +104,25 @@ def test_tables_without_values_are_skipped(spark, tables, tmp_path):
         build_lake(TableSource({"empty": empty}), str(tmp_path / "m"), "M")
 
 
+def test_ranks_of_a_long_ranking(spark):
+    from tablescout.operators.ranking import ranked
+
+    rows = spark.range(700).select(
+        F.lit("q").alias("query_table"), F.format_string("t%03d", (F.col("id") * 37) % 700).alias("candidate_table"),
+        (F.floor(F.col("id") / 90) / 10).alias("similarity_score"), *(F.lit(0.0).alias(c) for c in RANKING_COLUMNS[3:6]),
+        *(F.lit("").alias(c) for c in RANKING_COLUMNS[6:]))
+    rows = rows.unionByName(rows.limit(9).withColumn("query_table", F.lit("r")))
+    full = ranked(rows, None)
+    got = [(r["query_table"], r["rank"], r["candidate_table"]) for r in full.collect()]
+    expected = sorted(rows.collect(), key=lambda r: (r["query_table"], -r["similarity_score"], r["candidate_table"]))
+    places = {"q": 0, "r": 0}
+    for row, (q, rank, name) in zip(expected, got, strict=True):
+        places[q] += 1
+        assert (q, rank, name) == (row["query_table"], places[q], row["candidate_table"])
+    assert full.schema["rank"].dataType == ranked(rows, 3).schema["rank"].dataType
+    assert ranked(rows.limit(0), None).count() == 0
+
+
 def test_of_two_builds_at_once_one_is_refused(spark, tables, tmp_path):
     path = f"{tmp_path}/lake"
     small = TableSource({"people": tables["people"]})
