@@ -46,7 +46,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to the shared folder and return the scan of what was written."""
     path = new_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    scan = df.sparkSession.read.schema(df.schema).parquet(path)
+    scan.written_to = path
+    return scan
+
+
+def drop_written(scan: DataFrame) -> None:
+    """Delete a table that `materialize` returned and that nothing reads any more. Other frames are left alone."""
+    path = scan.__dict__.get("written_to")
+    if path is None:
+        return
+    spark = scan.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _written[spark.sparkContext.applicationId].remove(path)
 
 
 def small_frame(spark: SparkSession, schema: pa.Schema, rows: list[dict]) -> DataFrame:

@@ -53,6 +53,11 @@ def test_cleanup_deletes_what_was_written(spark):
         df = w.materialize(spark.range(10), "mine")
         folder = w._written[spark.sparkContext.applicationId][0]
         assert df.count() == 10 and os.path.isdir(folder.removeprefix("file:"))
+        other = w.materialize(df, "other")
+        w.drop_written(other.filter("id > 1"))
+        assert other.count() == 10
+        w.drop_written(other)
+        assert df.count() == 10 and w._written[spark.sparkContext.applicationId] == [folder]
         w.cleanup(spark)
         assert not os.path.exists(folder.removeprefix("file:"))
     finally:
