@@ -4,9 +4,11 @@ Texts are sets of hashed five-word shingles; two link at a Jaccard similarity of
 
 1. Groups. Each class looks for a leader: among the classes that share MinHash values with it, the one with most of them
    (the least id of a bucket stands for it). A verified link to the leader joins its group; groups are the components of such links.
-2. Matrix. Tokens have one global order, rarest first as far as frequent ones are known; if two sets link, the first |s| - ceil(p|s|) + 1
-   tokens of both have one in common. The matrix holds (token, group) for the unions of the groups' first tokens.
-3. Bound. For a class and a foreign group, the tokens it shares with the group's union bound its overlap with every
+2. Matrix. Tokens have one global order, rarest first as far as frequent ones are known. Of two sets that link, the longer one has a token among
+   its first |s| - ceil(p|s|) + 1 that is among the first |s| - ceil(2p/(1+p)|s|) + 1 of the other, its index tokens. The matrix holds (token,
+   group) for the unions of the groups' first tokens, with the least and the largest size of the members that have them. A group comes into
+   question for a class that shares an index token of a member with it, if that member's size fits and is no larger.
+3. Bound. For a class and a group in question, the first tokens it shares with the group's union bound its overlap with every such
    member; sizes say how many a link needs. Only groups that reach the bound are opened, member by member under the same bound.
 4. Opened pairs are decided exactly. The member of each opened group that shares most of the class's rarest tokens comes first; the others are
    only counted and compared where that one does not settle that the class and the group are connected.
@@ -17,7 +19,7 @@ groups is found: the result is the same as that of comparing all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from tablescout.llm.arrow_text import bound_batches, map_texts, slices, utf8
 from tablescout.llm.bitmap import bitmap_of, holds, place, places_of
 from tablescout.llm.components import components, relabelled, roots
 from tablescout.llm.words import distinct, mix, shingles, words
-from tablescout.workspace import materialize
+from tablescout.workspace import drop_written, materialize
 
 MINHASHES = 6
 LEAST_SHARED = 2
@@ -132,58 +134,86 @@ class TokenOrder:
 
 _CLASSES = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()),
-    T.StructField("minhashes", T.ArrayType(T.LongType())), T.StructField("tokens", T.ArrayType(T.LongType())),
+    T.StructField("minhashes", T.ArrayType(T.LongType())),
 ])
+_FIRST = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
 _TOKENS = T.StructType([T.StructField("id", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
 
 
+def _list_array(flat: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    offsets = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    offsets = np.zeros(len(arrays) + 1, np.int32)
-    np.cumsum([len(a) for a in arrays], out=offsets[1:])
     flat = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
+    return _list_array(flat, np.array([len(a) for a in arrays], np.int64))
 
 
 def _needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _describe(texts: DataFrame, order: TokenOrder, percent: int) -> DataFrame:
-    """Each text's set size, signature, MinHash values and first tokens."""
-    shared = texts.sparkSession.sparkContext.broadcast(order)
+def _index_tokens(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many of the first tokens of sets of n are index tokens: one of them is in every set that links and is no smaller."""
+    return n - -(-2 * percent * n // (100 + percent)) + 1
+
+
+def _describe(texts: DataFrame) -> DataFrame:
+    """Each text's set size, signature and MinHash values."""
 
     def rows(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         tokens, bounds = _sets(part)
-        n = np.diff(bounds)
         signs = [_per_text(mix(tokens ^ salt), bounds, np.add) for salt in _SALTS[:2]]
         least = np.stack([_per_text(mix(tokens ^ salt), bounds, np.minimum) for salt in _SALTS[2:]], axis=1)
-        order = shared.value
-        first = [
-            order.first(tokens[bounds[i] : bounds[i + 1]], int(k) - _needed(int(k), percent) + 1) for i, k in enumerate(n)]
         yield pa.RecordBatch.from_arrays([
-            part.column("id"), pa.array(n), *[pa.array(s.view(np.int64)) for s in signs], _lists(list(least)), _lists(first)],
+            part.column("id"), pa.array(np.diff(bounds)), *[pa.array(s.view(np.int64)) for s in signs], _lists(list(least))],
             names=_CLASSES.names)
 
     return map_texts(texts, "text", rows, _CLASSES)
 
 
+def _only(texts: DataFrame, ids: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """Map the texts whose id is in `ids`. A bitmap tells them, so a few others come along."""
+    bitmap = texts.sparkSession.sparkContext.broadcast(bitmap_of(ids.select(place(F.xxhash64("id")).alias("p")), "p"))
+
+    def chosen(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        at = np.flatnonzero(holds(bitmap.value, part.column("p").to_numpy(zero_copy_only=False)))
+        if len(at):
+            yield from rows(part.take(pa.array(at)))
+
+    return map_texts(texts.select("id", place(F.xxhash64("id")).alias("p"), "text"), "text", chosen, schema)
+
+
+def _first_tokens(texts: DataFrame, heads: DataFrame, order: TokenOrder, percent: int) -> DataFrame:
+    """Each class's set size and first tokens. They are as large as a seventh of the texts, so they are made again where they are needed."""
+    shared = texts.sparkSession.sparkContext.broadcast(order)
+
+    def rows(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        tokens, bounds = _sets(part)
+        n = np.diff(bounds)
+        order = shared.value
+        first = [
+            order.first(tokens[bounds[i] : bounds[i + 1]], int(k) - _needed(int(k), percent) + 1) for i, k in enumerate(n)]
+        yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), _lists(first)], names=_FIRST.names)
+
+    return _only(texts, heads, rows, _FIRST).filter("id is not null and n > 0")
+
+
 def _verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets link. Sets are made only of texts that stand in a pair."""
     pairs = _kept(pairs)
     if pairs.isEmpty():
         return pairs
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    bitmap = texts.sparkSession.sparkContext.broadcast(bitmap_of(ids.select(place(F.xxhash64("id")).alias("p")), "p"))
 
     def rows(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        at = np.flatnonzero(holds(bitmap.value, part.column("p").to_numpy(zero_copy_only=False)))
-        if len(at):
-            part = part.take(pa.array(at))
-            tokens, bounds = _sets(part)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("id"), _lists([tokens[a:b] for a, b in zip(bounds[:-1], bounds[1:])])], names=_TOKENS.names)
+        tokens, bounds = _sets(part)
+        yield pa.RecordBatch.from_arrays(
+            [part.column("id"), _lists([tokens[a:b] for a, b in zip(bounds[:-1], bounds[1:])])], names=_TOKENS.names)
 
-    sets = _kept(map_texts(texts.select("id", place(F.xxhash64("id")).alias("p"), "text"), "text", rows, _TOKENS))
+    sets = _kept(_only(texts, ids, rows, _TOKENS))
     left, right = (sets.select(F.col("id").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
     shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
     union = F.size("tokens_a") + F.size("tokens_b") - F.col("shared")
@@ -191,6 +221,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
         pairs.join(left, "a").join(right, "b").withColumn("shared", shared)
         .filter(F.col("shared") * 100 >= F.lit(percent) * union).select("a", "b").distinct(), "links")
     sets.unpersist()
+    pairs.unpersist()
     return linked
 
 
@@ -204,19 +235,29 @@ def _leaders(classes: DataFrame) -> DataFrame:
 
 
 def _least_shared(q: Column, s: Column, percent: int) -> Column:
-    """How many first tokens a link between sets of sizes q and s needs to share, at least.
+    """How many first tokens a link between sets of sizes q and s <= q needs to share, at least. It rises with s.
 
     All first tokens of one of the two that the other has are among the other's first ones; the rest of that one bounds the overlap.
     """
     def up(x: Column, by: int) -> Column:
         return F.ceil(x / by).cast("long")
 
-    overlap = up((q + s) * percent, 100 + percent)
-    return overlap - F.greatest(up(q * percent, 100), up(s * percent, 100)) + 1
+    return up((q + s) * percent, 100 + percent) - up(q * percent, 100) + 1
+
+
+def _fits(q: Column, low: Column, high: Column, percent: int) -> Column:
+    """Members of sizes from low to high may link with a set of size q and be no larger."""
+    return (low <= q) & (high * 100 >= q * percent)
+
+
+def _matrix(shared: DataFrame) -> DataFrame:
+    """(token, other, low, high, held): the unions of the groups' tokens, sizes and number of the members that have them."""
+    return shared.groupBy("token", F.col("group").alias("other")).agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("held"))
 
 
 def _opened(members: DataFrame, heads: DataFrame, groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The first tokens that several groups have (token, id, n, group), and (id, other, enough): the groups to open for a class. Of the
+    """The first tokens that several groups have (token, id, n, indexed, group), and (id, other, enough): the groups to open for a class. Of the
     tokens it shares with a group, any `enough` have one of each member that may link."""
     repeated = members.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
     bitmap = members.sparkSession.sparkContext.broadcast(bitmap_of(repeated.select(place("token").alias("p")), "p"))
@@ -225,59 +266,62 @@ def _opened(members: DataFrame, heads: DataFrame, groups: DataFrame, percent: in
         for batch in batches:
             lists = batch.column("tokens")
             tokens = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            of = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            n, held = (x.to_numpy(zero_copy_only=False) for x in (batch.column("n"), lists.value_lengths()))
+            of = np.repeat(np.arange(len(batch)), held)
+            at = np.arange(len(tokens)) - np.repeat(np.cumsum(held) - held, held)
             hit = holds(bitmap.value, places_of(tokens))
-            row = pa.array(of[hit])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(row), batch.column("n").take(row), pa.array(tokens[hit].view(np.int64))], names=["id", "n", "token"])
-
-    postings = members.select("id", "n", "tokens").mapInArrow(rows, "id long, n long, token long").join(heads.select("id", "n"), ["id", "n"])
-    grouped = _kept(
-        postings.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component"))
+            indexed = at < _index_tokens(n, percent)[of]
+            split = [_list_array(tokens[of_kind], np.bincount(of[of_kind], minlength=len(batch))) for of_kind in (hit & indexed, hit & ~indexed)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), *split], names=["id", "n", "index_tokens", "tokens"])
+
+    # Lists are joined with their classes and groups; tokens become rows only for the shuffles by token.
+    listed = materialize(
+        members.mapInArrow(rows, "id long, n long, index_tokens array<long>, tokens array<long>").filter("size(index_tokens) + size(tokens) > 0")
+        .join(heads.select("id", "n"), ["id", "n"]).join(groups.withColumnRenamed("node", "id"), "id", "left")
+        .withColumn("group", F.coalesce("component", "id")).drop("component"), "listed")
+    of_one = ["id", "n", "group"]
+    grouped = listed.select(*of_one, F.explode("index_tokens").alias("token"), F.lit(True).alias("indexed")).unionByName(
+        listed.select(*of_one, F.explode("tokens").alias("token"), F.lit(False).alias("indexed")))
     several = grouped.groupBy("token").agg(F.min("group").alias("g1"), F.max("group").alias("g2")).filter("g1 < g2").select("token")
     shared = materialize(grouped.join(several, "token"), "shared")
-    matrix = shared.select("token", F.col("group").alias("other")).distinct()
-    sizes = shared.groupBy(F.col("group").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    q = F.col("n")
-    low = F.greatest("low", F.ceil(q * percent / 100).cast("long"))
-    high = F.least("high", F.floor(q * 100 / percent).cast("long"))
-    # The bound is lowest at an end of the range of sizes. It rises up to q; beyond q it falls but for rounding, which may add one.
-    ends = F.least(_least_shared(q, low, percent), _least_shared(q, high, percent) - F.when(high > q, 1).otherwise(0))
-    bound = F.greatest(F.lit(1), ends)
-    bounded = (
-        shared.join(matrix, "token").filter(F.col("group") != F.col("other"))
-        .groupBy("id", "n", "other").agg(F.count("*").alias("overlap"))
-        .join(sizes, "other").filter((low <= high) & (F.col("overlap") >= bound))
-        .select("id", "other", (F.col("overlap") - bound + 1).alias("enough"))
-    )
+    drop_written(listed)
+    q, low, high = F.col("n"), F.col("low"), F.col("high")
+    index = _matrix(shared.filter("indexed")).alias("m")
+    open_to = (F.col("group") != F.col("other")) & _fits(q, low, high, percent)
+    in_question = shared.alias("q").join(index, (F.col("q.token") == F.col("m.token")) & open_to).select("id", "other").distinct()
+    # A class meets a group by all its tokens only here, where the pair is known: as many rows as it has tokens, at most.
+    met = in_question.join(shared.select("id", "n", "token"), "id").join(_matrix(shared), ["token", "other"]).filter(_fits(q, low, high, percent))
+    overlaps = met.groupBy("id", "n", "other").agg(F.count("*").alias("overlap"), F.min("low").alias("low"))
+    bound = F.greatest(F.lit(1), _least_shared(q, F.greatest(low, F.ceil(q * percent / 100).cast("long")), percent))
+    bounded = overlaps.filter(F.col("overlap") >= bound).select("id", "other", (F.col("overlap") - bound + 1).alias("enough"))
     return shared, materialize(bounded, "bounded")
 
 
-def _member_pairs(shared: DataFrame, bounded: DataFrame, n_tokens: int | None = None) -> DataFrame:
-    """(a, n_a, b, n_b, other, n): classes a and members b of the groups opened for them that have n tokens in common.
+def _member_pairs(shared: DataFrame, bounded: DataFrame, percent: int, n_tokens: int | None = None) -> DataFrame:
+    """(a, n_a, b, n_b, other, n): classes a and members b of the groups opened for them that have n tokens in common, b no larger than a.
 
     Of the tokens that a shares with the group, those are looked at that fewest of its members have: as many as are enough for every
     member that may link, or `n_tokens`.
     """
     mine = shared.select(F.col("id").alias("a"), F.col("n").alias("n_a"), "token").join(
         bounded.select(F.col("id").alias("a"), "other", "enough"), "a")
-    held = shared.groupBy("token", F.col("group").alias("other")).agg(F.count("*").alias("held"))
     rarest = F.row_number().over(Window.partitionBy("a", "other").orderBy("held", "token"))
     limit = F.col("enough") if n_tokens is None else F.lit(n_tokens)
-    mine = mine.join(held, ["token", "other"]).withColumn("r", rarest).filter(F.col("r") <= limit).drop("held", "r", "enough")
+    mine = mine.join(_matrix(shared), ["token", "other"]).filter(_fits(F.col("n_a"), F.col("low"), F.col("high"), percent))
+    mine = mine.withColumn("r", rarest).filter(F.col("r") <= limit).select("a", "n_a", "token", "other")
     theirs = shared.select(F.col("id").alias("b"), F.col("n").alias("n_b"), "token", F.col("group").alias("other"))
-    return mine.join(theirs, ["token", "other"]).groupBy("a", "n_a", "b", "n_b", "other").agg(F.count("*").alias("n"))
+    theirs, size = theirs.withColumnsRenamed({"token": "t", "other": "o"}), F.col("n_b")
+    return mine.join(theirs, (F.col("token") == F.col("t")) & (F.col("other") == F.col("o")) & _fits(F.col("n_a"), size, size, percent)).groupBy(
+        "a", "n_a", "b", "n_b", "other").agg(F.count("*").alias("n"))
 
 
 def _may_link(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
-    """The pairs that sizes and all common first tokens leave open."""
-    tokens = _kept(shared.groupBy("id").agg(F.collect_set("token").alias("tokens")))
-    a, b = F.col("n_a"), F.col("n_b")
+    """The pairs that all common first tokens leave open."""
+    tokens = shared.groupBy("id").agg(F.collect_set("token").alias("tokens"))
     return (
-        pairs.filter((a * percent <= b * 100) & (b * percent <= a * 100))
-        .join(tokens.select(F.col("id").alias("a"), F.col("tokens").alias("tokens_a")), "a")
+        pairs.join(tokens.select(F.col("id").alias("a"), F.col("tokens").alias("tokens_a")), "a")
         .join(tokens.select(F.col("id").alias("b"), F.col("tokens").alias("tokens_b")), "b")
-        .filter(F.size(F.array_intersect("tokens_a", "tokens_b")) >= _least_shared(a, b, percent)).select("a", "b")
+        .filter(F.size(F.array_intersect("tokens_a", "tokens_b")) >= _least_shared(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
     )
 
 
@@ -289,9 +333,7 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     has a null component. An empty table gives no rows.
     """
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    full = _describe(texts, TokenOrder.of(texts), percent)
-    # First tokens are as large as a seventh of the texts, so they are made again where they are needed.
-    described = _kept(full.drop("tokens"))
+    described = _kept(_describe(texts))
     members = described.filter("id is not null and n > 0")
     of_class = ["n", "s1", "s2"]
     first = members.groupBy(*of_class).agg(F.min("id").alias("class"))
@@ -300,8 +342,7 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     classes = members.select("id", *of_class, "minhashes").join(heads, ["id", *of_class]).distinct()
     leading = _verified(texts, _leaders(classes), percent)
     groups = roots(leading)
-    tokens = full.filter("id is not null and n > 0").select("id", "n", "tokens")
-    shared, bounded = _opened(tokens, heads, groups, percent)
+    shared, bounded = _opened(_first_tokens(texts, heads, TokenOrder.of(texts), percent), heads, groups, percent)
     labels = [groups]
 
     def merge(links: DataFrame) -> None:
@@ -317,11 +358,13 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
         ends = bounded.withColumns({"ca": F.col("id"), "cb": F.col("other")})
         return relabelled(relabelled(ends, "ca", labels), "cb", labels).filter("ca <> cb").select("id", "other", "enough")
 
-    near = _member_pairs(shared, bounded, NEAR_TOKENS)
+    near = _member_pairs(shared, bounded, percent, NEAR_TOKENS)
     merge(links_of(near.groupBy("a", "other").agg(F.max(F.struct("n", "b")).alias("best")).select("a", "best.b")))
     open_still = materialize(unsettled(), "open")
     if not open_still.isEmpty():
-        merge(links_of(_may_link(_member_pairs(shared, open_still), shared, percent)))
+        merge(links_of(_may_link(_member_pairs(shared, open_still, percent), shared, percent)))
+    for done in (leading, shared, bounded, open_still):
+        drop_written(done)
     labelled = relabelled(firsts.withColumnRenamed("class", "component"), "component", labels)
     rows = described.select("id", *of_class).join(labelled, of_class, "left")
     return rows.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
