@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -92,6 +93,27 @@ def test_short_texts_link_by_their_whole_sequence(spark):
     assert got == brute_components(rows) and got[5] == 4
 
 
+def test_links_at_the_least_similarity_and_all_sizes(spark):
+    """Parts of a text of 3/4 of its shingles and one fewer or more, and near misses of each other that share rare words."""
+    rows, rng = [], np.random.default_rng(5)
+    for base in range(12):
+        n = int(rng.integers(8, 60))
+        whole = [f"w{base}x{i}" for i in range(n + 4)]
+        for size in {n, -(-3 * n // 4), -(-3 * n // 4) - 1, -(-3 * n // 4) + 1, -(-7 * n // 8)}:
+            at = int(rng.integers(0, n - size + 1))
+            rows.append(whole[at : at + size + 4])
+        for _ in range(6):
+            edited = list(whole)
+            for place in rng.choice(len(whole), int(rng.integers(1, 4)), replace=False):
+                edited[place] = f"e{int(rng.integers(0, 5))}"
+            rows.append(edited)
+    ids = rng.permutation(len(rows)).tolist()
+    rows = [(i, " ".join(words)) for i, words in zip(ids, rows)]
+    got = {r["id"]: r["component_id"] for r in J.jaccard_components(table(spark, rows)).collect()}
+    want = brute_components(rows)
+    assert got == want and 12 < len(set(want.values())) < len(rows) - 12
+
+
 def test_connected_components(spark):
     r = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, x) for x in range(101, 160)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(60)] + [(7, 7)]
