@@ -94,3 +94,17 @@ def test_fewer_rows_than_asked_for(spark, tmp_path):
     assert shown(V.VectorIndex.build(df, f"{tmp_path}/small").nearest_each(df, 10)) == brute(vecs, range(7), 10)
     empty = V.VectorIndex.build(df.limit(0), f"{tmp_path}/empty")
     assert empty.nearest_each(df, 10).count() == 0
+
+
+def test_recall_beyond_the_sample(spark, monkeypatch, tmp_path):
+    """Most rows are not in the sample that centroids are trained on."""
+    monkeypatch.setattr(V, "SAMPLE_ROWS", 500)
+    vecs = unit(np.random.default_rng(3), 4000, 24)
+    df = frame(spark, vecs)
+    asked = df.where(F.col("table_name") % 50 == 0)
+    built = V.VectorIndex.build(df, f"{tmp_path}/index")
+    found = shown(built.nearest_each(asked, 10))
+    exact = brute(vecs, range(0, 4000, 50), 10)
+    neighbours = {(q, name) for (q, _), (name, _) in found.items()}
+    assert sum((q, name) in neighbours for (q, _), (name, _) in exact.items()) >= 0.9 * len(exact)
+    assert built.cells.probes > 1 and V.VectorIndex.load(spark, f"{tmp_path}/index").cells.probes == built.cells.probes
