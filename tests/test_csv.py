@@ -236,3 +236,15 @@ def test_state_after_a_line_of_a_dialect(dialect, line):
     assert read_line(line, False, dialect).is_open is open_after(line, False, dialect)
     assert open_after(line, True, dialect) is is_open(dialect.quote.decode() + line.decode())
     assert read_line(line, True, dialect).is_open is open_after(line, True, dialect)
+
+
+def test_texts_are_counted_once_before_they_are_typed(spark, tmp_path):
+    """The counts are those of the typed cells, also where texts of one number differ and where a number is longer than a head."""
+    rows = b"".join(b"%s,%d,x%d\n" % (b"0" * 300 + b"1.5" if i % 5 == 0 else b"01.50", i % 7, i % 3) for i in range(50))
+    (tmp_path / "n.csv").write_bytes(b"real,whole,text\n" + rows + b"1.5,007,\n")
+    source = csv_source(spark, str(tmp_path))
+    assert source.counted is not None
+    counts = sorted(map(tuple, source.raw_counts().join(source.columns(), "column_id").select("column_name", "v", "n").collect()), key=repr)
+    cells = source.cells.join(source.columns().select("column_id", "column_name"), "column_id").groupBy("column_name", "v").count()
+    assert counts == sorted(map(tuple, cells.collect()), key=repr)
+    assert ("real", "1.5", 51) in counts and ("whole", "7", 1) in counts and ("text", None, 1) in counts
