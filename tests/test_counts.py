@@ -1,12 +1,15 @@
 """Value counts by storage kind, and what is cut before it is sorted."""
 
 import datetime
+import hashlib
 
 from pyspark.sql import functions as F
 
 from tablescout import TableSource, profile
 from tablescout.functions.text import with_word_stats
 from tablescout.operators import counts as c
+from tablescout.operators import profile as p
+from tablescout.operators import sketch
 
 TEXTS = ["", " ", "A b", "a b ", "x" * 256, "X" * 257, "y z" * 100, None, "1.0", "-7"]
 
@@ -71,3 +74,40 @@ def test_numbers_are_one_word(spark):
     assert {r["words"] for r in rows.where("i is not null or d is not null").collect()} == {1}
     again = with_word_stats(rows.drop(*c.WORD_STATS), "v").select(rows.columns)
     assert sorted(map(repr, again.collect())) == sorted(map(repr, rows.collect()))
+
+
+def test_first_numbers_need_no_sort_of_all(spark):
+    """Of 20,000 numbers of a column that tie, few are sorted, and they are the first by frequency and size."""
+    tied = spark.range(20_000).selectExpr("1L as column_id", "'numeric' as type_class", "pmod(hash(id), 1000003) + 0L as i", "cast(null as double) as d", "7L as n")
+    mixed = spark.range(3_000).selectExpr(
+        "2L as column_id", "'numeric' as type_class", "cast(null as bigint) as i", "(id * 37 % 3001) / 4 as d", "if(id < 4, 9L, if(id < 9, 8L, 3L)) as n")
+    few = spark.range(3).selectExpr("3L as column_id", "'numeric' as type_class", "id as i", "cast(null as double) as d", "id + 1 as n")
+    rest = spark.range(50).selectExpr(
+        "4L as column_id", "'numeric' as type_class", "if(id % 2 = 0, id, null) as i", "if(id % 2 = 1, if(id = 7, double('nan'), id + 0.5), null) as d", "5L as n")
+    numbers = tied.distinct().unionByName(mixed).unionByName(few).unionByName(rest)
+    kept = p._may_lead(numbers, p.TOP_VALUES)
+    # Two kinds of numbers in a column are cut by themselves, and 64 parts seldom hide many of the first ten.
+    assert kept.count() < 150
+    order = [F.col("n").desc(), F.col("i"), F.col("d")]
+
+    def first(df):
+        return sorted(map(repr, c.top_per_group(df.select("column_id", "n", "i", "d"), ["column_id"], order, p.TOP_VALUES, rank="r").collect()))
+
+    assert first(kept) == first(numbers)
+
+
+def test_sketches_sort_few_hashes(spark, monkeypatch):
+    """Columns whose values merge, and bounds that leave too few hashes, give the same sketches."""
+    words = [f"{'K' if i % 3 else 'k'}ey {i // 2}{' ' * (i % 2)}" for i in range(3_000)]
+    df = spark.createDataFrame([(i, w, "z" * 300 + str(i % 40)) for i, w in enumerate(words)], "i bigint, s string, long string")
+    raw = profile(TableSource({"t": df})).raw_counts
+
+    def hashes(values):
+        return sorted({hashlib.md5(v.strip().lower().encode()).hexdigest()[:16] for v in values})
+
+    all_of = [hashes(map(str, range(3_000))), hashes(words), hashes({"z" * 300 + str(i) for i in range(40)})]
+    want = sorted((h[:128], len(h)) for h in all_of)
+    assert sorted((r["sig"], r["n"]) for r in sketch.minhash(raw).collect()) == want
+    # A bound that leaves some 28 hashes of each column.
+    monkeypatch.setattr(sketch, "MARGIN", -100)
+    assert sorted((r["sig"], r["n"]) for r in sketch.minhash(raw).collect()) == want
