@@ -8,10 +8,11 @@ Texts are sets of hashed five-word shingles; two link at a Jaccard similarity of
    its first |s| - ceil(p|s|) + 1 that is among the first |s| - ceil(2p/(1+p)|s|) + 1 of the other, its index tokens. The matrix holds (token,
    group) for the unions of the groups' first tokens, with the least and the largest size of the members that have them. A group comes into
    question for a class that shares an index token of a member with it, if that member's size fits and is no larger.
-3. Bound. For a class and a group in question, the first tokens it shares with the group's union bound its overlap with every such
+3. Bound. A group of one class in question is compared with by lists of marks of both classes' first tokens, one row a pair. For a larger
+   group, the first tokens that the class shares with the group's union bound its overlap with every such
    member; sizes say how many a link needs. Only groups that reach the bound are opened, member by member under the same bound.
-4. Opened pairs are decided exactly. The member of each opened group that shares most of the class's rarest tokens comes first; the others are
-   only counted and compared where that one does not settle that the class and the group are connected.
+4. Pairs that the bound leaves are decided exactly, on whole sets made of both texts. A member of each opened group that shares the class's rarest
+   tokens comes first; the others are only counted and compared where that one does not settle that the class and the group are connected.
 
 Copies and near copies are thus compared with their group's leader, not with each other, and every link between
 groups is found: the result is the same as that of comparing all pairs.
@@ -19,7 +20,7 @@ groups is found: the result is the same as that of comparing all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,19 +30,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescout.llm.arrow_text import bound_batches, map_texts, slices, utf8
-from tablescout.llm.bitmap import bitmap_of, holds, place, places_of
+from tablescout.llm.bitmap import BITS, bitmap_of, holds, place, places_of
 from tablescout.llm.components import components, relabelled, roots
 from tablescout.llm.words import distinct, mix, shingles, words
 from tablescout.workspace import drop_written, materialize
 
 MINHASHES = 6
 LEAST_SHARED = 2
-# Tokens by which the nearest member of an opened group is chosen.
+# Tokens by which a near member of an opened group is chosen.
 NEAR_TOKENS = 2
+# Of the members of a group that have one of those tokens, so many are tried before all are counted.
+NEAR_MEMBERS = 8
 # Tokens counted together in a task, how often one must occur there to be told, and how many told tokens travel to the tasks at most.
 COUNTED_AT_ONCE = 2_000_000
 FREQUENT = 3
 MOST_FREQUENT = 1 << 20
+# First tokens that a task deals out at once, and the ranges of the bitmap's places that they go to (2^10 of 2^16 places).
+DEALT_AT_ONCE = 1 << 20
+RANGE_BITS = 16
 _SALTS = mix(np.arange(1, MINHASHES + 3, dtype=np.uint64))
 
 
@@ -136,14 +142,18 @@ _CLASSES = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()),
     T.StructField("minhashes", T.ArrayType(T.LongType())),
 ])
-_FIRST = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
-_TOKENS = T.StructType([T.StructField("id", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
+_LISTS = T.StructType([
+    T.StructField("id", T.LongType()), T.StructField("n", T.LongType()),
+    T.StructField("index_tokens", T.ArrayType(T.LongType())), T.StructField("tokens", T.ArrayType(T.LongType())),
+])
+_MARKS = T.StructType([T.StructField("range", T.IntegerType()), T.StructField("marks", T.ArrayType(T.IntegerType()))])
+_BITS = T.StructType([T.StructField("range", T.IntegerType()), T.StructField("bits", T.BinaryType())])
 
 
 def _list_array(flat: np.ndarray, lengths: np.ndarray) -> pa.Array:
     offsets = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(f"i{flat.itemsize}")))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -174,53 +184,111 @@ def _describe(texts: DataFrame) -> DataFrame:
     return map_texts(texts, "text", rows, _CLASSES)
 
 
-def _only(texts: DataFrame, ids: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
-    """Map the texts whose id is in `ids`. A bitmap tells them, so a few others come along."""
-    bitmap = texts.sparkSession.sparkContext.broadcast(bitmap_of(ids.select(place(F.xxhash64("id")).alias("p")), "p"))
+def _places(ids: DataFrame) -> np.ndarray:
+    return bitmap_of(ids.select(place(F.xxhash64("id")).alias("p")), "p")
 
-    def chosen(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        at = np.flatnonzero(holds(bitmap.value, part.column("p").to_numpy(zero_copy_only=False)))
-        if len(at):
-            yield from rows(part.take(pa.array(at)))
 
-    return map_texts(texts.select("id", place(F.xxhash64("id")).alias("p"), "text"), "text", chosen, schema)
+def _first_tokens(part: pa.RecordBatch, order: TokenOrder, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Set sizes, all first tokens, and how many of them each text has."""
+    tokens, bounds = _sets(part)
+    n = np.diff(bounds)
+    first = [order.first(tokens[bounds[i] : bounds[i + 1]], int(k) - _needed(int(k), percent) + 1) for i, k in enumerate(n)]
+    return n, np.concatenate(first), np.array([len(x) for x in first], np.int64)
 
 
-def _first_tokens(texts: DataFrame, heads: DataFrame, order: TokenOrder, percent: int) -> DataFrame:
-    """Each class's set size and first tokens. They are as large as a seventh of the texts, so they are made again where they are needed."""
-    shared = texts.sparkSession.sparkContext.broadcast(order)
+def _repeated_in_range(dealt: pa.Table) -> pa.Table:
+    """The bits of one range of places, set where a mark occurs more than once."""
+    marks = np.sort(dealt.column("marks").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint32))
+    bits = np.zeros(1 << RANGE_BITS, bool)
+    bits[marks[1:][marks[1:] == marks[:-1]] & np.uint32((1 << RANGE_BITS) - 1)] = True
+    return pa.table({"range": dealt.column("range").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()])})
 
-    def rows(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        tokens, bounds = _sets(part)
-        n = np.diff(bounds)
-        order = shared.value
-        first = [
-            order.first(tokens[bounds[i] : bounds[i + 1]], int(k) - _needed(int(k), percent) + 1) for i, k in enumerate(n)]
-        yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), _lists(first)], names=_FIRST.names)
 
-    return _only(texts, heads, rows, _FIRST).filter("id is not null and n > 0")
+def _listed(texts: DataFrame, heads: DataFrame, order: TokenOrder, percent: int) -> DataFrame:
+    """(id, n, index_tokens, tokens): each class's set size and those of its first tokens that other classes may have, index tokens apart.
+
+    First tokens are as large as a seventh of the texts, so they are made twice: 32 bits of each go to the range of its place, where repeated ones
+    set a bit, then those whose bit is set are listed. Bits set by chance only cost time.
+    """
+    spark = texts.sparkSession
+    chosen, known = spark.sparkContext.broadcast(_places(heads)), spark.sparkContext.broadcast(order)
+    rows = texts.filter("id is not null").select("id", place(F.xxhash64("id")).alias("p"), "text")
+    bound_batches(spark)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.flatnonzero(holds(chosen.value, batch.column("p").to_numpy(zero_copy_only=False)))
+            if len(at):
+                yield from slices(batch.take(pa.array(at)), "text")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        n = 0
+
+        def dealt() -> pa.RecordBatch:
+            marks = np.concatenate(held)
+            ranges = ((marks & np.uint32((1 << BITS) - 1)) >> np.uint32(RANGE_BITS)).astype(np.uint16)
+            counts = np.bincount(ranges, minlength=1 << (BITS - RANGE_BITS))
+            full = np.flatnonzero(counts)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(full.astype(np.int32)), _list_array(marks[np.argsort(ranges, kind="stable")], counts[full])], names=_MARKS.names)
+
+        for part in parts(batches):
+            held.append(_first_tokens(part, known.value, percent)[1].astype(np.uint32))
+            n += len(held[-1])
+            if n > DEALT_AT_ONCE:
+                yield dealt()
+                held, n = [], 0
+        if n:
+            yield dealt()
+
+    bits = rows.mapInArrow(deal, _MARKS).groupBy("range").applyInArrow(_repeated_in_range, _BITS).toArrow()
+    repeated = np.zeros((1 << (BITS - RANGE_BITS), 1 << (RANGE_BITS - 3)), np.uint8)
+    for k, part in zip(bits.column("range").to_pylist(), bits.column("bits").to_pylist()):
+        repeated[k] = np.frombuffer(part, np.uint8)
+    bitmap = spark.sparkContext.broadcast(repeated.reshape(-1))
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches):
+            n, tokens, held = _first_tokens(part, known.value, percent)
+            of = np.repeat(np.arange(len(n)), held)
+            at = np.arange(len(tokens)) - np.repeat(np.cumsum(held) - held, held)
+            hit = holds(bitmap.value, places_of(tokens))
+            indexed = at < _index_tokens(n, percent)[of]
+            split = [_list_array(tokens[of_kind], np.bincount(of[of_kind], minlength=len(n))) for of_kind in (hit & indexed, hit & ~indexed)]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), *split], names=_LISTS.names)
+
+    return rows.mapInArrow(lists, _LISTS).filter("size(index_tokens) + size(tokens) > 0")
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets link. Sets are made only of texts that stand in a pair."""
+    """The pairs (a, b) whose whole sets link. Texts travel, as they are smaller than their sets; only those that stand in a pair do."""
     pairs = _kept(pairs)
     if pairs.isEmpty():
         return pairs
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    bound_batches(texts.sparkSession)
+    bitmap = texts.sparkSession.sparkContext.broadcast(_places(pairs.select(F.explode(F.array("a", "b")).alias("id"))))
 
-    def rows(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        tokens, bounds = _sets(part)
-        yield pa.RecordBatch.from_arrays(
-            [part.column("id"), _lists([tokens[a:b] for a, b in zip(bounds[:-1], bounds[1:])])], names=_TOKENS.names)
-
-    sets = _kept(_only(texts, ids, rows, _TOKENS))
-    left, right = (sets.select(F.col("id").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
-    shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    union = F.size("tokens_a") + F.size("tokens_b") - F.col("shared")
-    linked = materialize(
-        pairs.join(left, "a").join(right, "b").withColumn("shared", shared)
-        .filter(F.col("shared") * 100 >= F.lit(percent) * union).select("a", "b").distinct(), "links")
-    sets.unpersist()
+    @F.arrow_udf("boolean")
+    def stands_in_a_pair(places: pa.Array) -> pa.Array:
+        return pa.array(holds(bitmap.value, places.to_numpy(zero_copy_only=False)))
+
+    def linking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                tokens_a, bounds_a = _sets(part)
+                tokens_b, bounds_b = distinct(*shingles(words(*utf8(part.column("other_text")), lower=True)))
+                linked = []
+                for i in range(len(part)):
+                    a, b = tokens_a[bounds_a[i] : bounds_a[i + 1]], tokens_b[bounds_b[i] : bounds_b[i + 1]]
+                    shared = len(np.intersect1d(a, b, assume_unique=True))
+                    if len(a) and len(b) and 100 * shared >= percent * (len(a) + len(b) - shared):
+                        linked.append(i)
+                yield part.select(["a", "b"]).take(pa.array(linked, pa.int64()))
+
+    some = texts.filter(stands_in_a_pair(place(F.xxhash64("id"))))
+    both = pairs.join(some.withColumnRenamed("id", "a"), "a").join(some.select(F.col("id").alias("b"), F.col("text").alias("other_text")), "b")
+    linked = materialize(both.select("a", "b", "text", "other_text").mapInArrow(linking, "a long, b long").distinct(), "links")
     pairs.unpersist()
     return linked
 
@@ -250,79 +318,65 @@ def _fits(q: Column, low: Column, high: Column, percent: int) -> Column:
     return (low <= q) & (high * 100 >= q * percent)
 
 
-def _matrix(shared: DataFrame) -> DataFrame:
+def _matrix(rows: DataFrame) -> DataFrame:
     """(token, other, low, high, held): the unions of the groups' tokens, sizes and number of the members that have them."""
-    return shared.groupBy("token", F.col("group").alias("other")).agg(
+    return rows.groupBy("token", F.col("group").alias("other")).agg(
         F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("held"))
 
 
-def _opened(members: DataFrame, heads: DataFrame, groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The first tokens that several groups have (token, id, n, indexed, group), and (id, other, enough): the groups to open for a class. Of the
-    tokens it shares with a group, any `enough` have one of each member that may link."""
-    repeated = members.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    bitmap = members.sparkSession.sparkContext.broadcast(bitmap_of(repeated.select(place("token").alias("p")), "p"))
+def _first_rows(listed: DataFrame) -> DataFrame:
+    """A row for each first token of each class, index tokens or not."""
+    return listed.withColumn("token", F.explode(F.concat("index_tokens", "tokens"))).drop("index_tokens", "tokens")
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("tokens")
-            tokens = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            n, held = (x.to_numpy(zero_copy_only=False) for x in (batch.column("n"), lists.value_lengths()))
-            of = np.repeat(np.arange(len(batch)), held)
-            at = np.arange(len(tokens)) - np.repeat(np.cumsum(held) - held, held)
-            hit = holds(bitmap.value, places_of(tokens))
-            indexed = at < _index_tokens(n, percent)[of]
-            split = [_list_array(tokens[of_kind], np.bincount(of[of_kind], minlength=len(batch))) for of_kind in (hit & indexed, hit & ~indexed)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), *split], names=["id", "n", "index_tokens", "tokens"])
 
-    # Lists are joined with their classes and groups; tokens become rows only for the shuffles by token.
-    listed = materialize(
-        members.mapInArrow(rows, "id long, n long, index_tokens array<long>, tokens array<long>").filter("size(index_tokens) + size(tokens) > 0")
-        .join(heads.select("id", "n"), ["id", "n"]).join(groups.withColumnRenamed("node", "id"), "id", "left")
-        .withColumn("group", F.coalesce("component", "id")).drop("component"), "listed")
-    of_one = ["id", "n", "group"]
-    grouped = listed.select(*of_one, F.explode("index_tokens").alias("token"), F.lit(True).alias("indexed")).unionByName(
-        listed.select(*of_one, F.explode("tokens").alias("token"), F.lit(False).alias("indexed")))
-    several = grouped.groupBy("token").agg(F.min("group").alias("g1"), F.max("group").alias("g2")).filter("g1 < g2").select("token")
-    shared = materialize(grouped.join(several, "token"), "shared")
-    drop_written(listed)
+def _in_question(listed: DataFrame, percent: int) -> DataFrame:
+    """(id, other, alone): the groups in question for a class, and whether they are of one class."""
+    index = listed.select("n", "group", "alone", F.explode("index_tokens").alias("token")).groupBy(
+        "token", F.col("group").alias("other"), "alone").agg(F.min("n").alias("low"), F.max("n").alias("high")).alias("m")
+    q = _first_rows(listed.drop("alone")).alias("q")
+    open_to = (F.col("group") != F.col("other")) & _fits(F.col("q.n"), F.col("low"), F.col("high"), percent)
+    return q.join(index, (F.col("q.token") == F.col("m.token")) & open_to).select("id", "other", "alone").distinct()
+
+
+def _bounded(listed: DataFrame, in_question: DataFrame, percent: int) -> DataFrame:
+    """(id, n, other, overlap): the groups of several classes to open for a class, and how many tokens it shares with each. A class meets a group by all its tokens only here, where the pair is known: as many rows as it has tokens, at most."""
     q, low, high = F.col("n"), F.col("low"), F.col("high")
-    index = _matrix(shared.filter("indexed")).alias("m")
-    open_to = (F.col("group") != F.col("other")) & _fits(q, low, high, percent)
-    in_question = shared.alias("q").join(index, (F.col("q.token") == F.col("m.token")) & open_to).select("id", "other").distinct()
-    # A class meets a group by all its tokens only here, where the pair is known: as many rows as it has tokens, at most.
-    met = in_question.join(shared.select("id", "n", "token"), "id").join(_matrix(shared), ["token", "other"]).filter(_fits(q, low, high, percent))
+    met = _first_rows(in_question.select("id", "other").join(listed.drop("group", "alone"), "id")).join(
+        _matrix(_first_rows(listed.filter("not alone"))), ["token", "other"]).filter(_fits(q, low, high, percent))
     overlaps = met.groupBy("id", "n", "other").agg(F.count("*").alias("overlap"), F.min("low").alias("low"))
     bound = F.greatest(F.lit(1), _least_shared(q, F.greatest(low, F.ceil(q * percent / 100).cast("long")), percent))
-    bounded = overlaps.filter(F.col("overlap") >= bound).select("id", "other", (F.col("overlap") - bound + 1).alias("enough"))
-    return shared, materialize(bounded, "bounded")
+    return overlaps.filter(F.col("overlap") >= bound).select("id", "n", "other", "overlap")
 
 
-def _member_pairs(shared: DataFrame, bounded: DataFrame, percent: int, n_tokens: int | None = None) -> DataFrame:
+def _member_pairs(listed: DataFrame, bounded: DataFrame, percent: int, n_tokens: int | None = None) -> DataFrame:
     """(a, n_a, b, n_b, other, n): classes a and members b of the groups opened for them that have n tokens in common, b no larger than a.
 
-    Of the tokens that a shares with the group, those are looked at that fewest of its members have: as many as are enough for every
-    member that may link, or `n_tokens`.
+    A link needs so many of the tokens that a shares with the group that any `overlap` less that number plus 1 have one of b's. Those are looked at
+    that fewest members have; or only `n_tokens` of them, and NEAR_MEMBERS of the members that have each.
     """
-    mine = shared.select(F.col("id").alias("a"), F.col("n").alias("n_a"), "token").join(
-        bounded.select(F.col("id").alias("a"), "other", "enough"), "a")
-    rarest = F.row_number().over(Window.partitionBy("a", "other").orderBy("held", "token"))
-    limit = F.col("enough") if n_tokens is None else F.lit(n_tokens)
-    mine = mine.join(_matrix(shared), ["token", "other"]).filter(_fits(F.col("n_a"), F.col("low"), F.col("high"), percent))
-    mine = mine.withColumn("r", rarest).filter(F.col("r") <= limit).select("a", "n_a", "token", "other")
-    theirs = shared.select(F.col("id").alias("b"), F.col("n").alias("n_b"), "token", F.col("group").alias("other"))
-    theirs, size = theirs.withColumnsRenamed({"token": "t", "other": "o"}), F.col("n_b")
-    return mine.join(theirs, (F.col("token") == F.col("t")) & (F.col("other") == F.col("o")) & _fits(F.col("n_a"), size, size, percent)).groupBy(
+    mine = _first_rows(bounded.join(listed.drop("group", "alone"), ["id", "n"])).withColumnsRenamed({"id": "a", "n": "n_a"})
+    of_groups = _first_rows(listed.filter("not alone"))
+    rarest = F.row_number().over(Window.partitionBy("a", "n_a", "other").orderBy("held", "token"))
+    mine = mine.join(_matrix(of_groups), ["token", "other"]).filter(_fits(F.col("n_a"), F.col("low"), F.col("high"), percent))
+    mine = mine.withColumn("r", rarest).select("a", "n_a", "token", "other", "overlap", "r")
+    theirs, size = of_groups.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("token").alias("t"), F.col("group").alias("o")), F.col("n_b")
+    if n_tokens is not None:
+        mine = mine.filter(F.col("r") <= n_tokens)
+        theirs = theirs.withColumn("k", F.row_number().over(Window.partitionBy("t", "o").orderBy("b"))).filter(F.col("k") <= NEAR_MEMBERS).drop("k")
+    needed = F.greatest(F.lit(1), _least_shared(F.col("n_a"), size, percent))
+    may = _fits(F.col("n_a"), size, size, percent) & (F.col("r") <= F.col("overlap") - needed + 1)
+    return mine.join(theirs, (F.col("token") == F.col("t")) & (F.col("other") == F.col("o")) & may).groupBy(
         "a", "n_a", "b", "n_b", "other").agg(F.count("*").alias("n"))
 
 
-def _may_link(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
-    """The pairs that all common first tokens leave open."""
-    tokens = shared.groupBy("id").agg(F.collect_set("token").alias("tokens"))
-    return (
-        pairs.join(tokens.select(F.col("id").alias("a"), F.col("tokens").alias("tokens_a")), "a")
-        .join(tokens.select(F.col("id").alias("b"), F.col("tokens").alias("tokens_b")), "b")
-        .filter(F.size(F.array_intersect("tokens_a", "tokens_b")) >= _least_shared(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
-    )
+def _may_link(pairs: DataFrame, listed: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that all common first tokens leave open. Tokens are compared by 31 bits, which count none too few."""
+    marks = listed.select("id", "n", F.transform(F.concat("index_tokens", "tokens"), lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")).alias("m"))
+    a, b = (marks.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("m").alias(f"m_{x}")) for x in "ab")
+    # Equal marks of one class are counted once by the intersection.
+    shared = F.size(F.array_intersect("m_a", "m_b")) + F.size("m_a") - F.size(F.array_distinct("m_a"))
+    needed = _least_shared(F.greatest("n_a", "n_b"), F.least("n_a", "n_b"), percent)
+    return pairs.join(a, "a").join(b, "b").filter(shared >= F.greatest(F.lit(1), needed)).select("a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 75) -> DataFrame:
@@ -342,7 +396,13 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     classes = members.select("id", *of_class, "minhashes").join(heads, ["id", *of_class]).distinct()
     leading = _verified(texts, _leaders(classes), percent)
     groups = roots(leading)
-    shared, bounded = _opened(_first_tokens(texts, heads, TokenOrder.of(texts), percent), heads, groups, percent)
+    # Lists are joined with their classes and groups; tokens become rows only for the shuffles by token.
+    listed = materialize(
+        _listed(texts, heads, TokenOrder.of(texts), percent).join(heads.select("id", "n"), ["id", "n"])
+        .join(groups.withColumnRenamed("node", "id"), "id", "left")
+        .select("id", "n", F.coalesce("component", "id").alias("group"), F.isnull("component").alias("alone"), "index_tokens", "tokens"), "listed")
+    in_question = materialize(_in_question(listed, percent), "question")
+    bounded = materialize(_bounded(listed, in_question.filter("not alone"), percent), "bounded")
     labels = [groups]
 
     def merge(links: DataFrame) -> None:
@@ -356,14 +416,17 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     def unsettled() -> DataFrame:
         """Opened groups that are not in one component with the class."""
         ends = bounded.withColumns({"ca": F.col("id"), "cb": F.col("other")})
-        return relabelled(relabelled(ends, "ca", labels), "cb", labels).filter("ca <> cb").select("id", "other", "enough")
+        return relabelled(relabelled(ends, "ca", labels), "cb", labels).filter("ca <> cb").select("id", "n", "other", "overlap")
 
-    near = _member_pairs(shared, bounded, percent, NEAR_TOKENS)
-    merge(links_of(near.groupBy("a", "other").agg(F.max(F.struct("n", "b")).alias("best")).select("a", "best.b")))
+    near = _member_pairs(listed, bounded, percent, NEAR_TOKENS).groupBy("a", "other").agg(F.max(F.struct("n", "b")).alias("best"))
+    first_tried = materialize(_may_link(
+        in_question.filter("alone").select(F.col("id").alias("a"), F.col("other").alias("b")).unionByName(near.select("a", "best.b")), listed, percent), "tried")
+    merge(links_of(first_tried))
     open_still = materialize(unsettled(), "open")
     if not open_still.isEmpty():
-        merge(links_of(_may_link(_member_pairs(shared, open_still, percent), shared, percent)))
-    for done in (leading, shared, bounded, open_still):
+        members_tried = _member_pairs(listed, open_still, percent).select("a", "b").join(first_tried, ["a", "b"], "left_anti")
+        merge(links_of(_may_link(members_tried, listed, percent)))
+    for done in (leading, listed, in_question, bounded, first_tried, open_still):
         drop_written(done)
     labelled = relabelled(firsts.withColumnRenamed("class", "component"), "component", labels)
     rows = described.select("id", *of_class).join(labelled, of_class, "left")
