@@ -24,16 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import Broadcast, StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescout.llm.arrow_text import bound_batches, map_texts, slices, utf8
 from tablescout.llm.bitmap import BITS, bitmap_of, holds, place, places_of
-from tablescout.llm.components import components, relabelled, roots
+from tablescout.llm.components import relabelled, roots, stars
 from tablescout.llm.words import distinct, mix, shingles, words
-from tablescout.workspace import drop_written, materialize
+from tablescout.workspace import drop_written, materialize, materialize_told
 
 MINHASHES = 6
 LEAST_SHARED = 2
@@ -51,11 +51,6 @@ RANGE_BITS = 16
 _SALTS = mix(np.arange(1, MINHASHES + 3, dtype=np.uint64))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """What is read more than once stays on the executors' disks. It keeps its lineage, so what a lost executor held is made again."""
-    return df.persist(StorageLevel.DISK_ONLY)
-
-
 def _sets(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """The rising distinct shingles of each text, and bounds."""
     return distinct(*shingles(words(*utf8(part.column("text")), lower=True)))
@@ -112,9 +107,9 @@ class TokenOrder:
         The most frequent levels are kept that have MOST_FREQUENT tokens at most in total.
         """
         bound_batches(texts.sparkSession)
-        counted = _kept(
+        counted = (
             texts.select("text").mapInArrow(_count_frequent, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-            .withColumn("level", F.floor(F.log2("n")).cast("int")))
+            .withColumn("level", F.floor(F.log2("n")).cast("int")).persist(StorageLevel.DISK_ONLY))
         sizes = {r["level"]: r["n"] for r in counted.groupBy("level").agg(F.count("*").alias("n")).collect()}
         least, total = 64, 0
         for level in sorted(sizes, reverse=True):
@@ -123,6 +118,7 @@ class TokenOrder:
                 break
             least = level
         kept = counted.filter(F.col("level") >= least).select("token", "level").toArrow()
+        counted.unpersist()
         return cls(kept.column("token").to_numpy().view(np.uint64).copy(), kept.column("level").to_numpy().astype(np.int64))
 
     def first(self, tokens: np.ndarray, n: int) -> np.ndarray:
@@ -204,11 +200,11 @@ def _repeated_in_range(dealt: pa.Table) -> pa.Table:
     return pa.table({"range": dealt.column("range").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()])})
 
 
-def _listed(texts: DataFrame, heads: DataFrame, order: TokenOrder, percent: int) -> DataFrame:
+def _listed(texts: DataFrame, heads: DataFrame, order: TokenOrder, percent: int, sent: list[Broadcast] | None = None) -> DataFrame:
     """(id, n, index_tokens, tokens): each class's set size and those of its first tokens that other classes may have, index tokens apart.
 
     First tokens are as large as a seventh of the texts, so they are made twice: 32 bits of each go to the range of its place, where repeated ones
-    set a bit, then those whose bit is set are listed. Bits set by chance only cost time.
+    set a bit, then those whose bit is set are listed. Bits set by chance only cost time. `sent` gets the broadcasts that can go once the rows are written.
     """
     spark = texts.sparkSession
     chosen, known = spark.sparkContext.broadcast(_places(heads)), spark.sparkContext.broadcast(order)
@@ -247,6 +243,8 @@ def _listed(texts: DataFrame, heads: DataFrame, order: TokenOrder, percent: int)
     for k, part in zip(bits.column("range").to_pylist(), bits.column("bits").to_pylist()):
         repeated[k] = np.frombuffer(part, np.uint8)
     bitmap = spark.sparkContext.broadcast(repeated.reshape(-1))
+    if sent is not None:
+        sent += [chosen, known, bitmap]
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches):
@@ -263,8 +261,8 @@ def _listed(texts: DataFrame, heads: DataFrame, order: TokenOrder, percent: int)
 
 def _verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets link. Texts travel, as they are smaller than their sets; only those that stand in a pair do."""
-    pairs = _kept(pairs)
-    if pairs.isEmpty():
+    pairs, told = materialize_told(pairs, "pairs", F.count("*").alias("n"))
+    if not told["n"]:
         return pairs
     bound_batches(texts.sparkSession)
     bitmap = texts.sparkSession.sparkContext.broadcast(_places(pairs.select(F.explode(F.array("a", "b")).alias("id"))))
@@ -289,7 +287,8 @@ def _verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     some = texts.filter(stands_in_a_pair(place(F.xxhash64("id"))))
     both = pairs.join(some.withColumnRenamed("id", "a"), "a").join(some.select(F.col("id").alias("b"), F.col("text").alias("other_text")), "b")
     linked = materialize(both.select("a", "b", "text", "other_text").mapInArrow(linking, "a long, b long").distinct(), "links")
-    pairs.unpersist()
+    bitmap.destroy()
+    drop_written(pairs)
     return linked
 
 
@@ -387,28 +386,34 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     has a null component. An empty table gives no rows.
     """
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    described = _kept(_describe(texts))
-    members = described.filter("id is not null and n > 0")
+    # Tables are written where they are read again, not kept with their lineage: the driver holds and tells the whole plan of a kept table
+    # with each plan that reads it.
+    described = materialize(_describe(texts), "described")
     of_class = ["n", "s1", "s2"]
-    first = members.groupBy(*of_class).agg(F.min("id").alias("class"))
-    firsts = _kept(first)
-    heads = firsts.select(F.col("class").alias("id"), *of_class)
-    classes = members.select("id", *of_class, "minhashes").join(heads, ["id", *of_class]).distinct()
+    # Copies have the same MinHash values.
+    each = [f"m{k}" for k in range(MINHASHES)]
+    classes = materialize(
+        described.filter("id is not null and n > 0").groupBy(*of_class)
+        .agg(F.min("id").alias("id"), *(F.min(F.col("minhashes")[k]).alias(name) for k, name in enumerate(each)))
+        .select("id", *of_class, F.array(*each).alias("minhashes")), "classes")
+    heads = classes.select("id", *of_class)
     leading = _verified(texts, _leaders(classes), percent)
     groups = roots(leading)
     # Lists are joined with their classes and groups; tokens become rows only for the shuffles by token.
+    sent: list[Broadcast] = []
     listed = materialize(
-        _listed(texts, heads, TokenOrder.of(texts), percent).join(heads.select("id", "n"), ["id", "n"])
+        _listed(texts, heads, TokenOrder.of(texts), percent, sent).join(heads.select("id", "n"), ["id", "n"])
         .join(groups.withColumnRenamed("node", "id"), "id", "left")
         .select("id", "n", F.coalesce("component", "id").alias("group"), F.isnull("component").alias("alone"), "index_tokens", "tokens"), "listed")
+    for done in sent:
+        done.destroy()
     in_question = materialize(_in_question(listed, percent), "question")
     bounded = materialize(_bounded(listed, in_question.filter("not alone"), percent), "bounded")
     labels = [groups]
 
     def merge(links: DataFrame) -> None:
         """Components of the graph whose nodes are the components so far."""
-        between = relabelled(relabelled(links, "a", labels), "b", labels).filter("a <> b").distinct()
-        labels.append(components(between))
+        labels.append(stars(relabelled(relabelled(links, "a", labels), "b", labels)))
 
     def links_of(pairs: DataFrame) -> DataFrame:
         return _verified(texts, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), percent)
@@ -422,13 +427,13 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     first_tried = materialize(_may_link(
         in_question.filter("alone").select(F.col("id").alias("a"), F.col("other").alias("b")).unionByName(near.select("a", "best.b")), listed, percent), "tried")
     merge(links_of(first_tried))
-    open_still = materialize(unsettled(), "open")
-    if not open_still.isEmpty():
+    open_still, told = materialize_told(unsettled(), "open", F.count("*").alias("n"))
+    if told["n"]:
         members_tried = _member_pairs(listed, open_still, percent).select("a", "b").join(first_tried, ["a", "b"], "left_anti")
         merge(links_of(_may_link(members_tried, listed, percent)))
     for done in (leading, listed, in_question, bounded, first_tried, open_still):
         drop_written(done)
-    labelled = relabelled(firsts.withColumnRenamed("class", "component"), "component", labels)
+    labelled = relabelled(heads.withColumnRenamed("id", "component"), "component", labels)
     rows = described.select("id", *of_class).join(labelled, of_class, "left")
     return rows.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 

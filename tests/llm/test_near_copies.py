@@ -1,6 +1,7 @@
 """Jaccard components, repeated passages and leaks, each against brute force."""
 
 import hashlib
+import os
 import random
 from collections import Counter
 
@@ -11,7 +12,7 @@ import pytest
 from tablescout.llm import jaccard as J
 from tablescout.llm import leaks as K
 from tablescout.llm import repeats as R
-from tablescout.llm.components import components
+from tablescout.llm.components import components, stars
 from tablescout.llm.queries import QUERIES
 from tablescout.llm.arrow_text import utf8
 from tablescout.llm.words import words
@@ -136,6 +137,24 @@ def test_no_pair_is_verified_twice_after_the_leaders(spark, monkeypatch):
     assert len(tried) == len(set(tried))
 
 
+def test_nothing_stays_with_the_driver(spark, near_copies, monkeypatch):
+    """Before, three kept tables (which every plan that read them told in full) and all broadcasts stayed until the driver collected its garbage."""
+    sent, context = [], spark.sparkContext
+    send = context.broadcast
+
+    def noted(value):
+        sent.append(send(value))
+        return sent[-1]
+
+    monkeypatch.setattr(context, "broadcast", noted)
+    kept = set(context._jsc.getPersistentRDDs().keySet())
+    out = J.jaccard_components(table(spark, near_copies))
+    assert set(context._jsc.getPersistentRDDs().keySet()) <= kept
+    assert len(sent) >= 5 and not any(os.path.exists(b._path) for b in sent)
+    assert "InMemoryTableScan" not in out._jdf.queryExecution().toString()
+    assert {r["id"]: r["component_id"] for r in out.collect()} == brute_components(near_copies)
+
+
 def test_tokens_of_several_texts_are_listed(spark, near_copies):
     """Of the first tokens of all sets, those that two sets have are listed; others only by chance of 32 bits and their place."""
     texts = table(spark, near_copies).selectExpr("doc_id id", "text")
@@ -167,6 +186,8 @@ def test_connected_components(spark):
                 root[a] = root[b] = min(root[a], root[b])
     assert got == root
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    leaves = {x["node"]: x["component"] for x in stars(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert leaves == {n: c for n, c in root.items() if n != c}
 
 
 def test_hashes_tell_words_apart():
