@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -28,7 +29,7 @@ from tablescout.llm.arrow_text import append_columns
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 # Distinct words whose ids a task keeps from slice to slice. Beyond it those of the last slice stay; results do not depend on it.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 300_000
 
 _WORD = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -51,7 +52,8 @@ class PieceVocabulary:
         by_id = {i: bytes([b]) for b, i in byte_ids.items()}
         self.bytes_of = [by_id.get(i, b"" if i in special else p.encode()) for i, p in enumerate(pieces)]
         self._stable: dict[tuple[str, str], bool] = {}
-        self._ids: dict[str, tuple[int, ...]] = {}
+        # As the bytes of 32-bit numbers, which are joined as they are.
+        self._ids: dict[str, bytes] = {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_stable": {}, "_ids": {}}
@@ -123,12 +125,12 @@ class PieceVocabulary:
             yield word, pieces
             before = word
 
-    def _ids_of(self, pieces: list[str]) -> tuple[int, ...]:
+    def _ids_of(self, pieces: list[str]) -> bytes:
         try:
-            return tuple([self.id_of[p] for p in pieces])
+            return array("i", [self.id_of[p] for p in pieces]).tobytes()
         except KeyError:
-            return tuple(chain.from_iterable(
-                (self.id_of[p],) if p in self.id_of else [self.byte_ids[b] for b in p.encode()] for p in pieces))
+            return array("i", chain.from_iterable(
+                (self.id_of[p],) if p in self.id_of else [self.byte_ids[b] for b in p.encode()] for p in pieces)).tobytes()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and n + 1 offsets."""
@@ -145,8 +147,8 @@ class PieceVocabulary:
         for word, pieces in self.segment(new):
             self._ids[word] = self._ids_of(pieces)
         of_words = [self._ids[w] for w in words]
-        ids = np.fromiter(chain.from_iterable(of_words), np.int32)
-        ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, of_words), np.int64, len(of_words)))))
+        ids = np.frombuffer(b"".join(of_words), np.int32)
+        ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, of_words), np.int64, len(of_words)) // ids.itemsize)))
         return ids, ends[np.concatenate(([0], np.cumsum(counts)))].astype(np.int64)
 
     def decode(self, ids: list[int]) -> str:

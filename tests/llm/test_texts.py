@@ -225,6 +225,16 @@ def test_kept_words_do_not_change_results(vocabulary, monkeypatch):
     assert got == expected
 
 
+def test_kept_ids_take_four_bytes_each():
+    """Before, they were tuples of numbers. Texts without words have no ids, also where nothing else is there."""
+    fresh = P.PieceVocabulary.load()
+    ids, offsets = fresh.encode(["", "one two two", ""])
+    kept = fresh._ids.values()
+    assert offsets.tolist() == [0, 0, len(ids), len(ids)] and len(fresh._ids) == 2
+    assert all(isinstance(x, bytes) and len(x) % 4 == 0 for x in kept) and {x for b in kept for x in np.frombuffer(b, np.int32)} == set(ids.tolist())
+    assert [x.tolist() for x in fresh.encode([""])] == [[], [0, 0]]
+
+
 # Main text
 
 def extracted(page):
