@@ -51,3 +51,11 @@ def test_profiles_are_not_exported_without_a_table(spark, damaged, tmp_path):
 def test_exported_typed_profiles_need_all_tables(spark, damaged):
     with pytest.raises(UNREADABLE):
         QUERIES["exported_typed_profiles"](spark, str(damaged)).collect()
+
+
+def test_zscores_are_not_of_some_tables(spark, damaged):
+    with pytest.raises(UNREADABLE):
+        QUERIES["zscored_profiles"](spark, str(damaged)).collect()
+    # What failed is not kept as the profile of that folder.
+    with pytest.raises(UNREADABLE):
+        QUERIES["zscored_profiles"](spark, str(damaged)).collect()
